@@ -1,6 +1,6 @@
 """Named queries over the driver tables and their DuckDB oracle SQL."""
 
-from flowlens.plans import q_flows, q_metrics, q_profile, q_splits, q_windows  # noqa: F401  (registers queries)
+from flowlens.plans import q_flows, q_metrics, q_profile, q_splits, q_views, q_windows  # noqa: F401  (registers queries)
 from flowlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
