@@ -150,13 +150,16 @@ def class_cap_sample(df: DataFrame, label: str, id_cols: list[str], seed: int =
                      sample_size: int | None = 100_000) -> DataFrame:
     """At most ``max_per_class`` rows per class, then at most ``sample_size`` rows overall.
 
-    Rows are taken in md5(seed:id) order.  ``row_number() <= k`` is planned
-    as a WindowGroupLimit, so every map task keeps only k rows per class
-    before the shuffle; the global cap is a top-k (TakeOrderedAndProject).
+    Rows are taken in md5(seed:id) order.  The per-class cut is a bucketed
+    rank cut (only the md5 bucket holding the cut position is sorted), so a
+    class holding most of the table is never gathered into one task; the
+    global cap is a top-k (TakeOrderedAndProject) over at most
+    classes x max_per_class rows.
     """
-    keyed = df.withColumn("_key", hash_key(seed, *id_cols))
-    w = Window.partitionBy(label).orderBy("_key", *id_cols)
-    capped = keyed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_per_class).drop("_r")
+    keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key")))
+    cuts = keyed.groupBy(label).agg(F.least(F.count(F.lit(1)), F.lit(max_per_class)).cast("long").alias("cap"))
+    capped = assign_by_cuts(keyed, [label], "_bucket", ["_key", *id_cols], cuts, ["cap"], ["keep", "drop"], out="_keep")
+    capped = capped.where(F.col("_keep") == "keep").drop("_keep", "_bucket")
     if sample_size:
         capped = capped.orderBy("_key", *id_cols).limit(sample_size)
     return capped.drop("_key")
