@@ -13,11 +13,11 @@ from flowlens.operators.splits import (
 )
 from flowlens.plans.registry import query, table
 
-LI_ID = ["l_orderkey", "l_linenumber"]
+LI_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # unique row id of lineitem
 
 STRATIFIED_SQL = """
-WITH k AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus,
-                  md5(concat_ws(':', '42', l_orderkey, l_linenumber)) AS key FROM lineitem),
+WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus,
+                  md5(concat_ws(':', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS key FROM lineitem),
 c AS (SELECT l_returnflag, count(*) AS n_c FROM k GROUP BY 1),
 a1 AS (SELECT *, CAST(sum(n_c) OVER () AS BIGINT) AS n FROM c),
 b1 AS (SELECT *, CAST(n - ceil(CAST(0.3 AS DOUBLE) * n) AS BIGINT) AS target FROM a1),
@@ -34,8 +34,8 @@ r2 AS (SELECT *, target - sum(base) OVER () AS extra,
               row_number() OVER (ORDER BY frac DESC, l_returnflag) AS pos FROM d2),
 cuts AS (SELECT l_returnflag, train_c AS cut_train,
                 train_c + base + CASE WHEN pos <= extra THEN 1 ELSE 0 END AS cut_val FROM r2),
-rk AS (SELECT k.*, row_number() OVER (PARTITION BY l_returnflag ORDER BY key, l_orderkey, l_linenumber) - 1 AS r FROM k)
-SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus,
+rk AS (SELECT k.*, row_number() OVER (PARTITION BY l_returnflag ORDER BY key, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS r FROM k)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus,
        CASE WHEN r < cut_train THEN 'train' WHEN r < cut_val THEN 'val' ELSE 'test' END AS split
 FROM rk JOIN cuts USING (l_returnflag)
 """
@@ -49,7 +49,7 @@ c AS (SELECT CAST(floor(CAST(0.7 AS DOUBLE) * g) AS BIGINT) AS cut_train,
       FROM n),
 r AS (SELECT grp, row_number() OVER (ORDER BY key, grp) - 1 AS r FROM gk),
 lab AS (SELECT grp, CASE WHEN r < cut_train THEN 'train' WHEN r < cut_val THEN 'val' ELSE 'test' END AS split FROM r, c)
-SELECT l_orderkey, l_linenumber, l_suppkey, l_linestatus, split
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, split
 FROM lineitem JOIN lab ON coalesce(CAST(l_suppkey AS VARCHAR), '<NA>') = grp
 """
 
@@ -68,7 +68,7 @@ def _stratified(spark, sf_dir):
 
 
 def _grouped(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(*LI_ID, "l_suppkey", "l_linestatus")
+    li = table(spark, sf_dir, "lineitem").select(*LI_ID, "l_linestatus")
     return group_split(li, "l_suppkey", seed=42)
 
 
@@ -143,10 +143,10 @@ def split_validity_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("class_cap_sample", """
-WITH k AS (SELECT l_orderkey, l_linenumber, l_returnflag, md5(concat_ws(':', '42', l_orderkey, l_linenumber)) AS key FROM lineitem),
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY key, l_orderkey, l_linenumber) AS r FROM k)
+WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, md5(concat_ws(':', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS key FROM lineitem),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY key, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM k)
       WHERE r <= 10000)
-SELECT l_orderkey, l_linenumber, l_returnflag FROM c ORDER BY key, l_orderkey, l_linenumber LIMIT 25000
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM c ORDER BY key, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25000
 """)
 def class_cap_sample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-class cap of 10,000 then a global cap of 25,000, md5 order (sampling operator: the cap is the feature)."""

@@ -27,6 +27,8 @@ def build_session(master: str | None = None, app: str = "flowlens", shuffle_part
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "12g")  # local mode: the driver JVM is the only executor
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
