@@ -17,8 +17,9 @@ def event_packets(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ())
                            label_map=EVENT_LABEL_MAP, default_binary=0)
 
 
-def flow_window_sql(widths, keys: tuple[str, ...] = ()) -> str:
-    """DuckDB oracle: direct row-level lag per window, same exact arithmetic."""
+def flow_window_sql(widths, keys: tuple[str, ...] = (), anchor: str = "min") -> str:
+    """DuckDB oracle: direct row-level lag per window, same exact arithmetic (anchor: first event or epoch)."""
+    t0 = "(SELECT min(ts_us) FROM p)" if anchor == "min" else "0"
     k = "".join(f"{c}, " for c in keys)
     kp = ", ".join(keys)
     part = f"{kp}, window_seconds, window_id" if keys else "window_seconds, window_id"
@@ -34,7 +35,7 @@ WITH p AS (
 ),
 ws AS ({width_rows}),
 w AS (
-  SELECT p.*, ws.window_seconds, (p.ts_us - (SELECT min(ts_us) FROM p)) // ws.w_us AS window_id
+  SELECT p.*, ws.window_seconds, (p.ts_us - {t0}) // ws.w_us AS window_id
   FROM p CROSS JOIN ws
 ),
 d AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {part} ORDER BY ts_us) AS d_us FROM w),
