@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # A number the way a pandas/Python float parser accepts it (Spark's try_cast
 # would also accept suffixes such as '1d' or '1f', which must stay null).
-NUMBER_PATTERN = r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][+-]?\d+)?|\d+(_\d+)*\.|inf|infinity|nan)\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?(((\d+(_\d+)*)?\.?\d+(_\d+)*|\d+(_\d+)*\.)([eE][+-]?\d+(_\d+)*)?|inf|infinity|nan)\s*$"
 
 
 def coerce_double(c: Column) -> Column:

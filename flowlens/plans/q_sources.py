@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.operators.flow import history_column
 from flowlens.operators.profile import detect_label_column
 from flowlens.plans.registry import TABLES, query, table
 from flowlens.session import scratch_path
@@ -93,8 +94,8 @@ def _zeek_sql() -> str:
 
     nums = ", ".join(f"TRY_CAST({clean(c)} AS DOUBLE) AS {c}" for c in ZEEK_NUMERIC_COLUMNS)
     hist = ", ".join(
-        f"length(coalesce({fld('history')}, '')) - length(replace(coalesce({fld('history')}, ''), '{ch}', '')) AS history_"
-        + ("caret" if ch == "^" else (f"orig_{ch.lower()}" if ch.isupper() else f"resp_{ch}")) for ch in ZEEK_HISTORY_CHARS)
+        f"length(coalesce({fld('history')}, '')) - length(replace(coalesce({fld('history')}, ''), '{ch}', '')) AS "
+        + history_column(ch) for ch in ZEEK_HISTORY_CHARS)
     low = f"lower(trim(coalesce({fld('label')}, '')))"
     det = f"trim({fld('detailed-label')})"
     return ZEEK_LINES_SQL + f""",
