@@ -118,3 +118,63 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 def encode_labels(df: DataFrame, label: str, codes: DataFrame) -> DataFrame:
     """Attach codes (one row per class; AQE broadcasts it when its measured size is small)."""
     return df.join(codes.select(label, "code"), on=label, how="inner")
+
+
+def preprocess_table(df: DataFrame, dataset: str, file_col: str = "source_file", label_column: str | None = None,
+                     flow_metadata: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The cleaning job for one dataset (C1-C14): returns (cleaned table, one metadata row).
+
+    Names are normalised; the label column is detected (or taken from the
+    file name); rows whose label maps to nothing are dropped and counted per
+    file; a two-valued label becomes benign / the file's attack name;
+    empty, constant and duplicate columns, leakage/forbidden names and
+    high-cardinality strings are dropped (labels exempt); optionally the
+    common flow metadata are added (F5).
+    """
+    from flowlens.functions.labels import label_from_filename, label_to_binary
+    from flowlens.functions.names import unique_columns
+    from flowlens.operators.flow import add_flow_metadata
+    from flowlens.operators.profile import detect_label_column
+
+    spark = df.sparkSession
+    raw_cols = len(df.columns)
+    df = df.toDF(*unique_columns(df.columns))
+    if file_col not in df.columns:
+        df = df.withColumn(file_col, F.lit(dataset))
+    label = label_column or detect_label_column(df.drop(file_col))
+    raw = F.col(label) if label else label_from_filename(F.col(file_col))
+    work = df.withColumn("binary_label", label_to_binary(raw)).withColumn("__raw_label", raw.cast("string"))
+    per_file = work.groupBy(file_col).agg(
+        F.count(F.lit(1)).alias("raw_rows"), F.count_if(F.col("binary_label").isNull()).alias("dropped_missing_label_rows"),
+        F.count_distinct("__raw_label").alias("label_values"))
+    work = work.where(F.col("binary_label").isNotNull())
+    # per-file table (one row per file): two-valued labels become benign / the file's attack name
+    fname = label_from_filename(F.col(file_col))
+    two_valued = F.col("label_values") <= 2
+    multi = F.when(two_valued & F.lit(label is not None),
+                   F.when(F.col("binary_label") == 0, F.lit("benign"))
+                   .otherwise(F.when(fname == "benign", F.lit("attack")).otherwise(fname))) \
+        .otherwise(F.coalesce(F.trim("__raw_label"), F.lit("unknown")))
+    work = (work.join(per_file.select(file_col, "label_values"), file_col)
+            .withColumn("multiclass_label", multi).drop("label_values", "__raw_label")
+            .withColumn("dataset_name", F.lit(dataset)))
+    plan = column_drop_plan(work)
+    structural = [r["column"] for r in plan.where(F.col("status") != "kept").collect()]
+    work = work.drop(*structural)
+    forbidden = forbidden_columns(work.columns)
+    work = work.drop(*forbidden)
+    if flow_metadata:
+        work = add_flow_metadata(work, mode="common")
+    high = [r["column"] for r in high_cardinality_strings(work).where(F.col("status") != "kept").collect()]
+    work = work.drop(*high)
+    ordered = ["binary_label", "multiclass_label", *[c for c in work.columns if c not in KEEP_LABELS]]
+    work = work.select(*ordered)
+    meta = per_file.agg(F.sum("raw_rows").alias("raw_rows"),
+                        F.sum("dropped_missing_label_rows").alias("dropped_missing_label_rows")).select(
+        F.lit(dataset).alias("dataset"), F.lit("ok").alias("status"), "raw_rows", F.lit(raw_cols).alias("raw_columns"),
+        F.lit(len(ordered)).alias("cleaned_columns"), "dropped_missing_label_rows",
+        F.lit(label).cast("string").alias("detected_label_column"),
+        F.lit(";".join(c for c in structural)).alias("dropped_empty_constant_duplicate_columns"),
+        F.lit(";".join(sorted(set(forbidden) | set(high)))).alias("dropped_leakage_or_forbidden_columns"),
+        F.lit(";".join(c for c in ordered if c not in KEEP_LABELS)).alias("feature_columns"))
+    return work, meta

@@ -6,8 +6,9 @@ Plan shape (per call, any number of window widths at once):
    integer milli-units, drop rows without time/length/label, map labels.
 2. Rows are cut into *time slices* of ``gcd(widths, 1 s)``.  One shuffle on
    ``(keys, slice)`` feeds a ``lag`` window (consecutive inter-arrival
-   times inside the slice) and two aggregates that reuse the same
-   partitioning: per-slice statistics and per-(slice, label) counts.
+   times inside the slice) and one aggregate per (slice, label) that reuses
+   the same partitioning; it is checkpointed (slice-level, small) and both
+   the per-slice totals and the label counts are derived from it.
    A slice is at most one second of traffic, so a long or busy window is
    spread over many tasks instead of landing in one.
 3. The slice table (one row per non-empty slice) is exploded over the
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.labels import label_to_binary
+from flowlens.session import checkpoint_dir
 
 US = 1_000_000
 LEN_SCALE = 1000  # lengths are summed as integer milli-units
@@ -115,21 +117,32 @@ def window_features(packets: DataFrame, widths=(1, 5, 10), keys: tuple[str, ...]
     by_slice = Window.partitionBy(*keys, "slice_id").orderBy("ts_us")
     rows = rows.withColumn("d_us", F.col("ts_us") - F.lag("ts_us").over(by_slice))
 
-    slices = rows.groupBy(*keys, "slice_id").agg(
-        F.count(F.lit(1)).alias("n"),
+    # one aggregate per (slice, label) over the window's partitioning (hash on keys + slice satisfies
+    # the clustering on keys + slice + label, so no further exchange); slice totals and label counts
+    # are both derived from it, so the rows are scanned and shuffled once
+    per_label = rows.groupBy(*keys, "slice_id", "multiclass_label").agg(
+        F.count(F.lit(1)).alias("n_l"),
         F.sum(_dec(F.col("len_u"))).alias("b_sum"),
         F.sum(_dec(F.col("len_u")) * _dec(F.col("len_u"))).alias("b_sq"),
         F.min("len_u").alias("b_min"),
         F.max("len_u").alias("b_max"),
-        F.min("ts_us").alias("first_us"),
+        F.min("ts_us").alias("first_l"),
         F.max("ts_us").alias("last_us"),
         F.min("d_us").alias("d_min"),
         F.max("d_us").alias("d_max"),
         F.sum(_dec(F.col("d_us")) * _dec(F.col("d_us"))).alias("d_sq"),
         F.max("binary_label").alias("any_attack"),
     )
-    slice_labels = rows.groupBy(*keys, "slice_id", "multiclass_label").agg(
-        F.count(F.lit(1)).alias("n_l"), F.min("ts_us").alias("first_l"))
+    # slice x label rows (far fewer than packets); written once to the shared checkpoint folder so the
+    # totals and the label branch below do not each re-read and re-shuffle the packets
+    checkpoint_dir(packets.sparkSession)
+    per_label = per_label.checkpoint(eager=True)
+    slices = per_label.groupBy(*keys, "slice_id").agg(
+        F.sum("n_l").alias("n"), F.sum("b_sum").alias("b_sum"), F.sum("b_sq").alias("b_sq"),
+        F.min("b_min").alias("b_min"), F.max("b_max").alias("b_max"), F.min("first_l").alias("first_us"),
+        F.max("last_us").alias("last_us"), F.min("d_min").alias("d_min"), F.max("d_max").alias("d_max"),
+        F.sum("d_sq").alias("d_sq"), F.max("any_attack").alias("any_attack"))
+    slice_labels = per_label.select(*keys, "slice_id", "multiclass_label", "n_l", "first_l")
 
     width_col = F.explode(F.array(*[F.struct(F.lit(w).alias("ws"), F.lit(wu).alias("wu"))
                                     for w, wu in zip(widths, widths_us)])).alias("w")

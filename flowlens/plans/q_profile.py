@@ -220,3 +220,40 @@ def label_encode_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [
         label_codes(df, "label").select(F.lit(name).alias("dataset"), "label", "code", "count")
         for name, df in (("embeddings", emb), ("lineitem", li))])
+
+
+# --- C1-C14 end to end ---------------------------------------------------------------
+def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw packet-capture-like rows from events (label text, time, length, client, message, per-user file)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("ts").alias("Timestamp"), F.col("value").alias("tcp.len"), F.col("event_type").alias("Label"),
+        F.col("user_id").alias("Client ID"), F.col("props").alias("mqtt.msg"), F.lit(6).alias("ip.proto"),
+        F.col("value").alias("frame-len"), F.lit(None).cast("double").alias("tcp.time_delta"),
+        F.concat(F.lit("capture_"), F.col("event_type"), F.lit(".csv")).alias("source_file"))
+
+
+@query("preprocess_packets", f"""WITH r AS (SELECT value AS tcp_len, event_type AS lbl, 'capture_' || event_type AS stem,
+    CAST({sql_label_to_binary('event_type')} AS INTEGER) AS b FROM events),
+f AS (SELECT stem, count(DISTINCT lbl) AS k FROM r GROUP BY stem)
+SELECT b AS binary_label,
+  CASE WHEN k <= 2 THEN CASE WHEN b = 0 THEN 'benign'
+         WHEN contains(lower(stem), 'normal') OR contains(lower(stem), 'benign') OR contains(lower(stem), 'legit')
+         THEN 'attack' ELSE stem END
+       ELSE coalesce(trim(lbl), 'unknown') END AS multiclass_label, tcp_len
+FROM r JOIN f USING (stem) WHERE b IS NOT NULL""")
+def preprocess_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised names, detected label, binary/multiclass labels, drop rules, forbidden names."""
+    from flowlens.operators.clean import preprocess_table
+
+    cleaned, _ = preprocess_table(raw_packets(spark, sf_dir), "packets")
+    return cleaned
+
+
+@query("preprocess_metadata")
+def preprocess_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: the metadata row of the packet cleaning job."""
+    from flowlens.operators.clean import preprocess_table
+
+    _, meta = preprocess_table(raw_packets(spark, sf_dir), "packets")
+    return meta

@@ -27,20 +27,20 @@ def _frame(spark, cols):
 
 
 def test_view_sizes_match_committed_results(spark):
-    srcs = [Source("MQTTEEB-D", "packet", True, _frame(spark, PACKET)),
-            Source("MQTT-IoT-IDS2020", "flow", True, _frame(spark, BIFLOW)),
-            Source("IoT-23", "flow", False, _frame(spark, ZEEK)),
-            Source("MQTTEEB-D_flow_5s", "flow_window", True, _frame(spark, ["window_id", *WINDOW_COLUMNS]))]
+    srcs = [Source("packets", "packet", True, _frame(spark, PACKET)),
+            Source("biflow", "flow", True, _frame(spark, BIFLOW)),
+            Source("zeek", "flow", False, _frame(spark, ZEEK)),
+            Source("windows_5s", "flow_window", True, _frame(spark, ["window_id", *WINDOW_COLUMNS]))]
     cat = source_catalog(spark, srcs)
     desc = {(r["dataset"], r["view_role"]): (r["n_features"], r["status"])
             for r in view_descriptors(cat, view_membership(cat)).where("policy = 'audited_metadata_main'").collect()}
-    assert desc[("MQTTEEB-D", "full")] == (9, "ok")
-    assert desc[("MQTTEEB-D", "broker")] == (9, "ok")
-    assert desc[("MQTTEEB-D", "strict")] == (2, "weak_view")
-    assert [desc[("MQTT-IoT-IDS2020", r)][0] for r in ("full", "broker", "strict")] == [42, 42, 42]
-    assert desc[("IoT-23", "full")][0] == 31 and desc[("IoT-23", "strict")][0] == 31
-    assert desc[("IoT-23", "broker")][1] == "not_applicable"
-    assert [desc[("MQTTEEB-D_flow_5s", r)][0] for r in ("full", "broker", "strict")] == [15, 15, 14]
+    assert desc[("packets", "full")] == (9, "ok")
+    assert desc[("packets", "broker")] == (9, "ok")
+    assert desc[("packets", "strict")] == (2, "weak_view")
+    assert [desc[("biflow", r)][0] for r in ("full", "broker", "strict")] == [42, 42, 42]
+    assert desc[("zeek", "full")][0] == 31 and desc[("zeek", "strict")][0] == 31
+    assert desc[("zeek", "broker")][1] == "not_applicable"
+    assert [desc[("windows_5s", r)][0] for r in ("full", "broker", "strict")] == [15, 15, 14]
 
 
 def test_hard_reasons(spark):
