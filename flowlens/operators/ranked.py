@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import checkpoint_dir
+
 HASH_BUCKET_BITS = 16
 
 
@@ -60,15 +62,25 @@ def bucket_offsets(df: DataFrame, strata: list[str], bucket: str) -> DataFrame:
             .withColumn("n_stratum", F.sum("n_bucket").over(w).cast("long")))
 
 
-def assign_by_cuts(df: DataFrame, strata: list[str], bucket: str, order: list[str], cuts: DataFrame,
+def assign_by_cuts(df: DataFrame, strata: list[str], bucket: str, order: list[str], cuts,
                    cut_cols: list[str], labels: list[str], out: str = "split") -> DataFrame:
     """Label rows by their exact rank within the stratum.
 
     ``cuts`` has one row per stratum with increasing cut positions
-    ``cut_cols`` (counts); rank < cut_1 -> labels[0], < cut_2 -> labels[1]
-    ... else labels[-1].  ``order`` must make the order total (add an id).
+    ``cut_cols`` (counts) - or is a function that builds that table from the
+    stratum totals ``(strata, n_stratum)``; rank < cut_1 -> labels[0],
+    < cut_2 -> labels[1] ... else labels[-1].  ``order`` must make the order
+    total (add an id).
+
+    The offsets table (strata x buckets rows) is written once to the shared
+    checkpoint folder; the rows are then read twice: once for the buckets
+    labelled by the join alone (map-only) and once for the buckets that
+    contain a cut (shuffled and sorted, a small share of the rows).
     """
-    offsets = bucket_offsets(df, strata, bucket)
+    checkpoint_dir(df.sparkSession)
+    offsets = bucket_offsets(df, strata, bucket).checkpoint(eager=True)
+    if callable(cuts):
+        cuts = cuts(offsets.select(*strata, "n_stratum").distinct())
     offsets = offsets.join(cuts, on=strata, how="inner") if strata else _attach_single(offsets, cuts)
     lo = F.col("offset")
     hi = F.col("offset") + F.col("n_bucket")

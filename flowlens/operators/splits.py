@@ -41,7 +41,13 @@ def stratified_cuts(df: DataFrame, label: str, test_size: float = 0.30, val_shar
     then the held-out part is split again with ceil(val_share * n_held) test
     rows.  Per-class train counts are a largest-remainder allocation.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    return stratified_cuts_from_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c")), label, test_size, val_share)
+
+
+def stratified_cuts_from_counts(counts: DataFrame, label: str, test_size: float = 0.30, val_share: float = 0.50,
+                                n_col: str = "n_c") -> DataFrame:
+    """:func:`stratified_cuts` from a class-count table (one row per class)."""
+    counts = counts.withColumnRenamed(n_col, "n_c") if n_col != "n_c" else counts
     all_rows = Window.partitionBy(F.lit(0))
     n = F.sum("n_c").over(all_rows)
     n_test = F.ceil(F.lit(test_size) * n)
@@ -58,7 +64,11 @@ def random_stratified_split(df: DataFrame, label: str, id_cols: list[str], seed:
                             val_share: float = 0.50, out: str = "split") -> DataFrame:
     """70/15/15 stratified split; within a class rows are ordered by md5(seed:id)."""
     keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key")))
-    cuts = stratified_cuts(keyed, label, test_size, val_share).select(label, "cut_train", "cut_val")
+
+    def cuts(totals: DataFrame) -> DataFrame:  # class totals come from the offsets table, no extra scan
+        return stratified_cuts_from_counts(totals, label, test_size, val_share, n_col="n_stratum").select(
+            label, "cut_train", "cut_val")
+
     out_df = assign_by_cuts(keyed, [label], "_bucket", ["_key", *id_cols], cuts, ["cut_train", "cut_val"],
                             list(SPLITS), out=out)
     return out_df.drop("_key", "_bucket")
@@ -85,11 +95,12 @@ def group_split(df: DataFrame, group: str, seed: int = 42, train_size: float = 0
     gkey = F.coalesce(F.col(group).cast("string"), F.lit("<NA>"))
     groups = (df.select(gkey.alias("_group")).distinct()
               .withColumn("_key", hash_key(seed, "_group")).withColumn("_bucket", hash_bucket(F.col("_key"))))
-    n_groups = F.count(F.lit(1))
-    cuts = groups.agg(n_groups.alias("g")).select(
-        F.floor(F.lit(train_size) * F.col("g")).cast("long").alias("cut_train"),
-        (F.floor(F.lit(train_size) * F.col("g"))
-         + F.floor(F.lit(val_share) * (F.col("g") - F.floor(F.lit(train_size) * F.col("g"))))).cast("long").alias("cut_val"))
+    def cuts(totals: DataFrame) -> DataFrame:
+        g = F.col("n_stratum")
+        return totals.select(
+            F.floor(F.lit(train_size) * g).cast("long").alias("cut_train"),
+            (F.floor(F.lit(train_size) * g) + F.floor(F.lit(val_share) * (g - F.floor(F.lit(train_size) * g))))
+            .cast("long").alias("cut_val"))
     labelled = assign_by_cuts(groups, [], "_bucket", ["_key", "_group"], cuts, ["cut_train", "cut_val"], list(SPLITS),
                               out=out).select("_group", out)
     # group table: one row per group; AQE broadcasts it when it is small, else a shuffle join
@@ -114,9 +125,11 @@ def time_block_split(df: DataFrame, order_cols: list[str], train: float = 0.70,
     """
     time_col = order_cols[0]
     keyed = quantile_bucket(df, time_col, buckets=buckets, out="_bucket")
-    cuts = keyed.agg(F.count(F.lit(1)).alias("n")).select(
-        F.floor(F.lit(train) * F.col("n")).cast("long").alias("cut_train"),
-        (F.floor(F.lit(train) * F.col("n")) + F.floor(F.lit(val) * F.col("n"))).cast("long").alias("cut_val"))
+
+    def cuts(totals: DataFrame) -> DataFrame:
+        n = F.col("n_stratum")
+        return totals.select(F.floor(F.lit(train) * n).cast("long").alias("cut_train"),
+                             (F.floor(F.lit(train) * n) + F.floor(F.lit(val) * n)).cast("long").alias("cut_val"))
     return assign_by_cuts(keyed, [], "_bucket", order_cols, cuts, ["cut_train", "cut_val"], list(SPLITS),
                           out=out).drop("_bucket")
 
@@ -157,7 +170,9 @@ def class_cap_sample(df: DataFrame, label: str, id_cols: list[str], seed: int =
     classes x max_per_class rows.
     """
     keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key")))
-    cuts = keyed.groupBy(label).agg(F.least(F.count(F.lit(1)), F.lit(max_per_class)).cast("long").alias("cap"))
+    def cuts(totals: DataFrame) -> DataFrame:
+        return totals.select(label, F.least(F.col("n_stratum"), F.lit(max_per_class)).cast("long").alias("cap"))
+
     capped = assign_by_cuts(keyed, [label], "_bucket", ["_key", *id_cols], cuts, ["cap"], ["keep", "drop"], out="_keep")
     capped = capped.where(F.col("_keep") == "keep").drop("_keep", "_bucket")
     if sample_size:
