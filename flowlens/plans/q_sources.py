@@ -163,8 +163,9 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.createDataFrame([("see the files",)], "t string").write.text(os.path.join(root, "readme_dir"))
     files = [r["path"] for r in discover_files(spark, root).collect()]  # a file listing (one row per file)
     df = read_delimited(spark, files, dataset="events", seps=sniff_delimiters(spark, files))
-    return df.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "user_id",
-                     "event_type", "value", "dataset_name")
+    return df.select(F.col("event_id").cast("long").alias("event_id"),
+                     F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                     F.col("user_id").cast("long").alias("user_id"), "event_type", "value", "dataset_name")
 
 
 @query("label_column_detect", """SELECT * FROM (VALUES ('embeddings', 'label'), ('events', 'event_type'),

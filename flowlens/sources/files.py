@@ -2,10 +2,12 @@
 
 * discovery lists files with the ``binaryFile`` source restricted to path
   and length (the content column is pruned, nothing is read);
-* the delimiter of each file is decided from its first lines, read in one
-  job for all files (``row_number() <= k`` per file is a group limit);
-* files are read with ``spark.read.csv`` grouped by delimiter - one scan
-  per delimiter, not per file - and unioned by name.
+* the delimiter of each file is decided from its first 8 KiB, read by the
+  executors (one small read per file, one job for all files);
+* files are read as text with ``spark.read.csv`` grouped by delimiter - one
+  scan per delimiter, not per file, and no schema-inference pass - unioned by
+  name; columns whose values all parse as numbers become doubles (one
+  aggregate).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ SKIP_PATH_TOKEN = "smote"
 SKIP_NAME_PREFIX = "readme"
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_LINES = 20
+HEAD_BYTES = 8192
 HEAD_SAMPLE_ROWS = 5000
 
 
@@ -46,19 +49,50 @@ def select_variant(paths: list[str], preferred=("biflow", "uniflow")) -> tuple[l
     return paths, "no_biflow_or_uniflow_files_found"
 
 
+def _read_heads(batches):
+    """Executor side: the first HEAD_BYTES of each file (gzip aware), via pyarrow's file systems."""
+    import gzip
+    import io
+    from urllib.parse import unquote, urlparse
+
+    import pandas as pd
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        heads = []
+        for path in pdf["path"]:
+            parsed = urlparse(path)
+            if parsed.scheme in ("", "file"):
+                filesystem, inner = pafs.LocalFileSystem(), unquote(parsed.path)
+            else:
+                filesystem, inner = pafs.FileSystem.from_uri(path)
+            with filesystem.open_input_stream(inner) as fh:
+                raw = fh.read(HEAD_BYTES if not path.lower().endswith(".gz") else HEAD_BYTES * 8)
+            if path.lower().endswith(".gz"):
+                try:
+                    raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(HEAD_BYTES)
+                except (EOFError, OSError):
+                    pass
+            heads.append(raw[:HEAD_BYTES].decode("utf-8", errors="replace"))
+        yield pd.DataFrame({"path": pdf["path"], "head": heads})
+
+
 def sniff_delimiters(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Delimiter per file from its first lines: the candidate with a constant, positive count
-    on every sampled line wins (priority order on ties), else the most frequent one; ``.tsv``
-    files are tab separated; fallback ``,``."""
+    """Delimiter per file from its first 8 KiB (read in the executors, never the whole file): the
+    candidate with a constant, positive count on every complete sampled line wins (priority order
+    on ties), else the most frequent one; ``.tsv`` files are tab separated; fallback ``,``."""
     if not paths:
         return {}
-    lines = (spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-             .withColumn("_pos", F.monotonically_increasing_id()))
-    w = Window.partitionBy("path").orderBy("_pos")
-    head = lines.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= SNIFF_LINES) & (F.trim("value") != ""))
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 64))
+    heads = files.mapInPandas(_read_heads, "path string, head string")
+    lines = heads.select("path", F.posexplode(F.split("head", "\n")).alias("i", "value"))
+    # the last piece of a head may be a cut line; ignore it unless it is the only one
+    lines = lines.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("path")))
+    lines = lines.where(((F.col("i") < F.col("_n") - 1) | (F.col("_n") == 1)) & (F.col("i") < SNIFF_LINES)
+                        & (F.trim("value") != ""))
     counts = [(F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))) for d in DELIMITERS]
-    stats = head.groupBy("path").agg(*[x for i, c in enumerate(counts)
-                                       for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.sum(c).alias(f"s{i}"))])
+    stats = lines.groupBy("path").agg(*[x for i, c in enumerate(counts)
+                                        for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.sum(c).alias(f"s{i}"))])
     out = {}
     for r in stats.collect():  # one row per file
         path = r["path"]
@@ -76,23 +110,42 @@ def sniff_delimiters(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return out
 
 
+def coerce_numeric_columns(df: DataFrame, keep=("source_file", "dataset_name")) -> DataFrame:
+    """Text columns whose every non-null value parses as a number become doubles (one aggregate pass),
+    the rule a pandas reader applies; other columns stay text, no value is lost."""
+    from flowlens.functions.numeric import NUMBER_PATTERN
+
+    text_cols = [c for c, t in df.dtypes if t == "string" and c not in keep]
+    if not text_cols:
+        return df
+    trimmed = {c: F.trim(F.col(c)) for c in text_cols}
+    row = df.agg(*[x for i, c in enumerate(text_cols) for x in (
+        F.count_if(trimmed[c].isNotNull() & (trimmed[c] != "")).alias(f"n{i}"),
+        F.count_if(F.lower(trimmed[c]).rlike(NUMBER_PATTERN)).alias(f"p{i}"))]).first()
+    numeric = {c for i, c in enumerate(text_cols) if row[f"n{i}"] > 0 and row[f"n{i}"] == row[f"p{i}"]}
+    return df.select(*[F.regexp_replace(F.lower(F.trim(F.col(c))), "_", "").try_cast("double").alias(c)
+                       if c in numeric else F.col(c) for c in df.columns])
+
+
 def read_delimited(spark: SparkSession, paths: list[str], dataset: str | None = None, seps: dict[str, str] | None = None,
-                   infer_schema: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """Read files grouped by delimiter, normalise column names, add provenance, union by name."""
+                   coerce_numbers: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """Read files grouped by delimiter (as text: no schema-inference pass), normalise column names,
+    add provenance, union by name, then turn all-numeric columns into doubles."""
     seps = seps or sniff_delimiters(spark, paths)
     groups: dict[str, list[str]] = {}
     for p in paths:
         groups.setdefault(seps.get(p, ","), []).append(p)
     frames = []
     for sep, group in sorted(groups.items()):
-        df = (spark.read.option("header", True).option("inferSchema", infer_schema).option("sep", sep)
+        df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
               .option("encoding", encoding).option("mode", "PERMISSIVE").csv(group))
         df = df.toDF(*unique_columns(df.columns))
         df = df.withColumn("source_file", F.col("_metadata.file_path"))
         if dataset is not None:
             df = df.withColumn("dataset_name", F.lit(dataset))
         frames.append(df)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return coerce_numeric_columns(df) if coerce_numbers else df
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
