@@ -183,3 +183,37 @@ def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = spark.createDataFrame([(f"{t}.parquet", None, None) for t in TABLES],
                                      "name string, expected_size long, expected_sha256 string")
     return verify_manifest(file_digests(spark, sf_dir, "*.parquet"), expected)
+
+
+ZEEK_FLOW_SQL = _zeek_sql()
+ZEEK_PARSED_SQL = ZEEK_FLOW_SQL.split("\ncapped AS (")[0]
+
+
+@query("zeek_profile", ZEEK_PARSED_SQL + """
+SELECT 'zeek' AS dataset, count(*) AS rows, 31 AS columns,
+  CAST(sum((duration IS NULL)::INT + (orig_bytes IS NULL)::INT + (resp_bytes IS NULL)::INT + (orig_pkts IS NULL)::INT
+      + (resp_pkts IS NULL)::INT + (orig_ip_bytes IS NULL)::INT + (resp_ip_bytes IS NULL)::INT + (missed_bytes IS NULL)::INT
+      + (proto IS NULL)::INT + (service IS NULL)::INT + (conn_state IS NULL)::INT) AS BIGINT) AS missing_cells,
+  CAST(sum((duration IS NULL)::INT + (orig_bytes IS NULL)::INT + (resp_bytes IS NULL)::INT + (orig_pkts IS NULL)::INT
+      + (resp_pkts IS NULL)::INT + (orig_ip_bytes IS NULL)::INT + (resp_ip_bytes IS NULL)::INT + (missed_bytes IS NULL)::INT
+      + (proto IS NULL)::INT + (service IS NULL)::INT + (conn_state IS NULL)::INT) AS DOUBLE) / (count(*) * 31) AS missing_value_ratio
+FROM u""")
+def zeek_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, columns and missing cells of all parseable labelled Zeek flows (before the per-class caps)."""
+    from flowlens.operators.profile import table_profile
+
+    flows = zeek_flows(parse_zeek(zeek_lines(spark, sf_dir)), max_per_class=None)
+    return table_profile(flows, "zeek").select("dataset", "rows", "columns", "missing_cells", "missing_value_ratio")
+
+
+@query("zeek_label_mapping", ZEEK_PARSED_SQL + """
+SELECT lower(trim(lbl)) AS observed_label, binary_label, multiclass_label, count(*) AS count,
+  count(*) >= 50 AS include_in_main_multiclass
+FROM (SELECT u.*, r2.lbl FROM u JOIN (SELECT line_no, source_file, parts[list_position(fields, 'label')] AS lbl FROM j) r2
+      USING (line_no, source_file)) GROUP BY ALL""")
+def zeek_label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed label -> binary and multiclass label with counts; classes with >= 50 rows kept for multiclass."""
+    parsed = parse_zeek(zeek_lines(spark, sf_dir))
+    flows = zeek_flows(parsed.withColumn("observed_label", F.lower(F.trim("label"))), max_per_class=None)
+    return flows.groupBy("observed_label", "binary_label", "multiclass_label").agg(F.count(F.lit(1)).alias("count")) \
+        .withColumn("include_in_main_multiclass", F.col("count") >= 50)

@@ -86,3 +86,20 @@ def test_sizes_and_listing(spark):
     rows = listing_rows(spark.createDataFrame([(1, html)], "page_id int, html string"), row_tag="tr").collect()
     assert [(r["href"], r["size_bytes"], r["is_candidate"]) for r in rows] == [
         ("x/conn.log.labeled", 12288, True), ("readme.txt", 2 * 1024 ** 2, False)]
+
+
+def test_sinks_round_trip(spark):
+    from flowlens.sources.sinks import write_json, write_report, write_table, write_view
+
+    root = tempfile.mkdtemp(prefix="flowlens-sink-")
+    df = spark.createDataFrame([(1, "a", [1, 2], 0, "benign")], "w int, s string, arr array<int>, binary_label int, "
+                                                                "multiclass_label string")
+    write_table(df, f"{root}/t", partition_by=["w"])
+    assert spark.read.parquet(f"{root}/t").count() == 1
+    write_report(df, f"{root}/r")
+    rep = spark.read.option("header", True).csv(f"{root}/r").first()
+    assert rep["arr"] == "[1,2]"
+    write_json(df, f"{root}/j")
+    assert spark.read.json(f"{root}/j").first()["s"] == "a"
+    write_view(df, ["s"], f"{root}/v")
+    assert spark.read.parquet(f"{root}/v").columns == ["binary_label", "multiclass_label", "s"]
