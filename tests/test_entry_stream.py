@@ -21,7 +21,23 @@ def test_registry_contract():
 
 
 def test_stream_equals_batch(spark):
-    stream = run_event_stream(spark, SF, width=3600, files=4)
+    # a short watermark: slices are folded into summaries while their windows are still open
+    stream = run_event_stream(spark, SF, width=3600, files=4, watermark="10 minutes")
     batch = window_features(event_packets(spark, SF), widths=(3600,), anchor="epoch")
     cols = sorted(batch.columns)
     assert sorted(stream.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+
+
+def test_slice_summaries_combine_exactly():
+    import random
+
+    from flowlens.streaming.windows import slice_summary, window_from_slices, window_stats
+
+    rnd = random.Random(5)
+    rows = [(rnd.randint(0, 10_000_000), rnd.randint(0, 5000), rnd.randint(0, 1), rnd.choice("abc")) for _ in range(300)]
+    whole = window_stats(10, 0, *[list(x) for x in zip(*rows)])
+    by_slice = {}
+    for r in rows:
+        by_slice.setdefault(r[0] // 1_000_000, []).append(r)
+    parts = window_from_slices(10, 0, {k: slice_summary(v) for k, v in by_slice.items()})
+    assert parts == whole

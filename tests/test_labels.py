@@ -50,3 +50,9 @@ def test_label_map(spark):
     df = spark.createDataFrame([("error",), ("click",), (None,)], "v string")
     got = [r[0] for r in df.select(label_to_binary(F.col("v"), label_map={"error": 1}, default=0)).collect()]
     assert got == [1, 0, None]
+
+
+def test_token_mode(spark):
+    df = spark.createDataFrame([("anomaly",), ("dos10",), ("no attack",), ("benign-traffic",)], "v string")
+    got = [r[0] for r in df.select(label_to_binary(F.col("v"), match="token")).collect()]
+    assert got == [1, 1, 0, 0]  # whole words only: 'no attack' and 'benign-traffic' contain a benign word
