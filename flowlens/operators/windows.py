@@ -7,13 +7,14 @@ Plan shape (per call, any number of window widths at once):
 2. Rows are cut into *time slices* of ``gcd(widths, 1 s)``.  One shuffle on
    ``(keys, slice)`` feeds a ``lag`` window (consecutive inter-arrival
    times inside the slice) and one aggregate per (slice, label) that reuses
-   the same partitioning; it is checkpointed (slice-level, small) and both
-   the per-slice totals and the label counts are derived from it.
-   A slice is at most one second of traffic, so a long or busy window is
-   spread over many tasks instead of landing in one.
-3. The slice table (one row per non-empty slice) is exploded over the
-   widths; gaps between neighbouring slices of a window are stitched with a
-   second ``lag`` over slice rows, and everything is summed per window.
+   the same partitioning.  A slice is at most one second of traffic, so a
+   long or busy window is spread over many tasks instead of landing in one.
+3. The (slice, label) rows are exploded over the widths and shuffled once
+   on the window keys; window functions over that partitioning give each
+   slice's first time and the end of the previous non-empty slice (the gap
+   between neighbouring slices, counted once per slice); two aggregates -
+   per (window, label), then per window with the majority label - reuse the
+   same partitioning.  One scan, one row-level and one slice-level shuffle.
 
 All sums are over integers (decimal(38,0)), so results do not depend on
 partitioning or row order; every float is derived from exact totals.
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.labels import label_to_binary
-from flowlens.session import checkpoint_dir
 
 US = 1_000_000
 LEN_SCALE = 1000  # lengths are summed as integer milli-units
@@ -118,8 +118,7 @@ def window_features(packets: DataFrame, widths=(1, 5, 10), keys: tuple[str, ...]
     rows = rows.withColumn("d_us", F.col("ts_us") - F.lag("ts_us").over(by_slice))
 
     # one aggregate per (slice, label) over the window's partitioning (hash on keys + slice satisfies
-    # the clustering on keys + slice + label, so no further exchange); slice totals and label counts
-    # are both derived from it, so the rows are scanned and shuffled once
+    # the clustering on keys + slice + label, so no further exchange)
     per_label = rows.groupBy(*keys, "slice_id", "multiclass_label").agg(
         F.count(F.lit(1)).alias("n_l"),
         F.sum(_dec(F.col("len_u"))).alias("b_sum"),
@@ -127,57 +126,44 @@ def window_features(packets: DataFrame, widths=(1, 5, 10), keys: tuple[str, ...]
         F.min("len_u").alias("b_min"),
         F.max("len_u").alias("b_max"),
         F.min("ts_us").alias("first_l"),
-        F.max("ts_us").alias("last_us"),
+        F.max("ts_us").alias("last_l"),
         F.min("d_us").alias("d_min"),
         F.max("d_us").alias("d_max"),
         F.sum(_dec(F.col("d_us")) * _dec(F.col("d_us"))).alias("d_sq"),
         F.max("binary_label").alias("any_attack"),
     )
-    # slice x label rows (far fewer than packets); written once to the shared checkpoint folder so the
-    # totals and the label branch below do not each re-read and re-shuffle the packets
-    checkpoint_dir(packets.sparkSession)
-    per_label = per_label.checkpoint(eager=True)
-    slices = per_label.groupBy(*keys, "slice_id").agg(
-        F.sum("n_l").alias("n"), F.sum("b_sum").alias("b_sum"), F.sum("b_sq").alias("b_sq"),
-        F.min("b_min").alias("b_min"), F.max("b_max").alias("b_max"), F.min("first_l").alias("first_us"),
-        F.max("last_us").alias("last_us"), F.min("d_min").alias("d_min"), F.max("d_max").alias("d_max"),
-        F.sum("d_sq").alias("d_sq"), F.max("any_attack").alias("any_attack"))
-    slice_labels = per_label.select(*keys, "slice_id", "multiclass_label", "n_l", "first_l")
 
     width_col = F.explode(F.array(*[F.struct(F.lit(w).alias("ws"), F.lit(wu).alias("wu"))
                                     for w, wu in zip(widths, widths_us)])).alias("w")
-
-    def with_window(df: DataFrame) -> DataFrame:
-        return (df.select("*", width_col)
-                .select("*", F.col("w.ws").alias("window_seconds"),
-                        floor_div(F.col("slice_id") * F.lit(slice_us), F.col("w.wu")).alias("window_id"))
-                .drop("w"))
-
     wkeys = (*keys, "window_seconds", "window_id")
-    sw = with_window(slices)
-    by_window = Window.partitionBy(*wkeys).orderBy("slice_id")
-    sw = sw.withColumn("gap", F.col("first_us") - F.lag("last_us").over(by_window))
-    stats = sw.groupBy(*wkeys).agg(
-        F.sum("n").alias("packet_count"),
-        F.sum("b_sum").alias("b_sum"),
-        F.sum("b_sq").alias("b_sq"),
-        F.min("b_min").alias("b_min"),
+    sl = (per_label.select("*", width_col)
+          .select("*", F.col("w.ws").alias("window_seconds"),
+                  floor_div(F.col("slice_id") * F.lit(slice_us), F.col("w.wu")).alias("window_id"))
+          .drop("w"))
+    # slice-level rows (one per slice and label) of a window share one exchange on the window keys:
+    # the slice's first/last time, the end of the previous non-empty slice (range frame over slice ids)
+    # and the gap between them, counted once per slice
+    in_slice = Window.partitionBy(*wkeys, "slice_id")
+    before = Window.partitionBy(*wkeys).orderBy("slice_id").rangeBetween(Window.unboundedPreceding, -1)
+    sl = (sl.withColumn("s_first", F.min("first_l").over(in_slice))
+          .withColumn("prev_last", F.max("last_l").over(before))
+          .withColumn("_lead", F.row_number().over(in_slice.orderBy("multiclass_label")) == 1)
+          .withColumn("gap", F.when(F.col("_lead"), F.col("s_first") - F.col("prev_last"))))
+    by_label = sl.groupBy(*wkeys, "multiclass_label").agg(
+        F.sum("n_l").alias("n_l"), F.min("first_l").alias("first_l"), F.max("last_l").alias("last_l"),
+        F.sum("b_sum").alias("b_sum"), F.sum("b_sq").alias("b_sq"), F.min("b_min").alias("b_min"),
         F.max("b_max").alias("b_max"),
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
-        F.least(F.min("d_min"), F.min("gap")).alias("d_min"),
-        F.greatest(F.max("d_max"), F.max("gap")).alias("d_max"),
+        F.least(F.min("d_min"), F.min("gap")).alias("d_min"), F.greatest(F.max("d_max"), F.max("gap")).alias("d_max"),
         (F.coalesce(F.sum("d_sq"), F.lit(0).cast("decimal(38,0)"))
          + F.coalesce(F.sum(_dec(F.col("gap")) * _dec(F.col("gap"))), F.lit(0).cast("decimal(38,0)"))).alias("d_sq"),
-        F.max("any_attack").alias("binary_label"),
-    )
-    labels = (with_window(slice_labels)
-              .groupBy(*wkeys, "multiclass_label")
-              .agg(F.sum("n_l").alias("n_l"), F.min("first_l").alias("first_l"))
-              .groupBy(*wkeys)
-              .agg(F.min_by(F.struct("multiclass_label", "n_l"),
-                            F.struct(-F.col("n_l"), F.col("first_l"), F.col("multiclass_label"))).alias("maj")))
-    joined = stats.join(labels, list(wkeys))
+        F.max("any_attack").alias("any_attack"))
+    joined = by_label.groupBy(*wkeys).agg(
+        F.sum("n_l").alias("packet_count"), F.sum("b_sum").alias("b_sum"), F.sum("b_sq").alias("b_sq"),
+        F.min("b_min").alias("b_min"), F.max("b_max").alias("b_max"), F.min("first_l").alias("first_us"),
+        F.max("last_l").alias("last_us"), F.min("d_min").alias("d_min"), F.max("d_max").alias("d_max"),
+        F.sum("d_sq").alias("d_sq"), F.max("any_attack").alias("binary_label"),
+        F.min_by(F.struct("multiclass_label", "n_l"),
+                 F.struct(-F.col("n_l"), F.col("first_l"), F.col("multiclass_label"))).alias("maj"))
     return _finish(joined, keys, len_scale)
 
 
