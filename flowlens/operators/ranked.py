@@ -12,7 +12,10 @@ order key is first mapped to a coarse *bucket* that preserves the order
 4. only rows in a bucket that contains a cut are ranked, with
    ``row_number`` over (stratum, bucket) - a small slice of one stratum.
 
-The result equals ``row_number`` over the whole stratum (tested against it).
+Bucket sizes follow the data: the largest stratum is counted first and the
+number of buckets is chosen so a bucket holds about a million rows (so the
+offsets table stays small and a cut bucket is a bounded sort).  The result
+equals ``row_number`` over the whole stratum (tested against it).
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import types as T
 from flowlens.session import checkpoint_dir
 
 HASH_BUCKET_BITS = 16
+TARGET_BUCKET_ROWS = 1_000_000  # rows per bucket: the most one task ever sorts for a cut
 
 
 def hash_key(seed: int, *ids: Column | str) -> Column:
@@ -34,13 +38,30 @@ def hash_key(seed: int, *ids: Column | str) -> Column:
 
 
 def hash_bucket(key: Column, bits: int = HASH_BUCKET_BITS) -> Column:
-    """Order-preserving bucket of an md5 hex key: its leading ``bits`` bits."""
+    """Order-preserving bucket of an md5 hex key: its leading ``bits`` bits (a multiple of 4)."""
     digits = bits // 4
+    if digits == 0:
+        return F.lit(0)
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
+def bucket_bits(largest_stratum: int, target: int = TARGET_BUCKET_ROWS, max_bits: int = 24) -> int:
+    """Hash-bucket bits so that a bucket of the largest stratum holds about ``target`` rows."""
+    bits = 0
+    while bits < max_bits and (largest_stratum >> bits) > target:
+        bits += 4
+    return bits
+
+
+def bucket_count(rows: int, target: int = TARGET_BUCKET_ROWS, max_buckets: int = 1 << 16) -> int:
+    """Number of quantile buckets so that a bucket holds about ``target`` rows."""
+    return int(min(max_buckets, max(1, -(-rows // target))))
+
+
 def quantile_bucket(df: DataFrame, column: str, buckets: int = 1024, out: str = "_bucket") -> DataFrame:
     """Order-preserving bucket of a numeric column from approximate quantiles (skew-robust)."""
+    if buckets <= 1:
+        return df.withColumn(out, F.lit(0))
     tmp = f"{out}_src"
     qd = QuantileDiscretizer(numBuckets=buckets, inputCol=tmp, outputCol=out, relativeError=1e-3,
                              handleInvalid="keep")

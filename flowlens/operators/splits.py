@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.ranked import assign_by_cuts, hash_bucket, hash_key, quantile_bucket
+from flowlens.operators.ranked import assign_by_cuts, bucket_bits, bucket_count, hash_bucket, hash_key, quantile_bucket
 from flowlens.vocab import GROUP_CANDIDATES, TIME_CANDIDATES
 
 SPLITS = ("train", "val", "test")
 
 
+def _largest(df: DataFrame, strata: list[str]) -> int:
+    """Row count of the largest stratum (one small aggregate; sizes the rank buckets)."""
+    row = df.groupBy(*strata).count().agg(F.max("count")).first()
+    return int(row[0] or 0)
+
+
 def _allocate(counts: DataFrame, label: str, n_col: str, target: Column, out: str) -> DataFrame:
     """Largest-remainder allocation of ``target`` rows over classes in proportion to ``n_col``.
 
@@ -63,9 +69,10 @@ def stratified_cuts_from_counts(counts: DataFrame, label: str, test_size: float
 def random_stratified_split(df: DataFrame, label: str, id_cols: list[str], seed: int = 42, test_size: float = 0.30,
                             val_share: float = 0.50, out: str = "split") -> DataFrame:
     """70/15/15 stratified split; within a class rows are ordered by md5(seed:id)."""
-    keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key")))
+    bits = bucket_bits(_largest(df, [label]))
+    keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key"), bits))
 
-    def cuts(totals: DataFrame) -> DataFrame:  # class totals come from the offsets table, no extra scan
+    def cuts(totals: DataFrame) -> DataFrame:  # class totals come from the offsets table
         return stratified_cuts_from_counts(totals, label, test_size, val_share, n_col="n_stratum").select(
             label, "cut_train", "cut_val")
 
@@ -93,8 +100,9 @@ def group_split(df: DataFrame, group: str, seed: int = 42, train_size: float = 0
     """Groups never shared: groups ordered by md5(seed:group); floor(0.7 G) train groups,
     then floor(0.5 G_rest) validation groups, the rest test.  Null group = '<NA>'."""
     gkey = F.coalesce(F.col(group).cast("string"), F.lit("<NA>"))
-    groups = (df.select(gkey.alias("_group")).distinct()
-              .withColumn("_key", hash_key(seed, "_group")).withColumn("_bucket", hash_bucket(F.col("_key"))))
+    groups = df.select(gkey.alias("_group")).distinct()
+    bits = bucket_bits(groups.count())
+    groups = groups.withColumn("_key", hash_key(seed, "_group")).withColumn("_bucket", hash_bucket(F.col("_key"), bits))
     def cuts(totals: DataFrame) -> DataFrame:
         g = F.col("n_stratum")
         return totals.select(
@@ -124,7 +132,7 @@ def time_block_split(df: DataFrame, order_cols: list[str], train: float = 0.70,
     equal times is ranked bucket by bucket.
     """
     time_col = order_cols[0]
-    keyed = quantile_bucket(df, time_col, buckets=buckets, out="_bucket")
+    keyed = quantile_bucket(df, time_col, buckets=min(buckets, bucket_count(df.count())), out="_bucket")
 
     def cuts(totals: DataFrame) -> DataFrame:
         n = F.col("n_stratum")

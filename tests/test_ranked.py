@@ -16,3 +16,17 @@ def test_exact_rank_equals_row_number(spark, rows):
     got = exact_rank(df, ["c"], "b", ["k", "id"]).select("id", "rank")
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy("k", "id")) - 1).select("id", "rank")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_assign_by_cuts_multi_bucket_equals_naive(spark):
+    from flowlens.operators.ranked import assign_by_cuts
+
+    df = spark.range(3000).withColumn("c", (F.col("id") % 3).cast("int")).withColumn("k", hash_key(11, "id")) \
+        .withColumn("b", hash_bucket(F.col("k"), bits=8))
+    cuts = spark.createDataFrame([(0, 400, 800), (1, 10, 999), (2, 0, 500)], "c int, cut_a long, cut_b long")
+    got = assign_by_cuts(df, ["c"], "b", ["k", "id"], cuts, ["cut_a", "cut_b"], ["a", "b", "z"], out="lab") \
+        .select("id", "lab")
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("k", "id")) - 1
+    want = df.join(cuts, "c").withColumn("r", rank).select(
+        "id", F.when(F.col("r") < F.col("cut_a"), "a").when(F.col("r") < F.col("cut_b"), "b").otherwise("z").alias("lab"))
+    assert sorted(got.collect()) == sorted(want.collect())
