@@ -27,8 +27,9 @@ ZEEK_CAP, ZEEK_BUDGET = 1500, 4000
 def zeek_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in Zeek logs from events: one log per user, a '#fields' header, one tab-separated line per event
     (purchases with k > 90 carry an extra token, i.e. a malformed line)."""
-    ev = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k")
+    # the JSON field is extracted once into a column, then referenced by the line expressions
+    ev = table(spark, sf_dir, "events").withColumn("_k", F.get_json_object("props", "$.k"))
+    k = F.col("_k")
     et = F.col("event_type")
     fields = [
         F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.concat(F.lit("C"), F.col("event_id").cast("string")),
