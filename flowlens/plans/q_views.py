@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,5 +220,3 @@ def hard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.array_join("r", "; ").alias("exclusion_reason"),
                           F.lit("remove_from_all_model_views").alias("action"))
 
-
-__all__ = ["sources", "packet_table", "biflow_source", "reduce"]
