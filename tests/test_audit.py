@@ -20,3 +20,16 @@ def test_separable_vs_constant(spark):
 def test_single_class_gives_null(spark):
     df = spark.range(50).select("id", F.lit(1).alias("binary_label"), F.col("id").cast("double").alias("f"))
     assert single_feature_scores(df, ["f"], "t", id_cols=["id"]).first()["single_feature_macro_f1"] is None
+
+
+def test_permutation_importance(spark):
+    from flowlens.operators.experiments import permutation_importance
+
+    df = spark.range(600).select(
+        "id", (F.col("id") % 2).cast("int").alias("binary_label"),
+        ((F.col("id") % 2) * 10 + (F.col("id") % 5)).cast("double").alias("good"),
+        F.lit(1.0).alias("flat"))
+    imp = {r["feature"]: r["importance"]
+           for r in permutation_importance(df, ["good", "flat"], "t", "strict", model="Random Forest",
+                                           id_cols=["id"]).collect()}
+    assert imp["good"] > 0.3 and imp["flat"] == 0.0
