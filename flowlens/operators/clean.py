@@ -20,7 +20,8 @@ KEEP_LABELS = ("binary_label", "multiclass_label")
 def column_drop_plan(df: DataFrame, exempt=KEEP_LABELS) -> DataFrame:
     """Per column: kept / dropped_empty / dropped_constant / dropped_duplicate (+ duplicate_of).
 
-    Returns a small DataFrame (one row per column).
+    ``exempt`` columns (the labels) are never dropped (C11).  Returns a small
+    DataFrame (one row per column).
     """
     spark = df.sparkSession
     cols = df.columns
@@ -35,6 +36,8 @@ def column_drop_plan(df: DataFrame, exempt=KEEP_LABELS) -> DataFrame:
     dup_of: dict[str, str] = {}
     for i, c in enumerate(cols):
         cnt = stats[f"c{i}"]
+        if c in exempt:
+            continue
         if cnt == 0:
             status[c] = "dropped_empty"
         elif c not in exempt and cnt == n and stats[f"lo{i}"] == stats[f"hi{i}"]:
@@ -50,7 +53,7 @@ def column_drop_plan(df: DataFrame, exempt=KEEP_LABELS) -> DataFrame:
     if pairs:
         check = df.agg(*[F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).first()
         for k, (a, b) in enumerate(pairs):
-            if check[f"p{k}"] == 0 and b not in status:
+            if check[f"p{k}"] == 0 and b not in status and b not in exempt:
                 status[b] = "dropped_duplicate"
                 dup_of[b] = a
     rows = [(i, c, status.get(c, "kept"), dup_of.get(c)) for i, c in enumerate(cols)]
@@ -121,7 +124,7 @@ def encode_labels(df: DataFrame, label: str, codes: DataFrame) -> DataFrame:
 
 
 def preprocess_table(df: DataFrame, dataset: str, file_col: str = "source_file", label_column: str | None = None,
-                     flow_metadata: bool = False) -> tuple[DataFrame, DataFrame]:
+                     flow_metadata: bool = False, min_label_score: int = 1) -> tuple[DataFrame, DataFrame]:
     """The cleaning job for one dataset (C1-C14): returns (cleaned table, one metadata row).
 
     Names are normalised; the label column is detected (or taken from the
@@ -129,7 +132,10 @@ def preprocess_table(df: DataFrame, dataset: str, file_col: str = "source_file",
     file; a two-valued label becomes benign / the file's attack name;
     empty, constant and duplicate columns, leakage/forbidden names and
     high-cardinality strings are dropped (labels exempt); optionally the
-    common flow metadata are added (F5).
+    common flow metadata are added (F5).  ``min_label_score=1`` keeps the
+    original detection, where any low-cardinality column can become the
+    label; 3 requires a label-like name and otherwise labels come from the
+    file names.
     """
     from flowlens.functions.labels import label_from_filename, label_to_binary
     from flowlens.functions.names import unique_columns
@@ -141,7 +147,7 @@ def preprocess_table(df: DataFrame, dataset: str, file_col: str = "source_file",
     df = df.toDF(*unique_columns(df.columns))
     if file_col not in df.columns:
         df = df.withColumn(file_col, F.lit(dataset))
-    label = label_column or detect_label_column(df.drop(file_col))
+    label = label_column or detect_label_column(df.drop(file_col), min_score=min_label_score)
     raw = F.col(label) if label else label_from_filename(F.col(file_col))
     work = df.withColumn("binary_label", label_to_binary(raw)).withColumn("__raw_label", raw.cast("string"))
     per_file = work.groupBy(file_col).agg(
@@ -158,6 +164,8 @@ def preprocess_table(df: DataFrame, dataset: str, file_col: str = "source_file",
     work = (work.join(per_file.select(file_col, "label_values"), file_col)
             .withColumn("multiclass_label", multi).drop("label_values", "__raw_label")
             .withColumn("dataset_name", F.lit(dataset)))
+    # labels first (so a raw label column equal to them is the duplicate that goes)
+    work = work.select(*KEEP_LABELS, *[c for c in work.columns if c not in KEEP_LABELS])
     plan = column_drop_plan(work)
     structural = [r["column"] for r in plan.where(F.col("status") != "kept").collect()]
     work = work.drop(*structural)
