@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import exact_dedup, mixing, packing, quality_model, quality_rules, token_counts, warc  # noqa: F401  (registers queries)
+from flowlens.llm import exact_dedup, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, warc  # noqa: F401  (registers queries)
 from flowlens.llm.common import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_QUERIES", "LLM_ORACLES"]
