@@ -355,6 +355,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(F.col("_doc").alias(id_col), "n_shingles", F.when(F.col("cls").isNull(), F.col("_doc")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each group of linked ones: the one with the smallest id.
+
+    Rows that repeat an id stay or go together."""
+    groups = similar_groups(docs, id_col, text)
+    stay = stored(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct(), "stay")
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+
+
 @llm_query("op8_jaccard_join")
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
