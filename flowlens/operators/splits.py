@@ -7,41 +7,39 @@ an RNG, so every split is reproducible on any partitioning.  A split is a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.ranked import assign_by_cuts, bucket_bits, bucket_count, hash_bucket, hash_key, quantile_bucket
+from flowlens.operators.ranked import HASH_BUCKET_BITS, TIME_BUCKETS, assign_by_cuts, hash_bucket, hash_key, order_bucket, small_side
 from flowlens.vocab import GROUP_CANDIDATES, TIME_CANDIDATES
 
 SPLITS = ("train", "val", "test")
 
 
-def _largest(df: DataFrame, strata: list[str]) -> int:
-    """Row count of the largest stratum (one small aggregate; sizes the rank buckets)."""
-    row = df.groupBy(*strata).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
-def _allocate(counts: DataFrame, label: str, n_col: str, target: Column, out: str) -> DataFrame:
+def _allocate(counts: DataFrame, label: str, n_col: str, target: int, out: str) -> DataFrame:
     """Largest-remainder allocation of ``target`` rows over classes in proportion to ``n_col``.
 
-    Exact integer arithmetic; ties in the remainder go to the smaller label.
-    Works on the class table (one row per class).
+    Exact integer arithmetic; ties in the remainder go to the smaller label (null last).
+    Works on the class table (one row per class): two sums, and a top-k for the remainders.
     """
-    total = F.sum(n_col).over(Window.partitionBy(F.lit(0)))
-    q = F.col("_target") * F.col(n_col)
-    step = (counts.withColumn("_target", target.cast("long")).withColumn("_total", total.cast("long"))
-            .withColumn("_base", F.when(F.col("_total") > 0, ((q - F.pmod(q, F.col("_total"))) / F.col("_total")).cast("long"))
-                        .otherwise(F.lit(0).cast("long")))
-            .withColumn("_frac", F.when(F.col("_total") > 0, F.pmod(q, F.col("_total"))).otherwise(F.lit(0).cast("long"))))
-    step = step.withColumn("_extra", F.col("_target") - F.sum("_base").over(Window.partitionBy(F.lit(0))))
-    step = step.withColumn("_pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_frac"), F.col(label))))
-    step = step.withColumn(out, (F.col("_base") + F.when(F.col("_pos") <= F.col("_extra"), 1).otherwise(0)).cast("long"))
-    return step.drop("_target", "_total", "_base", "_frac", "_extra", "_pos")
+    total = int(counts.agg(F.sum(n_col)).first()[0] or 0)
+    q = F.lit(target).cast("long") * F.col(n_col)
+    base = (q - F.pmod(q, F.lit(total))) / F.lit(total) if total else F.lit(0)
+    frac = F.pmod(q, F.lit(total)) if total else F.lit(0)
+    step = counts.withColumn(out, base.cast("long")).withColumn("_frac", frac.cast("long"))
+    extra = target - int(step.agg(F.sum(out)).first()[0] or 0)
+    if extra > 0:
+        top = step.orderBy(F.desc("_frac"), F.col(label).asc_nulls_last()).limit(extra).select(F.col(label).alias("_one_more"))
+        top = small_side(top.withColumn("_add", F.lit(1)))
+        step = step.join(top, F.col(label).eqNullSafe(F.col("_one_more")), "left").withColumn(
+            out, F.col(out) + F.coalesce("_add", F.lit(0))).drop("_one_more", "_add")
+    return step.drop("_frac")
 
 
 def stratified_cuts(df: DataFrame, label: str, test_size: float = 0.30, val_share: float = 0.50) -> DataFrame:
-    """Per class: n, train, val and the rank cuts (train | val | test).
+    """Per class: n, train, val and the rank cuts (train | val | test); a null label is a class.
 
     Totals follow the usual shuffle-split rules: n_test = ceil(test_size * n),
     then the held-out part is split again with ceil(val_share * n_held) test
@@ -54,22 +52,20 @@ def stratified_cuts_from_counts(counts: DataFrame, label: str, test_size: float
                                 n_col: str = "n_c") -> DataFrame:
     """:func:`stratified_cuts` from a class-count table (one row per class)."""
     counts = counts.withColumnRenamed(n_col, "n_c") if n_col != "n_c" else counts
-    all_rows = Window.partitionBy(F.lit(0))
-    n = F.sum("n_c").over(all_rows)
-    n_test = F.ceil(F.lit(test_size) * n)
-    cuts = _allocate(counts, label, "n_c", n - n_test, "train_c")
+    n = int(counts.agg(F.sum("n_c")).first()[0] or 0)
+    cuts = _allocate(counts, label, "n_c", n - math.ceil(test_size * n), "train_c")
     cuts = cuts.withColumn("held_c", F.col("n_c") - F.col("train_c"))
-    n_held = F.sum("held_c").over(all_rows)
-    cuts = _allocate(cuts, label, "held_c", n_held - F.ceil(F.lit(val_share) * n_held), "val_c")
+    n_held = int(cuts.agg(F.sum("held_c")).first()[0] or 0)
+    cuts = _allocate(cuts, label, "held_c", n_held - math.ceil(val_share * n_held), "val_c")
     return (cuts.withColumn("cut_train", F.col("train_c"))
             .withColumn("cut_val", F.col("train_c") + F.col("val_c"))
             .select(label, "n_c", "train_c", "val_c", "cut_train", "cut_val"))
 
 
 def random_stratified_split(df: DataFrame, label: str, id_cols: list[str], seed: int = 42, test_size: float = 0.30,
-                            val_share: float = 0.50, out: str = "split") -> DataFrame:
-    """70/15/15 stratified split; within a class rows are ordered by md5(seed:id)."""
-    bits = bucket_bits(_largest(df, [label]))
+                            val_share: float = 0.50, out: str = "split", bits: int = HASH_BUCKET_BITS) -> DataFrame:
+    """70/15/15 stratified split; within a class rows are ordered by md5(seed:id).  Rows with a null label are a
+    class of their own.  ``bits`` sets the number of rank buckets and never the result."""
     keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key"), bits))
 
     def cuts(totals: DataFrame) -> DataFrame:  # class totals come from the offsets table
@@ -101,8 +97,7 @@ def group_split(df: DataFrame, group: str, seed: int = 42, train_size: float = 0
     then floor(0.5 G_rest) validation groups, the rest test.  Null group = '<NA>'."""
     gkey = F.coalesce(F.col(group).cast("string"), F.lit("<NA>"))
     groups = df.select(gkey.alias("_group")).distinct()
-    bits = bucket_bits(groups.count())
-    groups = groups.withColumn("_key", hash_key(seed, "_group")).withColumn("_bucket", hash_bucket(F.col("_key"), bits))
+    groups = groups.withColumn("_key", hash_key(seed, "_group")).withColumn("_bucket", hash_bucket(F.col("_key")))
     def cuts(totals: DataFrame) -> DataFrame:
         g = F.col("n_stratum")
         return totals.select(
@@ -124,24 +119,31 @@ def find_time_field(columns: list[str], candidates=TIME_CANDIDATES) -> str | Non
 
 
 def time_block_split(df: DataFrame, order_cols: list[str], train: float = 0.70, val: float = 0.15,
-                     buckets: int = 1024, out: str = "split") -> DataFrame:
-    """First floor(0.7 n) rows in time order train, next floor(0.15 n) val, rest test.
+                     buckets: int = TIME_BUCKETS, out: str = "split") -> DataFrame:
+    """First floor(0.7 n) rows in time order train, next floor(0.15 n) val, rest test; null times come last.
 
-    ``order_cols`` = time column first, then a unique id (total order).  The
-    time column is cut into approximate-quantile buckets so even a burst of
-    equal times is ranked bucket by bucket.
+    ``order_cols`` = time column (timestamp, date or number) first, then a unique numeric id (total
+    order).  Time is cut at quantiles and a burst of equal times at quantiles of the id, so
+    it is ranked bucket by bucket.  ``buckets`` never changes the result.
     """
-    time_col = order_cols[0]
-    keyed = quantile_bucket(df, time_col, buckets=min(buckets, bucket_count(df.count())), out="_bucket")
+    keyed = order_bucket(df, order_cols, buckets=buckets, ties=buckets, out="_bucket")
 
     def cuts(totals: DataFrame) -> DataFrame:
         n = F.col("n_stratum")
         return totals.select(F.floor(F.lit(train) * n).cast("long").alias("cut_train"),
                              (F.floor(F.lit(train) * n) + F.floor(F.lit(val) * n)).cast("long").alias("cut_val"))
-    return assign_by_cuts(keyed, [], "_bucket", order_cols, cuts, ["cut_train", "cut_val"], list(SPLITS),
+    order = [F.col(c).asc_nulls_last() for c in order_cols]
+    return assign_by_cuts(keyed, [], "_bucket", order, cuts, ["cut_train", "cut_val"], list(SPLITS),
                           out=out).drop("_bucket")
 
 
+def available_splits(df: DataFrame) -> list[tuple[str, str | None]]:
+    """(split type, field) that a table allows: the random split always, the group split with the first
+    group field of more than one value, the time-block split with the first time field."""
+    group, time = find_group_field(df), find_time_field(df.columns)
+    return [("random_stratified", None), *([("group_split", group)] if group else []), *([("time_block_split", time)] if time else [])]
+
+
 def transfer_split(source: DataFrame, target: DataFrame, label: str, id_cols: list[str], seed: int = 42,
                    out: str = "split") -> tuple[DataFrame, DataFrame]:
     """Source gets a 70/15/15 stratified split (its test part unused); every target row is test."""
@@ -168,28 +170,35 @@ def split_validity(df: DataFrame, label: str, split: str = "split") -> DataFrame
 
 
 def class_cap_sample(df: DataFrame, label: str, id_cols: list[str], seed: int = 42, max_per_class: int = 10_000,
-                     sample_size: int | None = 100_000) -> DataFrame:
+                     sample_size: int | None = 100_000, bits: int = HASH_BUCKET_BITS) -> DataFrame:
     """At most ``max_per_class`` rows per class, then at most ``sample_size`` rows overall.
 
-    Rows are taken in md5(seed:id) order.  The per-class cut is a bucketed
+    Rows are taken in md5(seed:id) order; a null label is a class.  The per-class cut is a bucketed
     rank cut (only the md5 bucket holding the cut position is sorted), so a
     class holding most of the table is never gathered into one task; the
     global cap is a top-k (TakeOrderedAndProject) over at most
     classes x max_per_class rows.
     """
-    keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key")))
-    def cuts(totals: DataFrame) -> DataFrame:
-        return totals.select(label, F.least(F.col("n_stratum"), F.lit(max_per_class)).cast("long").alias("cap"))
-
-    capped = assign_by_cuts(keyed, [label], "_bucket", ["_key", *id_cols], cuts, ["cap"], ["keep", "drop"], out="_keep")
-    capped = capped.where(F.col("_keep") == "keep").drop("_keep", "_bucket")
+    keyed = df.withColumn("_key", hash_key(seed, *id_cols)).withColumn("_bucket", hash_bucket(F.col("_key"), bits))
+    capped = _first_per_class(keyed, label, "_bucket", ["_key", *id_cols], max_per_class)
     if sample_size:
         capped = capped.orderBy("_key", *id_cols).limit(sample_size)
-    return capped.drop("_key")
+    return capped.drop("_key", "_bucket")
+
+
+def _first_per_class(df: DataFrame, cls: str, bucket: str, order: list, cap: int) -> DataFrame:
+    def cuts(totals: DataFrame) -> DataFrame:
+        return totals.select(cls, F.least(F.col("n_stratum"), F.lit(cap)).cast("long").alias("cap"))
+
+    return assign_by_cuts(df, [cls], bucket, order, cuts, ["cap"], ["keep", "drop"], out="_keep").where(
+        F.col("_keep") == "keep").drop("_keep")
 
 
 def first_n_budget(df: DataFrame, cls: str, order_cols: list[str], cap: int, budget: int | None) -> DataFrame:
-    """O2: per class the first ``cap`` rows in ``order_cols`` order, then the first ``budget`` of those."""
-    w = Window.partitionBy(cls).orderBy(*order_cols)
-    kept = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-    return kept.orderBy(*order_cols).limit(budget) if budget else kept
+    """O2: per class the first ``cap`` rows in ``order_cols`` order (nulls last), then the first ``budget`` of those.
+
+    A bucketed rank cut: only the bucket of each class that holds the cap position is sorted."""
+    keys = order_cols if len(order_cols) > 1 else [*order_cols, *order_cols]
+    order = [F.col(c).asc_nulls_last() for c in order_cols]
+    kept = _first_per_class(order_bucket(df, keys), cls, "_bucket", order, cap).drop("_bucket")
+    return kept.orderBy(*order).limit(budget) if budget else kept

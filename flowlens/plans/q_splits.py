@@ -163,3 +163,48 @@ def first_n_budget_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: first 1,000 events per type in time order, then the first 4,000 of those."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     return first_n_budget(ev, "event_type", ["ts", "event_id"], cap=1000, budget=4000).drop("ts")
+
+
+# -- the same operators with many rank buckets, null labels, null times and whole days of equal times --------------
+NULLED_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber <> 3 THEN l_returnflag END AS mode,
+  CASE WHEN l_linenumber <> 5 THEN CAST(l_shipdate AS DATE) END AS day FROM lineitem"""
+
+
+def _nulled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with a label and a day that are null in some rows."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*LI_ID, F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")).alias("mode"),
+                     F.when(F.col("l_linenumber") != 5, F.col("l_shipdate").cast("date")).alias("day"))
+
+
+@query("time_block_split_buckets", f"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY day NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS r,
+                  count(*) OVER () AS n FROM ({NULLED_SQL}))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN r < floor(CAST(0.7 AS DOUBLE) * n) THEN 'train'
+       WHEN r < floor(CAST(0.7 AS DOUBLE) * n) + floor(CAST(0.15 AS DOUBLE) * n) THEN 'val' ELSE 'test' END AS split
+FROM r""")
+def time_block_split_buckets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X4 on days: ties split by id, null days last, no row lost."""
+    return time_block_split(_nulled(spark, sf_dir), ["day", *LI_ID], buckets=64).drop("day", "mode")
+
+
+@query("stratified_split_buckets", STRATIFIED_SQL.replace("l_returnflag, l_linestatus,", "mode,").replace(
+    "l_returnflag", "mode").replace(", l_linestatus", "").replace("FROM lineitem)", f"FROM ({NULLED_SQL}))").replace(
+    "JOIN cuts USING (mode)", "JOIN cuts ON rk.mode IS NOT DISTINCT FROM cuts.mode").replace(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, mode,\n       CASE", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rk.mode,\n       CASE").replace(
+    "ORDER BY frac DESC, mode)", "ORDER BY frac DESC, mode NULLS LAST)"))
+def stratified_split_buckets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2 with a null class and 256 rank buckets for each class."""
+    return random_stratified_split(_nulled(spark, sf_dir).drop("day"), "mode", LI_ID, seed=42, bits=8)
+
+
+@query("class_cap_buckets", f"""
+WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, mode, md5(concat_ws(':', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS key FROM ({NULLED_SQL}))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, mode FROM (
+  SELECT *, row_number() OVER (PARTITION BY mode ORDER BY key, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM k)
+WHERE r <= 2000""")
+def class_cap_buckets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 with a null class and 256 rank buckets: at most 2,000 rows of each class (the cap is the feature)."""
+    return class_cap_sample(_nulled(spark, sf_dir).drop("day"), "mode", LI_ID, seed=42, max_per_class=2000,
+                            sample_size=None, bits=8)

@@ -30,3 +30,26 @@ def test_assign_by_cuts_multi_bucket_equals_naive(spark):
     want = df.join(cuts, "c").withColumn("r", rank).select(
         "id", F.when(F.col("r") < F.col("cut_a"), "a").when(F.col("r") < F.col("cut_b"), "b").otherwise("z").alias("lab"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_nulls_and_ties_keep_every_row_whatever_the_bucket_count(spark):
+    from flowlens.operators.splits import random_stratified_split, time_block_split
+
+    df = spark.range(1000).select(
+        "id", F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 7).cast("string")).alias("y"),
+        F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("t"))
+    rank = F.row_number().over(Window.orderBy(F.col("t").asc_nulls_last(), "id")) - 1
+    want = {r["id"]: r["s"] for r in df.select("id", F.when(rank < 700, "train").when(rank < 850, "val").otherwise("test").alias("s")).collect()}
+    for buckets in (1, 64):
+        got = {r["id"]: r["split"] for r in time_block_split(df, ["t", "id"], buckets=buckets).collect()}
+        assert got == want
+    one, many = (random_stratified_split(df, "y", ["id"], bits=b).select("id", "split").collect() for b in (0, 8))
+    assert len(one) == 1000 and sorted(one) == sorted(many)
+
+
+def test_dates_order_a_time_block_split(spark):
+    from flowlens.operators.splits import time_block_split
+
+    df = spark.range(100).select("id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 10).cast("int")).alias("d"))
+    sizes = {r["split"]: r["count"] for r in time_block_split(df, ["d", "id"]).groupBy("split").count().collect()}
+    assert sizes == {"train": 70, "val": 15, "test": 15}
