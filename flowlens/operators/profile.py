@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from flowlens.functions.names import norm
 from flowlens.vocab import LABEL_EXACT, LABEL_TOKENS, LEAKAGE_TOKENS, SENSITIVE_TOKENS
 
-HEAD_SAMPLE_ROWS = 5000
+FEW_VALUES, FEW_CODES = 50, 5
+HASH_SLOTS = 4096
 
 
 def null_expr(df: DataFrame, column: str):
@@ -34,30 +35,41 @@ def suspicious_fields(columns: list[str], tokens) -> list[str]:
     return [c for c in columns if any(t in norm(c) for t in tokens)]
 
 
-def detect_label_column(df: DataFrame, min_score: int = 1, sample_rows: int = HEAD_SAMPLE_ROWS) -> str | None:
-    """Exact label name first (fixed priority order), else the best name/cardinality score.
+def few_valued(df: DataFrame, columns: list[str], most: int = FEW_VALUES) -> dict[str, int]:
+    """Exact distinct counts of the columns that have at most ``most`` values, over all rows.
 
-    The scores use a head sample; the distinct counts of all columns come
-    from one aggregate over that sample.
+    The first aggregate counts hash slots, of which a column has no more than values: a bounded set per
+    column that rules out the others.  Only what is left is counted exactly.
     """
-    lowered = {c.lower().strip(): c for c in df.columns}
-    for key in LABEL_EXACT:
-        if key in lowered:
-            return lowered[key]
-    sample = df.limit(sample_rows)
-    counts = sample.agg(*[F.count_distinct(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    scored = []
-    for i, c in enumerate(df.columns):
-        low = c.lower().strip()
-        score = 3 if any(t in low for t in LABEL_TOKENS) else 0
-        nunique = counts[f"n{i}"]
-        if 1 < nunique <= 50:
-            score += 1
-        if isinstance(df.schema[c].dataType, T.NumericType) and nunique <= 5:
-            score += 1
-        if score >= min_score and score > 0:
-            scored.append((-score, c))
-    return sorted(scored)[0][1] if scored else None
+    if not columns:
+        return {}
+    slots = df.agg(*[F.size(F.collect_set(F.pmod(F.xxhash64(c), F.lit(HASH_SLOTS)))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    left = [c for i, c in enumerate(columns) if slots[f"n{i}"] <= most + 1]
+    if not left:
+        return {}
+    exact = df.agg(*[F.count_distinct(F.col(c)).alias(f"n{i}") for i, c in enumerate(left)]).first()
+    return {c: exact[f"n{i}"] for i, c in enumerate(left) if exact[f"n{i}"] <= most}
+
+
+def label_points(df: DataFrame) -> dict[str, int]:
+    """Points of each column as a label: 3 for a telling name, 1 for 2 to 50 values, 1 for a number of up to 5 values."""
+    values = few_valued(df, df.columns)
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    rules = [(3, lambda c: any(t in c.lower() for t in LABEL_TOKENS)),
+             (1, lambda c: values.get(c, 0) > 1),
+             (1, lambda c: c in numeric and values.get(c, FEW_CODES + 1) <= FEW_CODES)]
+    return {c: sum(points for points, holds in rules if holds(c)) for c in df.columns}
+
+
+def detect_label_column(df: DataFrame, min_score: int = 1) -> str | None:
+    """The column with an exact label name, in their fixed order, else the one with the most points over the whole
+    table (the smaller name of equals); None below ``min_score`` points."""
+    exact = min((LABEL_EXACT.index(c.lower().strip()), c) for c in df.columns if c.lower().strip() in LABEL_EXACT) if any(
+        c.lower().strip() in LABEL_EXACT for c in df.columns) else None
+    if exact:
+        return exact[1]
+    ranked = sorted((-p, c) for c, p in label_points(df).items() if p >= max(1, min_score))
+    return ranked[0][1] if ranked else None
 
 
 def table_profile(df: DataFrame, dataset: str, label_column: str | None = None) -> DataFrame:

@@ -79,6 +79,8 @@ def order_bucket(df: DataFrame, order_cols: list[str], buckets: int = TIME_BUCKE
     times don't meet in one task.  The cut points (at most 2 x buckets + ties numbers) pass the driver.
     """
     time_col, id_col = order_cols[0], order_cols[1]
+    if not isinstance(df.schema[time_col].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df.withColumn(out, F.lit(0).cast("long"))  # an order that starts with a text isn't cut
     src = df.withColumn("_t", as_number(df, time_col)).withColumn("_i", as_number(df, id_col))
     probs = [k / buckets for k in range(1, buckets)]
     id_probs = [k / ties for k in range(1, ties)]

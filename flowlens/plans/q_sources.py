@@ -10,22 +10,23 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.flow import history_column
 from flowlens.operators.profile import detect_label_column
-from flowlens.plans.registry import TABLES, query, table
+from flowlens.plans.registry import query, table
 from flowlens.session import scratch_path
+from flowlens.sources.archives import read_members, write_zip, zip_members
 from flowlens.sources.files import discover_files, read_delimited, sniff_delimiters
 from flowlens.sources.manifest import file_digests, verify_manifest
-from flowlens.sources.pages import listing_rows, page_links
-from flowlens.sources.zeek import parse_zeek, zeek_flows
-from flowlens.vocab import ZEEK_HISTORY_CHARS, ZEEK_NUMERIC_COLUMNS
+from flowlens.sources.pages import absolute_url, folder_links, listing_rows, page_links
+from flowlens.sources.zeek import parse_zeek, read_zeek_lines, zeek_flows
+from flowlens.vocab import LABEL_EXACT, LABEL_TOKENS, ZEEK_HISTORY_CHARS, ZEEK_NUMERIC_COLUMNS
 
 ZEEK_FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration",
                "orig_bytes", "resp_bytes", "conn_state", "local_orig", "local_resp", "missed_bytes", "history",
                "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes", "tunnel_parents", "label", "detailed-label"]
-ZEEK_CAP, ZEEK_BUDGET = 1500, 4000
+ZEEK_LOGS = 16
 
 
 def zeek_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in Zeek logs from events: one log per user, a '#fields' header, one tab-separated line per event
+    """Stand-in Zeek logs from events, written as text files: one log per group of users, a '#fields' header, one line per event
     (purchases with k > 90 carry an extra token, i.e. a malformed line)."""
     # the JSON field is extracted once into a column, then referenced by the line expressions
     ev = table(spark, sf_dir, "events").withColumn("_k", F.get_json_object("props", "$.k"))
@@ -51,19 +52,23 @@ def zeek_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     line = F.concat_ws("\t", *fields)
     line = F.when((et == "purchase") & (k.cast("long") > 90), F.concat(line, F.lit("\textra"))).otherwise(line)
-    log = F.concat(F.lit("zeek/conn_u"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit(".log.labeled"))
-    data = ev.select(log.alias("source_file"), (F.col("event_id") + 2).alias("line_no"), line.alias("value"))
-    files = ev.select(log.alias("source_file")).distinct()
-    heads = files.select("source_file", F.explode(F.array(
+    log = F.concat(F.lit("zeek_conn_u"), F.lpad((F.col("user_id") % ZEEK_LOGS).cast("string"), 2, "0"), F.lit(".log.labeled"))
+    data = ev.select(log.alias("log"), (F.col("event_id") + 2).alias("line_no"), line.alias("value"))
+    files = spark.range(ZEEK_LOGS).select(F.concat(F.lit("zeek_conn_u"), F.lpad(F.col("id").cast("string"), 2, "0"), F.lit(".log.labeled")).alias("log"))
+    heads = files.select("log", F.explode(F.array(
         F.struct(F.lit(0).cast("long").alias("line_no"), F.lit("#separator \\x09").alias("value")),
         F.struct(F.lit(1).cast("long").alias("line_no"), F.lit("#fields\t" + "\t".join(ZEEK_FIELDS)).alias("value")),
-    )).alias("h")).select("source_file", "h.line_no", "h.value")
-    return heads.unionByName(data)
+    )).alias("h")).select("log", "h.line_no", "h.value")
+    root = scratch_path(spark, f"zeek/{uuid.uuid4().hex}")
+    lines = heads.unionByName(data).repartition(ZEEK_LOGS, "log").sortWithinPartitions("log", "line_no")
+    lines.select("log", "value").write.partitionBy("log").text(root)
+    read = read_zeek_lines(spark, root)
+    return read.withColumn("source_file", F.regexp_extract("source_file", r"log=([^/]+)/", 1))
 
 
 ZEEK_LINES_SQL = """
 WITH ev AS (SELECT *, json_extract_string(props, '$.k') AS k,
-    'zeek/conn_u' || lpad(CAST(user_id AS VARCHAR), 4, '0') || '.log.labeled' AS source_file FROM events),
+    'zeek_conn_u' || lpad(CAST(user_id % """ + str(ZEEK_LOGS) + """ AS VARCHAR), 2, '0') || '.log.labeled' AS source_file FROM events),
 dl AS (SELECT source_file, event_id + 2 AS line_no, concat_ws(chr(9),
     CAST(epoch_us(ts) AS VARCHAR), 'C' || CAST(event_id AS VARCHAR), '10.0.' || CAST(user_id AS VARCHAR), k,
     '192.168.1.1', '1883',
@@ -116,16 +121,14 @@ r AS (SELECT line_no, CASE WHEN contains({low}, 'benign') THEN 0 ELSE 1 END AS b
 t AS (SELECT *, coalesce(orig_bytes, 0.0) + coalesce(resp_bytes, 0.0) AS total_bytes,
              coalesce(orig_pkts, 0.0) + coalesce(resp_pkts, 0.0) AS total_pkts FROM r),
 u AS (SELECT *, CASE WHEN duration IS NOT NULL AND duration > 0 THEN total_bytes / duration ELSE 0.0 END AS bytes_per_second,
-             CASE WHEN duration IS NOT NULL AND duration > 0 THEN total_pkts / duration ELSE 0.0 END AS packets_per_second FROM t),
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY multiclass_label ORDER BY source_file, line_no) AS rn FROM u)
-           WHERE rn <= {ZEEK_CAP})
-SELECT * EXCLUDE (line_no, rn) FROM capped ORDER BY source_file, line_no LIMIT {ZEEK_BUDGET}"""
+             CASE WHEN duration IS NOT NULL AND duration > 0 THEN total_pkts / duration ELSE 0.0 END AS packets_per_second FROM t)
+"""
 
 
-@query("zeek_flows", _zeek_sql())
+@query("zeek_flows", _zeek_sql() + "SELECT * EXCLUDE (line_no) FROM u")
 def zeek_flows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S7 + F6-F8 + C19 + O2: parse Zeek logs, derive features and labels, first rows per class up to a budget."""
-    return zeek_flows(parse_zeek(zeek_lines(spark, sf_dir)), max_per_class=ZEEK_CAP, budget=ZEEK_BUDGET).withColumn(
+    """S7 + F6-F8 + C19: parse Zeek logs, derive features and labels of every labelled flow."""
+    return zeek_flows(parse_zeek(zeek_lines(spark, sf_dir))).withColumn(
         "history_len", F.col("history_len").cast("long"))
 
 
@@ -151,14 +154,14 @@ def listing_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("row_no", F.col("row_no").cast("long"))
 
 
-@query("csv_roundtrip", """SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, 'events' AS dataset_name
+@query("csv_roundtrip", """SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props, 'events' AS dataset_name
 FROM events""")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as ';'-separated text next to a README and a 'smote' file, then
     discovered, delimiter-sniffed and read back with provenance columns."""
     root = scratch_path(spark, f"csv_roundtrip/{uuid.uuid4().hex}")
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    ev.write.option("header", True).option("sep", ";").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS") \
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    ev.write.option("header", True).option("sep", ";").option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS") \
         .csv(os.path.join(root, "events"))
     ev.limit(5).write.option("header", True).csv(os.path.join(root, "events_smote"))
     spark.createDataFrame([("see the files",)], "t string").write.text(os.path.join(root, "readme_dir"))
@@ -166,28 +169,114 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_delimited(spark, files, dataset="events", seps=sniff_delimiters(spark, files))
     return df.select(F.col("event_id").cast("long").alias("event_id"),
                      F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-                     F.col("user_id").cast("long").alias("user_id"), "event_type", "value", "dataset_name")
-
-
-@query("label_column_detect", """SELECT * FROM (VALUES ('embeddings', 'label'), ('events', 'event_type'),
-  ('labels', 'quality'), ('orders', 'o_orderpriority')) v(dataset, label_column)""")
+                     F.col("user_id").cast("long").alias("user_id"), "event_type", "value", "props", "dataset_name")
+
+
+@query("csv_union", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'bom' WHEN 1 THEN 'latin' ELSE 'plain' END AS layout,
+  CASE WHEN doc_id % 3 = 1 THEN 'é-' || lang ELSE lang END AS lang, CASE WHEN doc_id % 3 > 0 THEN source END AS source,
+  CASE WHEN doc_id % 3 <> 1 THEN md5(text) END AS text_md5 FROM documents""")
+def csv_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to three layouts - other column sets and orders, ',' and ';', a byte-order mark,
+    latin1, quoted line breaks - and read back as one table, by column name."""
+    root = scratch_path(spark, f"csv_union/{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    part = F.col("doc_id") % 3
+    plain = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.where(part == 0).select(F.col("doc_id").alias("\ufeffdoc_id"), "lang", "text").write.options(**plain).csv(f"{root}/bom")
+    latin = docs.where(part == 1).select(F.concat(F.lit("é-"), "lang").alias("lang"), "doc_id", "source")
+    latin.write.options(**plain | {"sep": ";", "encoding": "ISO-8859-1"}).csv(f"{root}/latin")
+    docs.where(part == 2).select("source", "text", "doc_id", "lang").write.options(**plain).csv(f"{root}/plain")
+    files = [r["path"] for r in discover_files(spark, root).collect()]
+    df = read_delimited(spark, files)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract("source_file", r"/(bom|latin|plain)/[^/]+$", 1).alias("layout"),
+                     "lang", "source", F.md5("text").alias("text_md5"))
+
+
+@query("zip_members", """SELECT 'docs_' || source || '.zip' AS archive, lang || '/part.csv' AS member, doc_id, md5(text) AS text_md5, 0 AS extra
+FROM documents""")
+def zip_members_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to ZIP archives, one per source and one member per language (all members have the
+    same base name; texts hold delimiters, quotes and line breaks), then read back record by record."""
+    folder = scratch_path(spark, f"zips/{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("docs_"), "source", F.lit(".zip")).alias("archive"), F.concat("lang", F.lit("/part.csv")).alias("member"),
+        F.col("doc_id").alias("order"), F.array(F.col("doc_id").cast("string"), "text").alias("line"))
+    write_zip(docs, folder, ["doc_id", "text"]).collect()  # one row per archive
+    rows = read_members(zip_members(spark, folder))
+    return rows.select(F.regexp_extract("archive", r"([^/]+)$", 1).alias("archive"), "member", F.col("fields")["doc_id"].cast("long").alias("doc_id"),
+                       F.md5(F.col("fields")["text"]).alias("text_md5"), "extra")
+
+
+DETECT_TABLES = {"embeddings": {"vec_id": True, "label": True}, "events": {"event_id": True, "ts": False, "user_id": True, "event_type": False, "value": True, "props": False},
+                 "labels": {"doc_id": True, "quality": True, "toxic": True},
+                 "orders": {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True, "o_orderdate": False, "o_orderpriority": False}}
+
+
+def _detect_sql() -> str:
+    """Names and points of every column, counted over the whole tables."""
+    exact = "[" + ", ".join(f"'{n}'" for n in LABEL_EXACT) + "]"
+    tokens = "|".join(LABEL_TOKENS)
+    columns = " UNION ALL ".join(
+        f"SELECT '{t}' AS dataset, '{c}' AS c, {str(numeric).lower()} AS numeric, count(DISTINCT {c}) AS n FROM {t}"
+        for t, cols in DETECT_TABLES.items() for c, numeric in cols.items())
+    return f"""WITH c AS ({columns}),
+p AS (SELECT dataset, c, coalesce(list_position({exact}, lower(c)), 0) AS place,
+  CASE WHEN regexp_matches(lower(c), '{tokens}') THEN 3 ELSE 0 END + CASE WHEN n BETWEEN 2 AND 50 THEN 1 ELSE 0 END
+  + CASE WHEN numeric AND n <= 5 THEN 1 ELSE 0 END AS points FROM c),
+r AS (SELECT dataset, c, row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN place > 0 THEN place ELSE 1000 END, points DESC, c) AS k
+  FROM p WHERE place > 0 OR points >= 1)
+SELECT dataset, c AS label_column FROM r WHERE k = 1"""
+
+
+@query("label_column_detect", _detect_sql())
 def label_column_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label column of each table (exact label names first, else name/cardinality score on a head sample;
-    equal scores go to the smaller name, so orders -> o_orderpriority, labels -> quality)."""
-    rows = [(t, detect_label_column(table(spark, sf_dir, t))) for t in ("embeddings", "events", "labels", "orders")]
+    """Label column of each table (exact label names first, else name and cardinality points over all rows;
+    equal points go to the smaller name)."""
+    rows = [(t, detect_label_column(table(spark, sf_dir, t).drop("embedding"))) for t in DETECT_TABLES]
     return spark.createDataFrame(rows, "dataset string, label_column string")
 
 
-@query("manifest_check")
+@query("manifest_check", """WITH f AS (SELECT lang, string_agg(CAST(doc_id AS VARCHAR) || ' ' || md5(text), chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY lang)
+SELECT lang AS name, CAST(length(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256,
+  CASE lang WHEN 'de' THEN 'size_mismatch' WHEN 'es' THEN 'hash_mismatch' WHEN 'fr' THEN 'unexpected' ELSE 'ok' END AS status FROM f
+UNION ALL SELECT 'xx', NULL, NULL, 'missing'""")
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sha-256 and size of every table file, checked against the expected table list."""
-    expected = spark.createDataFrame([(f"{t}.parquet", None, None) for t in TABLES],
-                                     "name string, expected_size long, expected_sha256 string")
-    return verify_manifest(file_digests(spark, sf_dir, "*.parquet"), expected)
+    """Size and SHA-256 of stored files against a manifest.  One file per language lists its documents' digests;
+    the manifest is right for some, asks for a larger file or another hash for others, lacks one and has one too many."""
+    root = scratch_path(spark, f"manifest/{uuid.uuid4().hex}")
+    lines = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5("text")).alias("value"))
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(root)
+    found = file_digests(spark, root, "*.txt", name_pattern=r"lang=([^/]+)/[^/]*$")
+    sizes = found.where("name <> 'fr'").select("name", "size_bytes", "sha256")
+    expected = sizes.select("name", F.when(F.col("name") == "de", F.col("size_bytes") * 2).otherwise(F.col("size_bytes")).alias("expected_size"),
+                            F.when(F.col("name") == "es", F.repeat(F.lit("0"), 64)).otherwise(F.col("sha256")).alias("expected_sha256"))
+    one_more = spark.range(1).select(F.lit("xx").alias("name"), F.lit(1).cast("long").alias("expected_size"), F.lit(None).cast("string").alias("expected_sha256"))
+    return verify_manifest(found, expected.unionByName(one_more)).select("name", "size_bytes", "sha256", "status")
+
+
+@query("listing_sizes", """WITH l AS (SELECT page_id, url, page_id % 900 AS k FROM pages),
+x AS (SELECT page_id, url, 'log_' || CAST(k AS VARCHAR) || '/zeek-conn.labeled' AS href, CAST(floor((k + 0.5) * 1024) AS BIGINT) AS size_bytes, true AS is_candidate, false AS folder FROM l
+  UNION ALL SELECT page_id, url, '/top/' || CAST(k AS VARCHAR) || '.txt', k * 1048576, false, false FROM l
+  UNION ALL SELECT page_id, url, 'sub' || CAST(k AS VARCHAR) || '/', NULL, false, true FROM l
+  UNION ALL SELECT page_id, url, '../', NULL, false, false FROM l)
+SELECT page_id, href, size_bytes, is_candidate, folder, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href
+  ELSE regexp_extract(url, '^(.*/)', 1) || href END AS address FROM x""")
+def listing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder listings with sizes, one for each stored page's address: rows, sizes in bytes, candidate logs,
+    folder links and absolute addresses."""
+    k = (F.col("page_id") % 900).cast("string")
+    body = F.concat(F.lit('<ul><li><a href="log_'), k, F.lit('/zeek-conn.labeled">log</a> '), k, F.lit('.5K</li><li><a href="/top/'), k,
+                    F.lit('.txt">t</a> '), k, F.lit('M</li><li><a href="sub'), k, F.lit('/">sub</a> -</li><li><a href="../">up</a></li></ul>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", body.alias("html"))
+    rows = listing_rows(pages)
+    inside = folder_links(rows).select("page_id", "row_no", F.lit(True).alias("folder"))
+    found = rows.join(pages.select("page_id", "url"), "page_id").join(inside, ["page_id", "row_no"], "left")
+    return found.select("page_id", "href", "size_bytes", "is_candidate", F.coalesce("folder", F.lit(False)).alias("folder"),
+                        absolute_url(F.col("url"), F.col("href")).alias("address"))
 
 
 ZEEK_FLOW_SQL = _zeek_sql()
-ZEEK_PARSED_SQL = ZEEK_FLOW_SQL.split("\ncapped AS (")[0]
+ZEEK_PARSED_SQL = ZEEK_FLOW_SQL
 
 
 @query("zeek_profile", ZEEK_PARSED_SQL + """

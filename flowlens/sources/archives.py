@@ -1,84 +1,131 @@
 """CSV members of ZIP archives as rows (S4), without extracting to local disk.
 
-``binaryFile`` gives one row per archive; a ``mapInPandas`` step opens each
-archive from its bytes and streams ``(archive, member, line_no, line)`` rows
-of the delimited members (flattened to their base name, ``smote`` members
-skipped).  Members are then parsed with the usual header/delimiter rules.
-Each archive is handled by one task; archives are the unit of parallelism.
+The executors list each archive's members from its directory; the (archive,
+member) pairs are then dealt out, so one large archive is read by many tasks.  A
+task seeks to its member, reads it twice as a stream - once to decide encoding
+and delimiter from all of its lines, once to parse - and never holds it whole.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.names import unique_columns
-from flowlens.sources.files import DATA_SUFFIXES, DELIMITERS, SKIP_PATH_TOKEN
+from flowlens.sources.files import DATA_SUFFIXES, DELIMITERS, SKIP_NAME_PREFIX, SKIP_PATH_TOKEN, open_stream
 
-LINE_SCHEMA = "archive string, member string, line_no long, line string"
+BATCH_ROWS = 5_000
+RECORDS = "archive string, member string, row_no long, fields map<string,string>, extra int"
 
 
-def _explode_archives(batches):
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                for info in zf.infolist():
-                    name = info.filename
-                    low = name.lower()
-                    if info.is_dir() or SKIP_PATH_TOKEN in low or not low.endswith(DATA_SUFFIXES):
-                        continue
-                    base = name.rsplit("/", 1)[-1]
-                    with zf.open(info) as fh:
-                        for i, raw in enumerate(io.TextIOWrapper(fh, encoding="utf-8", errors="replace")):
-                            out.append((path, base, i, raw.rstrip("\r\n")))
-                            if len(out) >= 10_000:
-                                yield pd.DataFrame(out, columns=["archive", "member", "line_no", "line"])
-                                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["archive", "member", "line_no", "line"])
-
-
-def zip_member_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, line_no, line) of every delimited member of every ``.zip`` below ``path``."""
+        for path in pdf["path"]:
+            with open_stream(path) as raw, zipfile.ZipFile(raw) as archive:
+                for info in archive.infolist():
+                    low = info.filename.lower()
+                    skip = info.is_dir() or SKIP_PATH_TOKEN in low or low.rsplit("/", 1)[-1].startswith(SKIP_NAME_PREFIX)
+                    if not skip and low.endswith(DATA_SUFFIXES) and not low.endswith(".gz"):
+                        out.append((path, info.filename, info.file_size))
+        yield pd.DataFrame(out, columns=["archive", "member", "size_bytes"])
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, size_bytes) of the delimited members of every ``.zip`` below ``path``; the full path inside the
+    archive names a member.  Only paths are listed; contents stay unread."""
     archives = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True)
-                .load(path).select("path", "content"))
-    return archives.mapInPandas(_explode_archives, LINE_SCHEMA)
+                .load(path).select("path"))
+    return archives.mapInPandas(_members, "archive string, member string, size_bytes long")
+
+
+def member_layout(stream) -> tuple[str, str]:
+    """(encoding, delimiter) of a member from all of its lines: latin1 if it is not UTF-8; the delimiter that has the
+    header's count, above 0, in the most lines."""
+    encoding, header, agree = "utf-8-sig", None, [0] * len(DELIMITERS)
+    for raw in stream:
+        try:
+            line = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            encoding, line = "latin1", raw.decode("latin1")
+        if not line.strip():
+            continue
+        bare = "".join(line.split('"')[::2])
+        counts = [bare.count(d) for d in DELIMITERS]
+        header = counts if header is None else header
+        agree = [a + (c == h > 0) for a, c, h in zip(agree, counts, header)]
+    return encoding, DELIMITERS[agree.index(max(agree))] if any(agree) else ","
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["archive", "member", "row_no", "fields", "extra"]
+    for pdf in batches:
+        for path, name in zip(pdf["archive"], pdf["member"]):
+            with open_stream(path) as raw, zipfile.ZipFile(raw) as archive:
+                with archive.open(name) as stream:
+                    encoding, sep = member_layout(stream)
+                if name.lower().endswith(".tsv"):
+                    sep = "\t"
+                with archive.open(name) as stream:
+                    rows = csv.reader(io.TextIOWrapper(stream, encoding=encoding, newline=""), delimiter=sep)
+                    header, out, n = None, [], 0
+                    for row in rows:
+                        if not row:
+                            continue
+                        if header is None:
+                            header = [h.strip() for h in row]
+                            continue
+                        out.append((path, name, n, dict(zip(header, row)), len(row) - len(header)))
+                        n += 1
+                        if len(out) >= BATCH_ROWS:
+                            yield pd.DataFrame(out, columns=columns)
+                            out = []
+                    if out:
+                        yield pd.DataFrame(out, columns=columns)
 
 
-def parse_member_lines(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Split member lines on each member's delimiter (sniffed on its first lines); line 0 is the header.
+def read_members(members: DataFrame, columns: list[str] | None = None, tasks: int = 200) -> DataFrame:
+    """(archive, member, row_no, fields, extra): every record of every member in ``members``.
 
-    Each data line becomes ``map(header name -> text)`` (no shuffle of the
-    lines; only the small per-member delimiter/header table is joined).
-    With ``columns`` the wanted fields are projected out of the map under
-    normalised names.
+    ``fields`` maps header names to texts; quoted delimiters and line breaks are part of a field.  A
+    record with fewer or more fields than the header is kept: ``extra`` is the difference, missing
+    fields are absent and surplus ones are not in the map.  With ``columns`` these are projected
+    out of the map under normalised names.
     """
-    head = lines.where(F.col("line_no") < 20)
-    counts = [(F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))) for d in DELIMITERS]
-    stats = head.groupBy("archive", "member").agg(*[x for i, c in enumerate(counts)
-                                                    for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))])
-    sep = None
-    for i, d in reversed(list(enumerate(DELIMITERS))):
-        cond = (F.col(f"lo{i}") == F.col(f"hi{i}")) & (F.col(f"hi{i}") > 0)
-        sep = F.when(cond, F.lit(d)) if sep is None else F.when(cond, F.lit(d)).otherwise(sep)
-    seps = stats.select("archive", "member", F.coalesce(sep, F.lit(",")).alias("sep"))
-    header = lines.where(F.col("line_no") == 0).select("archive", "member", F.col("line").alias("header"))
-    meta = seps.join(header, ["archive", "member"])  # one row per member
-    body = lines.where(F.col("line_no") > 0).join(meta, ["archive", "member"])
-    quoted = F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))
-    names = F.transform(F.split(F.col("header"), quoted), lambda x: F.trim(x))
-    parts = F.split(F.col("line"), quoted)
-    rows = body.where(F.size(parts) == F.size(names)).select(
-        "archive", "member", "line_no", F.map_from_arrays(names, parts).alias("fields"))
+    rows = members.select("archive", "member").repartition(tasks, "archive", "member").mapInPandas(_records, RECORDS)
     if columns is None:
         return rows
-    return rows.select("archive", "member", "line_no",
-                       *[F.col("fields")[c].alias(n) for c, n in zip(columns, unique_columns(columns))])
+    return rows.select("archive", "member", "row_no", *[F.col("fields")[c].alias(n) for c, n in zip(columns, unique_columns(columns))])
+
+
+def write_zip(rows: DataFrame, folder: str, header: list[str], sep: str = ",") -> DataFrame:
+    """Write rows (archive, member, line) sorted within each archive to ZIP files in a shared folder; returns
+    (archive, members).  One task writes one archive; a repeated attempt replaces the file.  ``line`` is an array of texts."""
+    import uuid
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs as pafs
 
+        name = pdf["archive"].iloc[0]
+        base = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+        filesystem, inner = pafs.FileSystem.from_uri(base)
+        filesystem.create_dir(inner, recursive=True)
+        temporary = f"{inner}/_{uuid.uuid4().hex}"
+        groups = list(pdf.sort_values(["member", "order"]).groupby("member"))
+        with filesystem.open_output_stream(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for member, part in groups:
+                text = io.StringIO()
+                writer = csv.writer(text, delimiter=sep)
+                writer.writerow(header)
+                writer.writerows(part["line"])
+                archive.writestr(zipfile.ZipInfo(member), text.getvalue().encode())
+        filesystem.move(temporary, f"{inner}/{name}")
+        return pd.DataFrame({"archive": [name], "members": [len(groups)]})
 
-__all__ = ["zip_member_lines", "parse_member_lines"]
+    return rows.groupBy("archive").applyInPandas(write, "archive string, members long")

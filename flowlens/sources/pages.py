@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: size units and their multipliers; 'P' is accepted by the pattern
+# fixed values: the link pattern, size units and their multipliers; 'P' is accepted by the pattern
 # but has no multiplier (counts as 1), as in the audited crawler
 SIZE_UNITS = {"": 1, "K": 1024, "M": 1024 ** 2, "G": 1024 ** 3, "T": 1024 ** 4}
 SIZE_PATTERN = r"^\s*(\d+(?:\.\d+)?)\s*([KMGTPkmgtp]?)"
@@ -52,3 +52,18 @@ def listing_rows(pages: DataFrame, row_tag: str = "li", id_col: str = "page_id")
 def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(page id, link_no, href) of every href in every page."""
     return pages.select(id_col, F.posexplode(F.regexp_extract_all("html", F.lit(LINK_PATTERN), 1)).alias("link_no", "href"))
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """``href`` seen from the page ``base``: complete addresses stay, '/x' starts at the host, others at the page's folder."""
+    host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]+)", 1)
+    folder = F.when(F.regexp_replace(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+", "") == "", F.concat(host, F.lit("/"))).otherwise(
+        F.regexp_extract(base, r"^(.*/)", 1))
+    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]+:)", 1), href))
+            .when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(folder, F.regexp_replace(href, r"^(?:\./)+", ""))))
+
+
+def folder_links(links: DataFrame) -> DataFrame:
+    """Links to folders below a listing: they end in '/', and don't lead up or to another place."""
+    href = F.col("href")
+    return links.where(href.endswith("/") & ~href.startswith("/") & ~href.startswith("..") & ~href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~href.startswith("?"))

@@ -5,10 +5,11 @@ import os
 import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from flowlens.sources.archives import parse_member_lines, zip_member_lines
-from flowlens.sources.files import discover_files, read_delimited, select_variant, sniff_delimiters
+from flowlens.sources.archives import read_members, zip_members
+from flowlens.sources.files import discover_files, file_facts, read_delimited, select_variant, sniff_delimiters
 from flowlens.sources.pages import listing_rows, size_to_bytes
 from flowlens.sources.zeek import parse_zeek, zeek_flows
 
@@ -67,14 +68,32 @@ def test_zip_members(spark):
         zf.writestr("nested/dir/flows.csv", "a,b\n1,2\n3,4\n")
         zf.writestr("nested/semi.txt", "a;b\n5;6\n")
         zf.writestr("nested/data_smote.csv", "a,b\n9,9\n")
+        zf.writestr("other/flows.csv", 'a,b\n"p,q","two\nlines ""quoted"""\n\xe9\n')
         zf.writestr("readme.md", "x")
     with open(f"{root}/arch.zip", "wb") as fh:
         fh.write(buf.getvalue())
-    lines = zip_member_lines(spark, root)
-    assert sorted(r["member"] for r in lines.select("member").distinct().collect()) == ["flows.csv", "semi.txt"]
-    wide = parse_member_lines(lines, ["a", "b"]).orderBy("member", "line_no").collect()
-    assert [(r["member"], r["a"], r["b"]) for r in wide] == [("flows.csv", "1", "2"), ("flows.csv", "3", "4"),
-                                                            ("semi.txt", "5", "6")]
+    members = zip_members(spark, root)
+    assert sorted(r["member"] for r in members.collect()) == ["nested/dir/flows.csv", "nested/semi.txt", "other/flows.csv"]
+    wide = read_members(members, ["a", "b"], tasks=3).orderBy("member", "row_no").collect()
+    assert [(r["member"], r["a"], r["b"]) for r in wide] == [
+        ("nested/dir/flows.csv", "1", "2"), ("nested/dir/flows.csv", "3", "4"), ("nested/semi.txt", "5", "6"),
+        ("other/flows.csv", "p,q", 'two\nlines "quoted"'), ("other/flows.csv", "é", None)]
+
+
+def test_files_of_other_layouts_land_under_their_own_names(spark):
+    root = tempfile.mkdtemp(prefix="flowlens-union-")
+    for name, raw in (("a.csv", b"x,y\n1,10\n2,20\n"), ("b.csv", b"y,x,z\n30,3,300\n"), ("c.csv", "\ufeffx;t\n4;\"a;b\nc\"\n".encode()),
+                      ("d.csv", "x,t\n5,caf\xe9\n".encode("latin1")), ("e.csv", b"x,y\n6\n"), ("f.csv", b"")):
+        with open(f"{root}/{name}", "wb") as fh:
+            fh.write(raw)
+    paths = [r["path"] for r in discover_files(spark, root).collect()]
+    facts = {r["path"].rsplit("/", 1)[-1]: r for r in file_facts(spark, paths).collect()}
+    assert facts["e.csv"]["bad_lines"] == 1 and facts["d.csv"]["encoding"] == "ISO-8859-1" and facts["c.csv"]["multiline"] and "f.csv" not in facts
+    with pytest.warns(UserWarning, match="disagree"):
+        rows = read_delimited(spark, paths).collect()
+    got = sorted((r["x"], r["y"], r["z"], r["t"]) for r in rows)
+    assert got == [(1.0, 10.0, None, None), (2.0, 20.0, None, None), (3.0, 30.0, 300.0, None), (4.0, None, None, "a;b\nc"),
+                   (5.0, None, None, "caf\xe9"), (6.0, None, None, None)]
 
 
 def test_sizes_and_listing(spark):
