@@ -32,6 +32,7 @@ from flowlens.functions.numeric import NUMBER_PATTERN
 from flowlens.functions.rules import audit_note_expr, feature_class_expr, hard_reasons_expr
 from flowlens.functions.names import has_any_expr, norm_expr
 from flowlens.operators.metrics import classification_metrics
+from flowlens.operators.ranked import small_side
 from flowlens.operators.splits import class_cap_sample, random_stratified_split
 from flowlens.session import checkpoint_dir
 from flowlens.vocab import LEGITIMATE_METADATA_TOKENS, PROTOCOL_METADATA_TOKENS
@@ -60,18 +61,22 @@ def audit_long(df: DataFrame, features: list[str], label: str, keys: dict[str, s
 
 
 def encode_long(long: DataFrame, keys: list[str]) -> DataFrame:
-    """numeric-or-categorical encoding per feature; adds x."""
+    """numeric-or-categorical encoding per feature; adds x.
+
+    One row per feature says how it is encoded and is broadcast; category codes are made for the other features only."""
     k = [*keys, "feature"]
     finite = F.when(F.abs(F.col("num")) != F.lit(INF), F.col("num"))
     stats = long.groupBy(*k).agg(
         (F.avg(F.when(F.col("num").isNotNull(), 1).otherwise(0)) >= 0.9).alias("is_numeric"),
-        F.median(finite).alias("med"))
-    txt = F.coalesce(F.col("txt"), F.lit("<NA>"))
-    codes = (long.select(*k, txt.alias("t")).distinct()
-             .withColumn("code", (F.dense_rank().over(Window.partitionBy(*k).orderBy("t")) - 1).cast("double")))
-    enc = (long.withColumn("t", txt).join(stats, k).join(codes, [*k, "t"])
-           .withColumn("x", F.when(F.col("is_numeric"), F.coalesce(finite, F.col("med"), F.lit(0.0))).otherwise(F.col("code"))))
-    return enc.select(*k, "x", "y", "split")
+        F.median(finite).alias("med")).checkpoint(eager=True)
+    known = long.join(small_side(stats), k)
+    enc = known.where("is_numeric").withColumn("x", F.coalesce(finite, F.col("med"), F.lit(0.0))).select(*k, "x", "y", "split")
+    if stats.where("NOT is_numeric").isEmpty():
+        return enc
+    texts = known.where("NOT is_numeric").withColumn("t", F.coalesce(F.col("txt"), F.lit("<NA>")))
+    codes = (texts.select(*k, "t").distinct()
+             .withColumn("x", (F.dense_rank().over(Window.partitionBy(*k).orderBy("t")) - 1).cast("double")))
+    return enc.unionByName(texts.join(codes, [*k, "t"]).select(*k, "x", "y", "split"))
 
 
 def _gini_mass(w0: Column, w1: Column) -> Column:
@@ -85,16 +90,18 @@ def grow_trees(enc: DataFrame, keys: list[str], max_depth: int = 3, min_leaf_sha
     """Leaf intervals (keys, feature, lo, hi, pred) of one balanced CART per feature."""
     k = [*keys, "feature"]
     hist = (enc.where(F.col("split") == "train").groupBy(*k, "x")
-            .agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")))
+            .agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))).checkpoint(eager=True)
     tot = hist.groupBy(*k).agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"))
     n = F.col("N0") + F.col("N1")
     params = tot.select(
         *k, (n / (F.lit(2.0) * F.col("N0"))).alias("w0"), (n / (F.lit(2.0) * F.col("N1"))).alias("w1"),
         F.greatest(F.lit(min_leaf_floor), F.floor(n * F.lit(min_leaf_share))).cast("long").alias("min_leaf"))
+    params = params.checkpoint(eager=True)  # one row per feature
+    hist = hist.join(small_side(params), k)
     frontier = tot.select(*k, F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"))
     finished = []
     for depth in range(max_depth + 1):
-        rows = hist.join(frontier, k).where((F.col("x") > F.col("lo")) & (F.col("x") <= F.col("hi"))).join(params, k)
+        rows = hist.join(small_side(frontier), k).where((F.col("x") > F.col("lo")) & (F.col("x") <= F.col("hi")))
         node = Window.partitionBy(*k, "lo")
         upto = node.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = (rows.withColumn("T0", F.sum("n0").over(node)).withColumn("T1", F.sum("n1").over(node))
@@ -140,7 +147,7 @@ def single_feature_scores(df: DataFrame, features: list[str], dataset: str, labe
     long = audit_long(sample, features, label, {"dataset": dataset})
     enc = encode_long(long, keys).checkpoint(eager=True)
     leaves = grow_trees(enc, keys, max_depth=max_depth)
-    test = enc.where(F.col("split") == "test").join(leaves, [*keys, "feature"]).where(
+    test = enc.where(F.col("split") == "test").join(small_side(leaves), [*keys, "feature"]).where(
         (F.col("x") > F.col("lo")) & (F.col("x") <= F.col("hi")))
     scores = classification_metrics(test, [*keys, "feature"], y="y", pred="pred")
     return scores.select(*keys, "feature", F.col("macro_f1").alias("single_feature_macro_f1"))

@@ -8,10 +8,11 @@ that only reads the candidate columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.names import norm
+from flowlens.operators.ranked import numbered, small_side
 from flowlens.vocab import FORBIDDEN_MAIN_FEATURE_TOKENS, LEAKAGE_TOKENS, RAW_CONTENT_EXACT, TEMPORAL_LEAKAGE_EXACT
 
 KEEP_LABELS = ("binary_label", "multiclass_label")
@@ -107,20 +108,21 @@ def high_cardinality_strings(df: DataFrame, min_distinct: int = 1000, share: flo
 
 
 def rare_class_filter(df: DataFrame, label: str, min_count: int = 3) -> DataFrame:
-    """Rows whose label occurs at least ``min_count`` times (left-semi join on the kept labels)."""
+    """Rows whose label occurs at least ``min_count`` times (left-semi join on the kept labels, which are broadcast if
+    they are few, so rows are not shuffled on the label)."""
     kept = df.groupBy(label).count().where(F.col("count") >= min_count).select(label)
-    return df.join(kept, on=label, how="left_semi")
+    return df.join(small_side(kept), on=label, how="left_semi")
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """Alphabetical integer codes of the distinct labels (0-based)."""
+    """Alphabetical integer codes of the distinct labels (0-based, null first)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("code", (F.dense_rank().over(Window.orderBy(F.col(label).cast("string"))) - 1).cast("int"))
+    return numbered(counts, [F.col(label).cast("string").asc_nulls_first()], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def encode_labels(df: DataFrame, label: str, codes: DataFrame) -> DataFrame:
-    """Attach codes (one row per class; AQE broadcasts it when its measured size is small)."""
-    return df.join(codes.select(label, "code"), on=label, how="inner")
+    """Attach codes (one row per class, broadcast if they are few)."""
+    return df.join(small_side(codes.select(label, "code")), on=label, how="inner")
 
 
 def preprocess_table(df: DataFrame, dataset: str, file_col: str = "source_file", label_column: str | None = None,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,7 +95,7 @@ def label_distribution(df: DataFrame, dataset: str, label_column: str) -> DataFr
     """count and share per label value (null as '<NA>'), largest first."""
     value = F.coalesce(F.col(label_column).cast("string"), F.lit("<NA>"))
     counts = df.groupBy(value.alias("label_value")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(dataset)))
+    total = F.lit(df.count())
     return counts.select(
         F.lit(dataset).alias("dataset"), F.lit(label_column).alias("label_column"), "label_value", "count",
         (F.col("count") / total).alias("percent"))

@@ -136,6 +136,23 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with 0, 1, 2, ... in the given total order, by range partitions: no task sees all rows.
+
+    The range-partitioned rows are checkpointed, so a partition keeps its rows; the partitions' sizes, one row
+    each, give the first number of each.
+    """
+    checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    first = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_place", place).join(F.broadcast(first), "_part").withColumn(
+        out, F.col("_first") + F.col("_place")).drop("_part", "_place", "_first")
+
+
 def assign_by_cuts(df: DataFrame, strata: list[str], bucket: str, order: list[str | Column], cuts,
                    cut_cols: list[str], labels: list[str], out: str = "split") -> DataFrame:
     """Label rows by their exact rank within the stratum; every input row is returned.

@@ -30,9 +30,11 @@ def best_by(runs: DataFrame, keys: list[str], metric: str = "macro_f1", tiebreak
 
 
 def argmax_row(runs: DataFrame, keys: list[str], metric: str = "macro_f1", value: str = "model") -> DataFrame:
-    """A4: value of the row with the largest metric per key (ties: smallest value), one aggregate."""
+    """A4: value of the row with the largest metric per key (ties: smallest value), one aggregate.  Rows without a
+    metric never win; a key that has only such rows gives nulls."""
+    order = F.when(F.col(metric).isNotNull(), F.struct(-F.col(metric), F.col(value)))
     return runs.where(F.col("status") == "ok").groupBy(*keys).agg(
-        F.min_by(value, F.struct(-F.col(metric), F.col(value))).alias(f"best_{value}"), F.max(metric).alias(f"best_{metric}"))
+        F.min_by(value, order).alias(f"best_{value}"), F.max(metric).alias(f"best_{metric}"))
 
 
 def top_k(df: DataFrame, keys: list[str], order_col: str, k: int, tiebreak: str | None = None) -> DataFrame:

@@ -42,14 +42,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system; it is
-    read from the session.  Only when it is unset (local runs, tests) a
-    private folder is created.
+    read from the session.  Only when it is unset in a local session (tests) a
+    private folder is created; on a cluster that is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)

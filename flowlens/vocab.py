@@ -106,11 +106,36 @@ ZEEK_NULL_TOKENS = ("-", "(empty)", "")
 
 # --- fixed values: experiment grid -----------------------------------------
 SEEDS = (42, 7, 13, 21, 100)
-FEATURE_FAMILIES = (
-    "packet_count_only", "byte_statistics_only", "iat_statistics_only", "rate_features_only",
-    "tcp_flags_only", "all_metadata", "all_without_byte_stats", "all_without_iat",
-    "all_without_rate",
-)
+# family -> (tokens of which a name has one, tokens it must not have, whether the family is all other names)
+FAMILY_RULES = {
+    "packet_count_only": (("packet_count", "num_pkts"), (), False),
+    "byte_statistics_only": (("byte", "pkt_len", "num_bytes"), ("per_second",), False),
+    "iat_statistics_only": (("iat",), (), False),
+    "rate_features_only": (("per_second", "rate", "burstiness"), (), False),
+    "tcp_flags_only": (("flag",), (), False),
+    "all_metadata": (("",), (), False),
+    "all_without_byte_stats": (("byte", "pkt_len", "num_bytes"), ("per_second",), True),
+    "all_without_iat": (("iat",), (), True),
+    "all_without_rate": (("per_second", "rate", "burstiness"), (), True),
+}
+FEATURE_FAMILIES = tuple(FAMILY_RULES)
+
+# --- fixed values: columns that flow metadata is made of -----------------------
+# target -> (forward columns, backward columns, column of one-way tables); the first existing column of each list counts
+FLOW_TOTALS = {
+    "packet_count": (("fwd_num_pkts", "orig_pkts"), ("bwd_num_pkts", "resp_pkts"), "num_pkts"),
+    "byte_sum": (("fwd_num_bytes", "orig_bytes", "orig_ip_bytes"), ("bwd_num_bytes", "resp_bytes", "resp_ip_bytes"), "num_bytes"),
+}
+# target statistic -> the suffix that forward, backward and one-way columns share
+FLOW_STATISTICS = {
+    "byte_mean": "mean_pkt_len", "byte_std": "std_pkt_len", "iat_mean": "mean_iat", "iat_std": "std_iat",
+    "byte_min": "min_pkt_len", "iat_min": "min_iat", "byte_max": "max_pkt_len", "iat_max": "max_iat",
+}
+# ratio -> (numerator, denominator)
+FLOW_RATIOS = {
+    "packets_per_second": ("packet_count", "duration"), "bytes_per_second": ("byte_sum", "duration"),
+    "burstiness": ("byte_std", "byte_mean"),
+}
 VIEW_ROLES = ("full", "broker", "strict")
 POLICY_MAIN = "audited_metadata_main"
 POLICY_CONSERVATIVE = "conservative_anti_leakage"
