@@ -15,10 +15,11 @@ exceeds the large ones.
 *Level 2.*  Documents for which the bound proves nothing join among themselves, over all their shingles.
 
 *Document pivots.*  What is left are documents made of shingles that many others have: tight
-groups, where distances tell something.  Each large region takes a document pivot, every member
-gets its exact distance to it, and members within EPS are linked to it.  Regions whose members are
-not yet one component recurse with another pivot as long as that finds links; the pairs that remain
-in different components are compared if the triangle inequality |d(x,p) - d(y,p)| <= EPS allows.
+groups, where distances tell something.  Their regions are their n/5 + 1 rarest shingles.  Each region
+takes a document pivot, members that can be linked to it get their exact distance, and those within EPS
+are.  Regions that are not one component then recurse with another pivot; the pairs that remain in
+different components are compared if their sizes, the places of the shared shingle and the triangle
+inequality |d(x,p) - d(y,p)| <= EPS allow a link.
 
 All pairs are verified on whole sets.  Sets hold 64-bit hashes of shingles.
 """
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import llm_query, partitions, small_enough, stored
@@ -235,21 +236,29 @@ LINKED = "100 * same >= 80 * total"
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cls, comp): each linked class and the smallest class reachable from it.
+    """(cls, comp): each class in ``links`` (a, b) and one class that stands for all that are reachable from it.
 
-    Labels take the smallest label next to them, then that label's own label, until nothing changes;
-    paths shorten geometrically.  Every round is written down, which cuts the lineage.
+    Every class takes the name among its neighbours' and its own that comes first in an order that each round
+    draws anew by hash; links are renamed and dropped when both ends agree.  So what is left shrinks by a
+    constant factor from round to round, even for long chains; the renamings are composed from the last one
+    back, small ones first.
     """
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("low")).select("cls", F.least("cls", "low").alias("comp")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
-        lower = stored(labels.join(near, "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("mid")), "labels-near")
-        jump = lower.select(F.col("cls").alias("mid"), F.col("mid").alias("far"))
-        new = stored(lower.join(jump, "mid").select("cls", "was", F.least("mid", "far").alias("comp")), "labels")
-        if new.where("comp < was").isEmpty():
-            return new.select("cls", "comp")
-        labels = new.select("cls", "comp")
+    edges, steps = stored(links.select("a", "b").where("a <> b").distinct(), "edges"), []
+    while not edges.isEmpty():
+        turn = F.lit(len(steps))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("cls")).agg(F.min_by("b", F.xxhash64("b", turn)).alias("near"))
+        smaller = F.xxhash64("near", turn) < F.xxhash64("cls", turn)
+        steps.append(stored(near.select("cls", F.when(smaller, F.col("near")).otherwise(F.col("cls")).alias("comp")), "renamed"))
+        left, right = (steps[-1].select(F.col("cls").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
+        edges = stored(edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "edges")
+    if not steps:
+        return edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
+    out = steps.pop()
+    while steps:
+        then = out.select(F.col("cls").alias("comp"), F.col("comp").alias("_to"))
+        out = steps.pop().join(then, "comp", "left").select("cls", F.coalesce("_to", "comp").alias("comp"))
+    return stored(out, "renamed")
 
 
 def with_comp(table: DataFrame, comps: DataFrame, cls: str, comp: str) -> DataFrame:
@@ -258,65 +267,91 @@ def with_comp(table: DataFrame, comps: DataFrame, cls: str, comp: str) -> DataFr
     return table.join(of, cls, "left").withColumn(comp, F.coalesce("_c", cls)).drop("_c")
 
 
-def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that connect what all links among ``pairs`` (a, b, met) connect.
+def connected(comps: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """``comps`` after more links, and whether these connected anything.  Only components are linked anew."""
+    between = with_comp(with_comp(links.select("a", "b"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb")
+    renamed = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if renamed.isEmpty():
+        return comps, False
+    to = renamed.select(F.col("cls").alias("comp"), F.col("comp").alias("_to"))
+    old = comps.join(to, "comp", "left").select("cls", F.coalesce("_to", "comp").alias("comp"))
+    new = renamed.join(comps.select("cls"), "cls", "left_anti").select("cls", "comp")
+    return stored(old.unionByName(new), "components"), True
+
+
+def linked_components(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components by all links among ``pairs`` (a, b, met).
 
     Each class is first compared with the partner that it met most often; of the other pairs only those
     are compared whose classes are not connected yet.
     """
     best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")), "best-pairs")
-    links = stored(verified(best, sets).where(LINKED).select("a", "b"), "links")
-    comps = components(links)
-    rest = with_comp(with_comp(pairs, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").join(best, ["a", "b"], "left_anti")
-    return stored(links.unionByName(verified(stored(rest, "rest-pairs"), sets).where(LINKED).select("a", "b")), "links")
+    comps = components(verified(best, sets).where(LINKED))
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = with_comp(with_comp(rest, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb")
+    return connected(comps, verified(rest, sets).where(LINKED))[0]
 
 
-def pivot_links(sets: DataFrame, sizes: DataFrame, known: DataFrame) -> DataFrame:
-    """Links among the classes of ``sizes`` (cls, n) by document pivots, given the components of the links ``known``.
+def regions_of(sets: DataFrame) -> DataFrame:
+    """(region, x, n, i): the first n/5 + 1 shingles of each set, the rarest among ``sets`` first, each with its place i.
 
-    Regions are the first n/5 + 1 shingles of a set, in hash order: linked sets share one.  See the module's docstring.
+    Linked sets share one of these.  Shingles of one set only count as places and give no region.
     """
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(s.as_py(), "<u8") for s in batch.column(1)]
-            parts = [s[: len(s) // 5 + 1].view(np.int64) for s in found]
-            lengths = [len(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths).astype(np.int64)), pa.array(np.repeat([len(s) for s in found], lengths).astype(np.int64))], ["region", "x", "n"])
-
-    sets = stored(sets.join(sizes.select("cls"), "cls", "left_semi").select("cls", "shingles"), "pivot-sets")
-    cells = stored(sets.mapInArrow(prefix, "region bigint, x bigint, n bigint"), "pivot-regions")
-    links, tested, turn = known, None, 0
-    while True:
-        comps = components(links)
+            found = [np.frombuffer(s.as_py(), "<i8") for s in batch.column(1)]
+            lengths = np.array([len(s) for s in found], np.int64)
+            own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(own), pa.array(np.repeat(lengths, lengths))], ["region", "x", "n"])
+
+    cells = stored(sets.mapInArrow(shingles, "region bigint, x bigint, n bigint"), "dense-shingles")
+    count = stored(cells.groupBy(F.col("region").alias("_r")).agg(F.count(F.lit(1)).alias("df")), "dense-counts")
+    place = F.row_number().over(Window.partitionBy("x").orderBy("df", "region")) - 1
+    ranked = cells.join(count, F.col("region") == F.col("_r")).withColumn("i", place)
+    return stored(ranked.where("i <= floor(n / 5) AND df > 1").select("region", "x", "n", F.col("i").cast("long").alias("i")), "pivot-regions")
+
+
+def possible(n: str, i: str, m: str, j: str) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles can be linked if the first one that they share has the places i and j."""
+    return alike(n, m) & (9 * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= 4 * (F.col(n) + F.col(m)))
+
+
+def pivot_components(sets: DataFrame, dense: DataFrame, comps: DataFrame, turns: int = 2) -> DataFrame:
+    """``comps`` after all links among the classes of ``dense`` (cls), found by document pivots.
+
+    ``turns`` is how often regions that are not one component yet recurse with another pivot.  Whatever
+    it is, the rest is compared at the end, so it only changes the work, not the result.
+    """
+    sets = stored(sets.join(dense.select("cls"), "cls", "left_semi").select("cls", "shingles"), "pivot-sets")
+    if sets.isEmpty():
+        return comps
+    cells, tested = regions_of(sets), None
+    for turn in range(turns):
         here = stored(with_comp(cells, comps, "x", "comp"), "pivot-cells")
-        pivots = here.groupBy("region").agg(F.min_by(F.struct("x", "comp", "n"), F.xxhash64("x", F.lit(turn))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        pivots = stored(pivots.select("region", F.col("p.x").alias("p"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn")), "pivots")
-        if pivots.isEmpty():
-            return links
-        inside = here.join(pivots, "region")
-        new = inside.where((F.col("x") != F.col("p"))).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-        new = stored(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pivot-pairs")
-        distances = stored(verified(new, sets), "pivot-distances")
-        tested = distances if tested is None else stored(tested.unionByName(distances), "pivot-distances")
-        found = distances.where(LINKED).select("a", "b")
-        links = stored(links.unionByName(found), "links")
-        joined = with_comp(with_comp(found, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb")
-        if joined.isEmpty():  # pivots connect nothing more: compare what is left
-            return stored(links.unionByName(_rest(inside, tested, sets)), "links")
-        turn += 1
-
-
-def _rest(inside: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of a region in different components, compared where the distances to the pivot allow it."""
+        pivots = here.groupBy("region").agg(F.min_by(F.struct("x", "comp", "n", "i"), F.xxhash64("x", F.lit(turn))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        pivots = pivots.select("region", F.col("p.x").alias("p"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
+        inside = stored(here.join(pivots, "region"), "pivot-members")
+        new = inside.where((F.col("x") != F.col("p")) & possible("n", "i", "pn", "pi")).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+        distances = stored(verified(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), sets), "pivot-distances")
+        tested = distances if tested is None else tested.unionByName(distances)
+        comps, more = connected(comps, distances.where(LINKED))
+        if not more:
+            break
+    return connected(comps, _rest(inside, comps, tested, sets))[0]
+
+
+def _rest(inside: DataFrame, comps: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of a region in different components, compared where the places and the distances to the
+    region's pivot allow a link."""
     both = tested.select("a", "b", (1 - F.col("same") / F.col("total")).alias("d"))
     either = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("x"), F.col("b").alias("p"), "d")
-    placed = inside.join(either, ["x", "p"], "left").withColumn("d", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d")))
-    placed = stored(placed.select("region", "x", "n", "comp", "pcomp", "d"), "placed")
-    strays = placed.where("comp <> pcomp").select("region", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("d").alias("dy"))
-    near = (F.abs(F.col("d") - F.col("dy")) <= 0.2 + 1e-9) & alike("n", "ny") & (F.col("comp") != F.col("cy"))
+    now = with_comp(with_comp(inside.select("region", "x", "n", "i", "p"), comps, "x", "comp"), comps, "p", "pcomp")
+    placed = now.join(either, ["x", "p"], "left").withColumn("d", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d")))
+    placed = stored(placed.select("region", "x", "n", "i", "comp", "pcomp", "d"), "placed")
+    strays = placed.where("comp <> pcomp").select("region", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cy"), F.col("d").alias("dy"))
+    near = F.coalesce(F.abs(F.col("d") - F.col("dy")) <= 0.2 + 1e-9, F.lit(True)) & possible("n", "i", "m", "j") & (F.col("comp") != F.col("cy"))
     pairs = placed.join(strays, "region").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "rest-pairs")
-    return verified(pairs, sets).where(LINKED).select("a", "b")
+    return verified(pairs.join(tested, ["a", "b"], "left_anti"), sets).where(LINKED)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
@@ -346,11 +381,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     pairs = stored(pairs.unionByName(more).groupBy("a", "b").agg(F.max("met").alias("met")), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(dense.select("cls")).distinct()
     sets = stored(sets_of(source, reps.join(wanted, "cls", "left_semi"), seed), "sets")
-    links = pivot_links(sets, dense, links_among(pairs, sets))
-    comps = components(links)
-    named = with_comp(classes.select("cls", "rep"), comps, "cls", "comp")
+    comps = pivot_components(sets, dense, linked_components(pairs, sets))
+    named = with_comp(reps, comps, "cls", "comp")
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = stored(stored(named, "class-components").join(stored(smallest, "component-ids"), "comp").select("cls", "component_id"), "class-ids")
+    final = stored(named.join(smallest, "comp").select("cls", "component_id"), "class-ids")
     out = members.withColumn("_key", F.coalesce("cls", F.xxhash64("_doc"))).join(final.withColumnRenamed("cls", "_key"), "_key", "left")
     return out.select(F.col("_doc").alias(id_col), "n_shingles", F.when(F.col("cls").isNull(), F.col("_doc")).otherwise(F.col("component_id")).alias("component_id"))
 
