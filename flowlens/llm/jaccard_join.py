@@ -18,8 +18,9 @@ exceeds the large ones.
 groups, where distances tell something.  Their regions are their n/5 + 1 rarest shingles.  Each region
 takes a document pivot, members that can be linked to it get their exact distance, and those within EPS
 are.  Regions that are not one component then recurse with another pivot; the pairs that remain in
-different components are compared if their sizes, the places of the shared shingle and the triangle
-inequality |d(x,p) - d(y,p)| <= EPS allow a link.
+different components are compared if their sizes, the places of the shared shingle, the triangle
+inequality |d(x,p) - d(y,p)| <= EPS and the distance of 512 parities, which is never above that of the
+sets, allow a link.
 
 All pairs are verified on whole sets.  Sets hold 64-bit hashes of shingles.
 """
@@ -316,6 +317,28 @@ def possible(n: str, i: str, m: str, j: str) -> Column:
     return alike(n, m) & (9 * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= 4 * (F.col(n) + F.col(m)))
 
 
+PARITY = 8
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Of each of 512 classes of shingles, whether a set has an odd number: 8 integers.  Two sets differ in at least as
+    many shingles as these differ in bits."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(x, p0, ..., p7): the parities of each set."""
+    names = [f"p{k}" for k in range(PARITY)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([parity(np.frombuffer(s.as_py(), "<u8")) for s in batch.column(1)], np.int64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(bits[:, k]) for k in range(PARITY)]], ["x", *names])
+
+    return sets.mapInArrow(rows, "x bigint, " + ", ".join(f"{c} bigint" for c in names))
+
+
 def pivot_components(sets: DataFrame, dense: DataFrame, comps: DataFrame, turns: int = 2) -> DataFrame:
     """``comps`` after all links among the classes of ``dense`` (cls), found by document pivots.
 
@@ -341,15 +364,18 @@ def pivot_components(sets: DataFrame, dense: DataFrame, comps: DataFrame, turns:
 
 
 def _rest(inside: DataFrame, comps: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of a region in different components, compared where the places and the distances to the
-    region's pivot allow a link."""
+    """Links between members of a region in different components, compared where the places, the distances to the
+    region's pivot and the parities allow a link: linked sets of n and m shingles differ in at most (n + m) / 9."""
     both = tested.select("a", "b", (1 - F.col("same") / F.col("total")).alias("d"))
     either = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("x"), F.col("b").alias("p"), "d")
     now = with_comp(with_comp(inside.select("region", "x", "n", "i", "p"), comps, "x", "comp"), comps, "p", "pcomp")
     placed = now.join(either, ["x", "p"], "left").withColumn("d", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d")))
-    placed = stored(placed.select("region", "x", "n", "i", "comp", "pcomp", "d"), "placed")
-    strays = placed.where("comp <> pcomp").select("region", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cy"), F.col("d").alias("dy"))
-    near = F.coalesce(F.abs(F.col("d") - F.col("dy")) <= 0.2 + 1e-9, F.lit(True)) & possible("n", "i", "m", "j") & (F.col("comp") != F.col("cy"))
+    bits = [f"p{k}" for k in range(PARITY)]
+    placed = stored(placed.drop("p").join(parities(sets), "x").select("region", "x", "n", "i", "comp", "pcomp", "d", *bits), "placed")
+    strays = placed.where("comp <> pcomp").select("region", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cy"), F.col("d").alias("dy"),
+                                                   *[F.col(b).alias(f"q{b}") for b in bits])
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"q{b}"))) for b in bits), F.lit(0))
+    near = F.coalesce(F.abs(F.col("d") - F.col("dy")) <= 0.2 + 1e-9, F.lit(True)) & possible("n", "i", "m", "j") & (9 * apart <= F.col("n") + F.col("m")) & (F.col("comp") != F.col("cy"))
     pairs = placed.join(strays, "region").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return verified(pairs.join(tested, ["a", "b"], "left_anti"), sets).where(LINKED)
 
