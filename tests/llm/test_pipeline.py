@@ -12,7 +12,8 @@ from flowlens.llm.common import stored
 from test_jaccard_join import shingles
 
 
-def test_stages_and_run(spark, sf):
+def test_stages_and_run(spark):
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, seen = docs.columns, [docs]
     for name, stage in corpus_pipeline.STAGES:
