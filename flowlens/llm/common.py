@@ -47,6 +47,12 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored table of ids marked for broadcast if it has at most ``rows`` rows, so that texts beside it needn't move;
+    beyond that it is joined by shuffle."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
 def collapse_spaces(text: Column) -> Column:
     """Every run of white space as one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS}]+", " ")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import collapse_spaces, llm_query, stored
+from flowlens.llm.common import collapse_spaces, llm_query, small_side, stored
 
 #: A chunk ends at a space between a vowel and one of a few letters, after at least 1,024 and at most 8,192 characters.
 CHUNK = r"(?s).{1024,8192}?(?:(?<=[aeiou]) (?=[a-f])|\z)|.{1,8192}"
@@ -70,7 +70,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """``docs`` without the rows whose text a smaller id has; all columns stay.  Rows that repeat a kept id stay once."""
     kept = exact_groups(docs, id_col, text).where("kept").groupBy(F.col(id_col).alias("_kept_id")).agg(F.count(F.lit(1)).alias("_rows"))
     kept = stored(kept, "kept-ids")
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]))
+    rows = docs.join(small_side(kept), docs[id_col].eqNullSafe(kept["_kept_id"]))
     once = rows.where("_rows = 1").select(docs.columns)
     return once.unionByName(rows.where("_rows > 1").select(docs.columns).dropDuplicates([id_col])) if not kept.where("_rows > 1").isEmpty() else once
 

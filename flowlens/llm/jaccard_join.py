@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, partitions, small_enough, stored
+from flowlens.llm.common import llm_query, partitions, small_enough, small_side, stored
 from flowlens.llm.words import Words, grams
 
 WORDS = 5
@@ -421,7 +421,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     Rows that repeat an id stay or go together."""
     groups = similar_groups(docs, id_col, text)
     stay = stored(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct(), "stay")
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    return docs.join(small_side(stay), docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
 
 
 @llm_query("op8_jaccard_join")

@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, partitions, stored, word_count
+from flowlens.llm.common import llm_query, partitions, small_side, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -181,7 +181,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     copies = stored(copies, "copies")
     text = options.get("text", "text")
     rows = docs.withColumn("_words", word_count(F.col(text)))
-    drawn = rows.join(copies, rows[id_col].eqNullSafe(copies["_id"]) & (F.col("_words") == F.col("_size")))
+    drawn = rows.join(small_side(copies), rows[id_col].eqNullSafe(copies["_id"]) & (F.col("_words") == F.col("_size")))
     # of k equal rows that are drawn t times together, each stands for t / k draws, the remainder for the first ones
     each = F.floor(F.col("_times") / F.col("_rows")).cast("int")
     if not copies.where("_rows > 1").isEmpty():
