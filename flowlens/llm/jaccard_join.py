@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, partitions, small_enough, small_side, stored
+from flowlens.llm.common import llm_query, partitions, slices, small_enough, small_side, stored
 from flowlens.llm.words import Words, grams
 
 WORDS = 5
@@ -83,7 +83,7 @@ def binary(values: np.ndarray, kind: str) -> bytes:
 def class_table(docs: DataFrame, seed: int, bits: int) -> DataFrame:
     """_doc, n_shingles, cls, chk, sure, sure2: one row per document; cls is null for empty sets."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             out = []
             for t in batch.column(1):
                 s = shingle_set(t.as_py())
@@ -103,7 +103,7 @@ def map_regions(texts: DataFrame, seed: int, bits: int, buckets: int, whole: boo
     (full, times), so a shingle that a third of all documents have doesn't fill its bucket.
     """
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2500):
             sets = {}
             for t in batch.column(0):
                 s = shingle_set(t.as_py())
@@ -202,7 +202,7 @@ def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
     """(cls, shingles): whole sets of the classes in ``reps``, once each, as sorted unsigned 64-bit integers."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             sets = [s for s in (shingle_set(t.as_py()) for t in batch.column(0)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s, seed)[0] for s in sets], pa.int64()), pa.array([binary(s, "<u8") for s in sets], pa.binary())], ["cls", "shingles"])
 

@@ -55,7 +55,7 @@ def tokenised_pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACI
             edges = [0, *range(first, len(ids) + 1, capacity)]
             for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                 raw = ids[a:b].tobytes()
-                rows.append((k, a, b - a, zlib.crc32(raw), raw))
+                rows.append((k, a, b - a, zlib.crc32(raw), raw if with_ids else None))
             offsets.append(len(rows))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, small_enough, stored
+from flowlens.llm.common import llm_query, slices, small_enough, stored
 from flowlens.llm.words import Words, byte_set, grams, scramble
 
 BITS = 18
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(one, F.col("_doc") == F.col("_id")).select("_h", "_y", "_text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 250):
             out = [features(t.as_py(), bits) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype("<u4").tobytes() for i, _ in out], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in out], pa.binary())], ["h", "y", "i", "v"])
 
