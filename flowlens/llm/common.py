@@ -54,6 +54,12 @@ def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def first_rows(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """(*keys, _row): of each group the row, as a struct of ``columns``, that comes first by a digest of these."""
+    row = F.struct(*columns)
+    return rows.groupBy(*keys).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row"))
+
+
 def collapse_spaces(text: Column) -> Column:
     """Every run of white space as one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS}]+", " ")

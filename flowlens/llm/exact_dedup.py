@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import collapse_spaces, llm_query, small_side, stored
+from flowlens.llm.common import collapse_spaces, first_rows, llm_query, small_side, stored
 
 #: A chunk ends at a space between a vowel and one of a few letters, after at least 1,024 and at most 8,192 characters.
 CHUNK = r"(?s).{1024,8192}?(?:(?<=[aeiou]) (?=[a-f])|\z)|.{1,8192}"
@@ -67,12 +67,24 @@ def _verdicts(recipes: DataFrame, id_col: str) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a smaller id has; all columns stay.  Rows that repeat a kept id stay once."""
-    kept = exact_groups(docs, id_col, text).where("kept").groupBy(F.col(id_col).alias("_kept_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stored(kept, "kept-ids")
-    rows = docs.join(small_side(kept), docs[id_col].eqNullSafe(kept["_kept_id"]))
+    """``docs`` with one row of each text, the one with the smallest id; all columns stay.
+
+    An id that occurs once is joined by itself.  Rows that share an id (or have none) are told apart by their text; of those
+    that repeat an id and a text, the first by a digest of the whole row stays.
+    """
+    found = exact_groups(docs, id_col, text).select(F.col(id_col).alias("_kept_id"), F.col("kept").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    verdicts = stored(found, "verdicts")
+    ids = verdicts.groupBy("_kept_id").agg(F.count(F.lit(1)).alias("_rows"), F.max("_kept").alias("_any")).where("_any").drop("_any")
+    ids = stored(ids, "kept-ids")
+    rows = docs.join(small_side(ids), docs[id_col].eqNullSafe(ids["_kept_id"]))
     once = rows.where("_rows = 1").select(docs.columns)
-    return once.unionByName(rows.where("_rows > 1").select(docs.columns).dropDuplicates([id_col])) if not kept.where("_rows > 1").isEmpty() else once
+    if ids.where("_rows > 1").isEmpty():
+        return once
+    shared = rows.where("_rows > 1").withColumn("_text_sha", F.sha2(collapse_spaces(F.col(text)), 256))
+    shared = first_rows(shared, docs.columns, ["_kept_id", "_text_sha"])
+    pairs = stored(verdicts.where("_kept").select(F.col("_kept_id").alias("_id"), "_sha").distinct(), "kept-pairs")
+    kept = shared.join(pairs, F.col("_kept_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
+    return once.unionByName(kept.select("_row.*"))
 
 
 OP5_SQL = """WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS x FROM documents)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, partitions, slices, small_enough, small_side, stored
+from flowlens.llm.common import first_rows, llm_query, partitions, slices, small_enough, small_side, stored
 from flowlens.llm.words import Words, grams
 
 WORDS = 5
@@ -388,6 +388,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Rows that repeat an id belong together only if their sets do, and a null id counts as no id: its
     row has the smallest other id of its component, or null.
     """
+    members, final, _ = grouped(docs, id_col, text, few)
+    return _members_ids(members, final).select(F.col("_doc").alias(id_col), "n_shingles", "component_id")
+
+
+def _members_ids(members: DataFrame, final: DataFrame) -> DataFrame:
+    """``members`` with component_id; a row without shingles has its own id."""
+    out = members.withColumn("_key", F.coalesce("cls", F.xxhash64("_doc"))).join(final.select(F.col("cls").alias("_key"), "component_id"), "_key", "left")
+    return out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("_doc")).otherwise(F.col("component_id")))
+
+
+def grouped(docs: DataFrame, id_col: str, text: str, few: int = FEW) -> tuple[DataFrame, DataFrame, int]:
+    """The rows (_doc, n_shingles, cls), the components of classes (cls, comp, component_id), and the seed of the classes."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text"))
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -410,18 +422,41 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     comps = pivot_components(sets, dense, linked_components(pairs, sets))
     named = with_comp(reps, comps, "cls", "comp")
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = stored(named.join(smallest, "comp").select("cls", "component_id"), "class-ids")
-    out = members.withColumn("_key", F.coalesce("cls", F.xxhash64("_doc"))).join(final.withColumnRenamed("cls", "_key"), "_key", "left")
-    return out.select(F.col("_doc").alias(id_col), "n_shingles", F.when(F.col("cls").isNull(), F.col("_doc")).otherwise(F.col("component_id")).alias("component_id"))
+    final = stored(named.join(smallest, "comp").select("cls", "comp", "component_id"), "class-ids")
+    return members, final, seed
+
+
+def class_of(text: Column, seed: int) -> Column:
+    """The class of a text, null for an empty set."""
+
+    @F.arrow_udf("bigint")
+    def classes(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t.as_py()) for t in texts)
+        return pa.array([set_id(s, seed)[0] if len(s) else None for s in sets], pa.int64())
+
+    return classes(text)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each group of linked ones: the one with the smallest id.
+    """``docs``, all columns, with one row of each group of linked ones: the one with the smallest id.  Rows without
+    shingles have no links and stay.
 
-    Rows that repeat an id stay or go together."""
-    groups = similar_groups(docs, id_col, text)
-    stay = stored(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct(), "stay")
-    return docs.join(small_side(stay), docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    An id that occurs once is joined by itself.  Rows that share an id (or have none) are told apart by their class; if
+    several of a group have its smallest id, the first by a digest of the whole row stays.
+    """
+    members, final, seed = grouped(docs, id_col, text)
+    named = _members_ids(members, final).select(F.col("_doc").alias("_stay"), F.col("_doc").eqNullSafe(F.col("component_id")).alias("_first"))
+    ids = named.groupBy("_stay").agg(F.count(F.lit(1)).alias("_rows"), F.max("_first").alias("_any")).where("_any").drop("_any")
+    ids = stored(ids, "stay")
+    rows = docs.join(small_side(ids), docs[id_col].eqNullSafe(ids["_stay"]))
+    once = rows.where("_rows = 1").select(docs.columns)
+    if ids.where("_rows > 1").isEmpty():
+        return once
+    shared = stored(rows.where("_rows > 1").withColumn("_cls", class_of(F.col(text), seed)), "shared-ids")
+    comps = final.select(F.col("cls").alias("_cls"), F.col("comp").alias("_comp"), F.col("component_id").alias("_smallest"))
+    linked = shared.where("_cls IS NOT NULL").join(comps, "_cls").where(F.col("_stay").eqNullSafe(F.col("_smallest")))
+    apart = shared.where("_cls IS NULL").select(docs.columns)
+    return once.unionByName(apart).unionByName(first_rows(linked, docs.columns, ["_comp"]).select("_row.*"))
 
 
 @llm_query("op8_jaccard_join")

@@ -47,3 +47,11 @@ def test_kept_rows_have_all_columns_once(spark):
     rows = [(3, "a  b", "x"), (2, "a b", "y"), (2, "a b", "y"), (5, None, "z"), (None, "q", "w")]
     kept = keep_first_copies(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
     assert sorted((r["doc_id"] or -1, r["kept"]) for r in kept) == [(-1, "w"), (2, "y"), (5, "z")]
+
+
+def test_shared_and_null_ids_lose_no_text_and_keep_no_copy(spark):
+    rows = [(None, "one"), (None, "two"), (None, "three  x"), (None, "three x"), (None, "four"), (7, "p"), (7, "q"), (7, "q"), (8, "q"), (9, "four"), (9, "five"), (6, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or -1, " ".join(r["text"].split())) for r in keep_first_copies(docs.repartition(3)).collect())
+    assert kept == [(-1, "one"), (-1, "three x"), (-1, "two"), (6, "p"), (7, "q"), (9, "five"), (9, "four")]
+    assert sorted(map(str, keep_first_copies(docs).collect())) == sorted(map(str, keep_first_copies(docs.repartition(5)).collect()))

@@ -57,3 +57,14 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(9, "a b c d e f g", "x"), (4, "A b c d e f g", "y"), (7, None, "z"), (8, "other words", "w")]
     kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")).collect()
     assert sorted((r["doc_id"], r["n_shingles"]) for r in kept) == [(4, "y"), (7, "z"), (8, "w")]
+
+
+def test_shared_and_null_ids_leave_one_row_of_each_group(spark):
+    def words(name, last):
+        return " ".join([f"{name}{k}" for k in range(60)] + [last])
+
+    rows = [(5, words("a", "x")), (5, words("b", "x")), (3, words("b", "y")), (None, words("c", "x")), (None, words("c", "y")), (None, words("d", "x")),
+            (None, words("a", "y")), (6, words("e", "x")), (6, words("e", "y")), (7, None), (7, " ")]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"] or -1, (r["text"] or " ").split(" ")[0]) for r in kept)
+    assert got == [(-1, "c0"), (-1, "d0"), (3, "b0"), (5, "a0"), (6, "e0"), (7, ""), (7, "")]
