@@ -26,10 +26,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 
-#: Weak parts: a named account, a long mixed token, an address.
-ACCOUNT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.IGNORECASE | re.ASCII)
+#: Weak parts: a named account, a mixed token of 16 characters or more, an address.
+ACCOUNT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
 ACCOUNT_WORDS = ("user", "login", "account", "client")
-BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/=_-])")
+BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:@-]{3,}", re.ASCII)
 WEAK_KINDS = ("account", "blob", "endpoint")
 
