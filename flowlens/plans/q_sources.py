@@ -12,7 +12,7 @@ from flowlens.operators.flow import history_column
 from flowlens.operators.profile import detect_label_column
 from flowlens.plans.registry import query, table
 from flowlens.session import scratch_path
-from flowlens.sources.archives import read_members, write_zip, zip_members
+from flowlens.sources.archives import archive_name, read_members, write_zip, zip_members
 from flowlens.sources.files import discover_files, read_delimited, sniff_delimiters
 from flowlens.sources.manifest import file_digests, verify_manifest
 from flowlens.sources.pages import absolute_url, folder_links, listing_rows, page_links
@@ -195,15 +195,15 @@ def csv_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("zip_members", """SELECT 'docs_' || source || '.zip' AS archive, lang || '/part.csv' AS member, doc_id, md5(text) AS text_md5, 0 AS extra
 FROM documents""")
 def zip_members_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written to ZIP archives, one per source and one member per language (all members have the
+    """Documents written to ZIP archives, one per source (large ones in several files) and one member per language (all members have the
     same base name; texts hold delimiters, quotes and line breaks), then read back record by record."""
     folder = scratch_path(spark, f"zips/{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("docs_"), "source", F.lit(".zip")).alias("archive"), F.concat("lang", F.lit("/part.csv")).alias("member"),
         F.col("doc_id").alias("order"), F.array(F.col("doc_id").cast("string"), "text").alias("line"))
-    write_zip(docs, folder, ["doc_id", "text"]).collect()  # one row per archive
+    write_zip(docs, folder, ["doc_id", "text"]).collect()  # one row per file
     rows = read_members(zip_members(spark, folder))
-    return rows.select(F.regexp_extract("archive", r"([^/]+)$", 1).alias("archive"), "member", F.col("fields")["doc_id"].cast("long").alias("doc_id"),
+    return rows.select(archive_name(F.col("archive")).alias("archive"), "member", F.col("fields")["doc_id"].cast("long").alias("doc_id"),
                        F.md5(F.col("fields")["text"]).alias("text_md5"), "extra")
 
 

@@ -20,24 +20,18 @@ STREAM_FILES = 8
 
 def run_event_stream(spark: SparkSession, sf_dir: str, width: int = STREAM_WIDTH, files: int = STREAM_FILES,
                      watermark: str = "2 hours") -> DataFrame:
-    """Write events as ``files`` time-ordered parquet files, replay them one file per micro-batch
-    (``trigger(availableNow=True)``), append every batch's window updates and return the last one per window."""
+    """Write events as ``files`` time ranges, each by many tasks, replay one range per run of the stream
+    (``trigger(availableNow=True)``, same checkpoint), append every batch's window updates and return the last one per window."""
     root = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
     src_dir, out_dir, ckpt = (os.path.join(root, p) for p in ("in", "out", "checkpoint"))
     events = table(spark, sf_dir, "events")
-    # replay input: one parquet append per time range, written in time order so the file source
-    # (oldest modification time first, one file per trigger) sees the events roughly in order
+    # a run takes all files of the range just written: files inside a range have no order, and the watermark must not pass
+    # the times of those still unread
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     bounds = events.select(us.alias("u")).approxQuantile("u", [i / files for i in range(1, files)], 1e-4)
     edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = events
-        if lo is not None:
-            part = part.where(us >= F.lit(int(lo)))
-        if hi is not None:
-            part = part.where(us < F.lit(int(hi)))
-        part.coalesce(1).write.mode("append").parquet(src_dir)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src_dir)
+    events.limit(0).write.parquet(src_dir)  # the stream needs the folder
+    stream = spark.readStream.schema(events.schema).parquet(src_dir)
     packets = prepare_packets(stream, ts="ts", length="value", label="event_type", label_map=EVENT_LABEL_MAP,
                               default_binary=0)
     updates = stream_window_features(packets, width, watermark=watermark)
@@ -45,9 +39,16 @@ def run_event_stream(spark: SparkSession, sf_dir: str, width: int = STREAM_WIDTH
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
 
-    q = updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt) \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = events
+        if lo is not None:
+            part = part.where(us >= F.lit(int(lo)))
+        if hi is not None:
+            part = part.where(us < F.lit(int(hi)))
+        part.write.mode("append").parquet(src_dir)
+        q = updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt) \
+            .trigger(availableNow=True).start()
+        q.awaitTermination()
     return latest_updates(spark.read.parquet(out_dir))
 
 

@@ -14,13 +14,15 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.names import unique_columns
+from flowlens.operators.ranked import small_side
 from flowlens.sources.files import DATA_SUFFIXES, DELIMITERS, SKIP_NAME_PREFIX, SKIP_PATH_TOKEN, open_stream
 
-BATCH_ROWS = 5_000
+BATCH_ROWS, BATCH_CHARS = 5_000, 16 << 20
+PART_ROWS, PART_BYTES = 4_000, 16 << 20
 RECORDS = "archive string, member string, row_no long, fields map<string,string>, extra int"
 
 
@@ -72,9 +74,10 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     encoding, sep = member_layout(stream)
                 if name.lower().endswith(".tsv"):
                     sep = "\t"
+                csv.field_size_limit(max(csv.field_size_limit(), archive.getinfo(name).file_size))  # a field may be all of its member
                 with archive.open(name) as stream:
                     rows = csv.reader(io.TextIOWrapper(stream, encoding=encoding, newline=""), delimiter=sep)
-                    header, out, n = None, [], 0
+                    header, out, n, chars = None, [], 0, 0
                     for row in rows:
                         if not row:
                             continue
@@ -83,9 +86,10 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             continue
                         out.append((path, name, n, dict(zip(header, row)), len(row) - len(header)))
                         n += 1
-                        if len(out) >= BATCH_ROWS:
+                        chars += sum(map(len, row))
+                        if len(out) >= BATCH_ROWS or chars >= BATCH_CHARS:
                             yield pd.DataFrame(out, columns=columns)
-                            out = []
+                            out, chars = [], 0
                     if out:
                         yield pd.DataFrame(out, columns=columns)
 
@@ -104,28 +108,47 @@ def read_members(members: DataFrame, columns: list[str] | None = None, tasks: in
     return rows.select("archive", "member", "row_no", *[F.col("fields")[c].alias(n) for c, n in zip(columns, unique_columns(columns))])
 
 
-def write_zip(rows: DataFrame, folder: str, header: list[str], sep: str = ",") -> DataFrame:
-    """Write rows (archive, member, line) sorted within each archive to ZIP files in a shared folder; returns
-    (archive, members).  One task writes one archive; a repeated attempt replaces the file.  ``line`` is an array of texts."""
+def write_zip(rows: DataFrame, folder: str, header: list[str], sep: str = ",", part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Write rows (archive, member, order, line) sorted by member and order to ZIP files in a shared folder; returns
+    (file, members).  ``line`` is an array of texts.
+
+    An archive of more than ``part_rows`` rows or ``part_bytes`` bytes is dealt by a hash of ``order`` to several files
+    (``name.part00000.zip``), so a hot one is written by many tasks.  A task sorts outside Python and writes row by row; a
+    repeated attempt replaces its files.
+    """
     import uuid
+    from itertools import groupby
+
+    size = F.octet_length(F.concat_ws("", "line"))
+    sizes = rows.groupBy("archive").agg(F.ceil(F.greatest(F.count(F.lit(1)) / part_rows, F.sum(size) / part_bytes)).alias("_parts"))
+    sizes = sizes.withColumnRenamed("archive", "_archive").checkpoint(eager=True)
+    dealt = rows.join(small_side(sizes), F.col("archive").eqNullSafe(F.col("_archive")))
+    part = F.format_string(".part%05d.zip", F.pmod(F.xxhash64("order"), F.col("_parts")))
+    file = F.when(F.col("_parts") > 1, F.concat(F.regexp_replace("archive", r"\.zip$", ""), part)).otherwise(F.col("archive"))
+    dealt = dealt.select(file.alias("file"), "member", "order", "line")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
 
-        name = pdf["archive"].iloc[0]
         base = folder if "://" in folder else "file://" + folder.removeprefix("file:")
         filesystem, inner = pafs.FileSystem.from_uri(base)
         filesystem.create_dir(inner, recursive=True)
-        temporary = f"{inner}/_{uuid.uuid4().hex}"
-        groups = list(pdf.sort_values(["member", "order"]).groupby("member"))
-        with filesystem.open_output_stream(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for member, part in groups:
-                text = io.StringIO()
-                writer = csv.writer(text, delimiter=sep)
-                writer.writerow(header)
-                writer.writerows(part["line"])
-                archive.writestr(zipfile.ZipInfo(member), text.getvalue().encode())
-        filesystem.move(temporary, f"{inner}/{name}")
-        return pd.DataFrame({"archive": [name], "members": [len(groups)]})
-
-    return rows.groupBy("archive").applyInPandas(write, "archive string, members long")
+        records = (r for pdf in batches for r in zip(pdf["file"], pdf["member"], pdf["line"]))
+        for name, of_file in groupby(records, key=lambda r: r[0]):
+            temporary, members = f"{inner}/_{uuid.uuid4().hex}", 0
+            with filesystem.open_output_stream(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for member, of_member in groupby(of_file, key=lambda r: r[1]):
+                    with archive.open(zipfile.ZipInfo(member), "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8", newline="") as text:
+                        writer = csv.writer(text, delimiter=sep)
+                        writer.writerow(header)
+                        writer.writerows(line for _, _, line in of_member)
+                    members += 1
+            filesystem.move(temporary, f"{inner}/{name}")
+            yield pd.DataFrame({"file": [name], "members": [members]})
+
+    return dealt.repartition("file").sortWithinPartitions("file", "member", "order").select("file", "member", "line").mapInPandas(write, "file string, members long")
+
+
+def archive_name(path: Column) -> Column:
+    """The name that an archive had in ``write_zip``, from the path of one of its files."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.part\d{5,}\.zip$", ".zip")

@@ -1,7 +1,9 @@
 """Driver contract and streaming = batch."""
 
 import __spark_entry__ as entry
+from flowlens.plans import q_stream
 from flowlens.plans.q_stream import run_event_stream
+from flowlens.plans.registry import table
 from flowlens.operators.windows import window_features
 from flowlens.plans.q_windows import event_packets
 
@@ -28,6 +30,16 @@ def test_stream_equals_batch(spark):
     assert sorted(stream.select(*cols).collect()) == sorted(batch.select(*cols).collect())
 
 
+def test_stream_ranges_are_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(q_stream, "table", lambda *a: table(*a).repartition(3))
+    monkeypatch.setattr(q_stream, "scratch_path", lambda spark, name: str(tmp_path))
+    stream = run_event_stream(spark, SF, width=3600, files=3, watermark="10 minutes")
+    batch = window_features(event_packets(spark, SF), widths=(3600,), anchor="epoch")
+    cols = sorted(batch.columns)
+    assert sorted(stream.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+    assert sum(f.stat().st_size > 2_000 for f in (tmp_path / "in").glob("part-*.parquet")) == 9
+
+
 def test_slice_summaries_combine_exactly():
     import random
 

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.sources.archives import read_members, zip_members
+from flowlens.sources.archives import archive_name, read_members, write_zip, zip_members
 from flowlens.sources.files import discover_files, file_facts, read_delimited, select_variant, sniff_delimiters
 from flowlens.sources.pages import listing_rows, size_to_bytes
 from flowlens.sources.zeek import parse_zeek, zeek_flows
@@ -122,3 +122,13 @@ def test_sinks_round_trip(spark):
     assert spark.read.json(f"{root}/j").first()["s"] == "a"
     write_view(df, ["s"], f"{root}/v")
     assert spark.read.parquet(f"{root}/v").columns == ["binary_label", "multiclass_label", "s"]
+
+
+def test_hot_archives_are_split_and_long_texts_read(spark):
+    root = tempfile.mkdtemp(prefix="flowlens-parts-")
+    texts = ["x" * 1_000_000, 'a "b",\nc', "", *[f"row {k}" for k in range(300)]]
+    rows = [("hot.zip", f"m{k % 2}/part.csv", k, [str(k), t]) for k, t in enumerate(texts)] + [("small.zip", "m/part.csv", 1, ["1", "z"])]
+    written = write_zip(spark.createDataFrame(rows, "archive string, member string, order long, line array<string>"), root, ["k", "text"], part_rows=50).collect()
+    assert len(written) > 4 and "small.zip" in {r["file"] for r in written} and sorted(os.listdir(root)) == sorted(r["file"] for r in written)
+    got = read_members(zip_members(spark, root), tasks=3).select(archive_name(F.col("archive")), "member", F.col("fields")["k"], F.col("fields")["text"], "extra")
+    assert sorted(map(tuple, got.collect())) == sorted((a, m, *line, 0) for a, m, _, line in rows)
