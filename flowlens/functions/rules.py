@@ -1,51 +1,44 @@
 """Leakage and view rules over a *columns table* ``(dataset, ordinal, column)``.
 
-Every rule is a column expression, so classifying the columns of any number
-of tables is one DataFrame job instead of a driver loop.
+The rules are tables of fixed values in ``vocab``; here is the one matcher that reads them.  Every rule is a column
+expression, so classifying the columns of any number of tables is one DataFrame job instead of a driver loop.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.names import has_any_expr, norm, norm_expr, parts_expr
 from flowlens.vocab import (
-    ANALYSIS_PARAMETER_EXACT, HARD_LEAKAGE_EXACT, HARD_LEAKAGE_SUBSTRINGS, LABEL_COLUMNS,
-    LEGITIMATE_METADATA_TOKENS, MQTT_METADATA_TOKENS, PROTOCOL_METADATA_TOKENS, RAW_IDENTITY_SUBSTRINGS,
-    REASON_ATTACK, REASON_CLIENT, REASON_IP, REASON_LABEL, REASON_SENSITIVE, REASON_TOPIC, STRICT_EXCLUDE_TOKENS,
-    STRICT_TOKENS,
+    ANALYSIS_PARAMETER_EXACT, AUDIT_CLASSES, DISCRIMINATIVE_SCORE, HARD_LEAKAGE_RULES, HIGH_SCORE, LABEL_COLUMNS,
+    LEGITIMATE_METADATA_TOKENS, MQTT_METADATA_TOKENS, NOTE_DISCRIMINATIVE, NOTE_LEGITIMATE, NOTE_NONE,
+    PROTOCOL_METADATA_TOKENS, STRICT_EXCLUDE_TOKENS, STRICT_TOKENS,
 )
 
 
-def _in_parts(parts: Column, word: str) -> Column:
-    return F.array_contains(parts, word)
+def rule_matches(column: Column, rule: dict) -> Column:
+    """Whether a column name falls under one row of a rule table."""
+    name, parts = norm_expr(column), parts_expr(column)
+    hits = []
+    if "exact" in rule:
+        hits.append(name.isin(*sorted({norm(x) for x in rule["exact"]})))
+    if "substrings" in rule:
+        hits.append(has_any_expr(name, rule["substrings"]))
+    if "words" in rule:
+        allowed = reduce(or_, [name.endswith(x) for x in rule.get("unless_ending", ())], F.lit(False))
+        any_of = reduce(or_, [F.size(F.array_except(F.array(*map(F.lit, words)), parts)) == 0 for words in rule["words"]])
+        hits.append(any_of & ~allowed)
+    return reduce(or_, hits)
 
 
 def hard_reasons_expr(column: Column) -> Column:
     """Sorted, distinct hard-leakage reasons of a column name (empty array if none)."""
-    low = norm_expr(column)
-    ps = parts_expr(column)
-    ip_counter = low.isin("orig_ip_bytes", "resp_ip_bytes") | low.endswith("_ip_bytes")
-    label_exact = low.isin(*{norm(x) for x in LABEL_COLUMNS}) | low.isin(*HARD_LEAKAGE_EXACT)
-    sensitive = F.lit(False)
-    for token in HARD_LEAKAGE_SUBSTRINGS:
-        sensitive = sensitive | low.contains(token)
-    attack = _in_parts(ps, "attack") | _in_parts(ps, "scenario") | _in_parts(ps, "category") | _in_parts(ps, "class")
-    identity = F.lit(False)
-    for token in RAW_IDENTITY_SUBSTRINGS:
-        identity = identity | low.contains(token)
-    ip = (_in_parts(ps, "ip") & ~ip_counter) | identity
-    client = (_in_parts(ps, "client") & _in_parts(ps, "id")) | (_in_parts(ps, "device") & _in_parts(ps, "id"))
-    reasons = F.array(
-        F.when(label_exact, F.lit(REASON_LABEL)),
-        F.when(sensitive, F.lit(REASON_SENSITIVE)),
-        F.when(attack, F.lit(REASON_ATTACK)),
-        F.when(_in_parts(ps, "topic"), F.lit(REASON_TOPIC)),
-        F.when(ip, F.lit(REASON_IP)),
-        F.when(client, F.lit(REASON_CLIENT)),
-    )
-    return F.array_sort(F.array_distinct(F.array_compact(reasons)))
+    reasons = [F.when(rule_matches(column, rule), F.lit(reason)) for reason, rule in sorted(HARD_LEAKAGE_RULES.items())]
+    return F.array_compact(F.array(*reasons))
 
 
 def classify_columns(columns: DataFrame, column: str = "column") -> DataFrame:
@@ -64,24 +57,16 @@ def classify_columns(columns: DataFrame, column: str = "column") -> DataFrame:
 
 
 def feature_class_expr(is_hard: Column, is_legit: Column, is_protocol: Column, score: Column) -> tuple[Column, Column]:
-    """(feature_class, action) of an audited feature given its single-feature score."""
-    high = score.isNotNull() & (score > 0.90)
-    cls = (F.when(is_hard, F.lit("hard_leakage_removed"))
-           .when(is_legit, F.lit("legitimate_metadata_retained"))
-           .when(is_protocol, F.lit("suspicious_protocol_metadata_retained"))
-           .when(high, F.lit("conservative_only_removed"))
-           .otherwise(F.lit("retained_metadata")))
-    action = (F.when(is_hard, F.lit("remove_from_all_model_views"))
-              .when(is_legit & high, F.lit("retain_in_audited_metadata_main; conservative_only_removed"))
-              .when(is_legit, F.lit("retain_in_audited_metadata_main"))
-              .when(is_protocol, F.lit("retain_with_protocol_metadata_note"))
-              .when(high, F.lit("retain_in_main_remove_in_conservative"))
-              .otherwise(F.lit("retain")))
-    return cls, action
+    """(feature_class, action) of an audited feature: the first kind of ``AUDIT_CLASSES`` that it is."""
+    high = F.coalesce(score > HIGH_SCORE, F.lit(False))
+    holds = {"hard": is_hard, "legitimate": is_legit, "protocol": is_protocol, "high": high, "other": F.lit(True)}
+    first = F.coalesce(*[F.when(holds[kind], F.struct(F.lit(cls).alias("cls"), F.when(high, F.lit(if_high)).otherwise(F.lit(action)).alias("action")))
+                         for kind, (cls, action, if_high) in AUDIT_CLASSES.items()])
+    return first["cls"], first["action"]
 
 
 def audit_note_expr(cls: Column, score: Column) -> Column:
-    return (F.when(score.isNotNull() & (score > 0.90) & (cls == "legitimate_metadata_retained"),
-                   F.lit("single-feature Macro F1 > 0.90; legitimate encrypted-flow metadata, not leakage"))
-            .when(score.isNotNull() & (score > 0.80), F.lit("single-feature Macro F1 > 0.80; discriminative metadata"))
-            .otherwise(F.lit("no leakage indication under revised taxonomy")))
+    """What the report says about a score."""
+    notes = [F.when((score > HIGH_SCORE) & (cls == AUDIT_CLASSES["legitimate"][0]), F.lit(NOTE_LEGITIMATE)),
+             F.when(score > DISCRIMINATIVE_SCORE, F.lit(NOTE_DISCRIMINATIVE))]
+    return F.coalesce(*notes, F.lit(NOTE_NONE))

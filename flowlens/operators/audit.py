@@ -35,7 +35,7 @@ from flowlens.operators.metrics import classification_metrics
 from flowlens.operators.ranked import small_side
 from flowlens.operators.splits import class_cap_sample, random_stratified_split
 from flowlens.session import checkpoint_dir
-from flowlens.vocab import LEGITIMATE_METADATA_TOKENS, PROTOCOL_METADATA_TOKENS
+from flowlens.vocab import DISCRIMINATIVE_CLASSES, DISCRIMINATIVE_SCORE, LEGITIMATE_METADATA_TOKENS, PROTOCOL_METADATA_TOKENS
 
 INF = float("inf")
 
@@ -167,9 +167,6 @@ def audit_report(scores: DataFrame, membership: DataFrame, policy: str = "audite
                       audit_note_expr(F.col("feature_class"), F.col("single_feature_macro_f1")).alias("notes"))
 
 
-def highly_discriminative(report: DataFrame, threshold: float = 0.80) -> DataFrame:
+def highly_discriminative(report: DataFrame, threshold: float = DISCRIMINATIVE_SCORE) -> DataFrame:
     """Score > 0.80 among the retained classes."""
-    return report.where(F.col("single_feature_macro_f1").isNotNull() & (F.col("single_feature_macro_f1") > threshold)
-                        & F.col("feature_class").isin("legitimate_metadata_retained",
-                                                      "suspicious_protocol_metadata_retained",
-                                                      "conservative_only_removed"))
+    return report.where((F.col("single_feature_macro_f1") > threshold) & F.col("feature_class").isin(*DISCRIMINATIVE_CLASSES))

@@ -6,9 +6,9 @@ aggregate, so the metrics of any number of runs come from one job.
 * accuracy, macro precision/recall/F1, weighted F1 (zero_division = 0;
   classes = union of true and predicted labels) from the confusion counts;
 * ROC-AUC (tie-aware Mann-Whitney) and average precision (step sum,
-  sum of dR * P over distinct scores) from per-score counts.  The running
-  sums over scores are computed bucket by bucket (quantile buckets of the
-  score), so a run with many distinct scores is not sorted in one task.
+  sum of dR * P over distinct scores) from one table of counts per score.  The
+  running sums over scores are computed range by range, so a run with many
+  distinct scores is not sorted in one task.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.ranked import quantile_bucket
-
 
 def confusion(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
     return df.groupBy(*keys, F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
@@ -64,48 +62,53 @@ def score_counts(df: DataFrame, keys: list[str], y: str = "y", score: str = "sco
         F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"))
 
 
-def running_totals(counts: DataFrame, keys: list[str], order: str, cols: list[str], descending: bool = False,
-                   buckets: int = 256) -> DataFrame:
+def running_totals(counts: DataFrame, keys: list[str], order: str, cols: list[str], descending: bool = False) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows strictly earlier in ``order`` within ``keys``.
 
-    Two-level: bucket totals (small table) give offsets, a window inside each
-    (keys, bucket) adds the local running sum.
+    Rows are dealt to ranges of (keys, order) of about equal size, whatever the values' scale, and stored with the
+    number of their range.  The totals of earlier ranges (a table of ranges x keys) are the offsets of a
+    running sum inside each range.
     """
     sign = F.lit(-1.0) if descending else F.lit(1.0)
-    b = quantile_bucket(counts.withColumn("_o", F.col(order).cast("double") * sign), "_o", buckets=buckets, out="_b")
-    tot = b.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    ranges = max(8, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = counts.withColumn("_o", F.col(order).cast("double") * sign).repartitionByRange(ranges, *keys, "_o")
+    dealt = dealt.withColumn("_b", F.spark_partition_id()).checkpoint(eager=True)
+    tot = dealt.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     kw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     prev = kw.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    for c in cols:
-        tot = tot.withColumn(f"_off_{c}", F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0)).cast("long"))
-    tot = tot.drop(*[f"_t_{c}" for c in cols])
+    tot = tot.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(prev), F.lit(0)).cast("long").alias(f"_off_{c}") for c in cols])
     inner = Window.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(tot, on=[*keys, "_b"], how="inner")
-    for c in cols:
-        out = out.withColumn(f"{c}_before", F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0)))
+    same = [dealt[k].eqNullSafe(tot[k]) for k in keys]
+    out = dealt.join(tot, [*same, dealt["_b"] == tot["_b"]]).select(dealt["*"], *[f"_off_{c}" for c in cols])
+    out = out.withColumns({f"{c}_before": F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in cols})
     return out.drop("_b", "_o", *[f"_off_{c}" for c in cols])
 
 
-def roc_auc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", positive=1) -> DataFrame:
-    """Tie-aware AUC = sum_s pos_s (neg_below_s + neg_s / 2) / (P N); null with one class."""
-    counts = running_totals(score_counts(df, keys, y, score, positive), keys, "score", ["neg"])
-    num = F.col("pos").cast("decimal(20,0)") * (2 * F.col("neg_before") + F.col("neg")).cast("decimal(20,0)")
-    agg = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(num).alias("_num"))
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
-                 F.col("_num").cast("double") / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")))
-    return agg.select(*keys, auc.alias("roc_auc"))
-
-
-def average_precision(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", positive=1,
-                      digits: int = 9) -> DataFrame:
-    """AP = sum over distinct scores (high to low) of (pos_k / P) * tp_k / (tp_k + fp_k)."""
+def ranking_metrics(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", positive=1, digits: int = 9) -> DataFrame:
+    """E2 and E3 of each run from one pass over its distinct scores, high to low: roc_auc and pr_auc, null with one class.
+
+    AUC = sum_s pos_s (neg_below_s + neg_s / 2) / (P N), tie-aware, with exact integer sums;
+    AP = sum_s (pos_s / P) * tp_s / (tp_s + fp_s).
+    """
     counts = running_totals(score_counts(df, keys, y, score, positive), keys, "score", ["pos", "neg"], descending=True)
-    tp = F.col("pos_before") + F.col("pos")
-    fp = F.col("neg_before") + F.col("neg")
+    above = F.col("pos").cast("decimal(20,0)") * (2 * F.col("neg_before") + F.col("neg")).cast("decimal(20,0)")
+    tp, fp = F.col("pos_before") + F.col("pos"), F.col("neg_before") + F.col("neg")
     term = F.when(tp + fp > 0, F.col("pos") * (tp / (tp + fp))).otherwise(F.lit(0.0))
-    agg = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(term).alias("_s"))
-    ap = F.when((F.col("P") > 0) & (F.col("N") > 0), F.round(F.col("_s") / F.col("P"), digits))
-    return agg.select(*keys, ap.alias("pr_auc"))
+    agg = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(above).alias("_above"), F.sum(term).alias("_s"))
+    pairs = F.lit(2).cast("decimal(20,0)") * F.col("P").cast("decimal(20,0)") * F.col("N").cast("decimal(18,0)")
+    both = (F.col("P") > 0) & (F.col("N") > 0)
+    auc = (pairs - F.col("_above")).cast("double") / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double"))
+    return agg.select(*keys, F.when(both, auc).alias("roc_auc"), F.when(both, F.round(F.col("_s") / F.col("P"), digits)).alias("pr_auc"))
+
+
+def roc_auc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", positive=1) -> DataFrame:
+    """E2 alone."""
+    return ranking_metrics(df, keys, y, score, positive).select(*keys, "roc_auc")
+
+
+def average_precision(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", positive=1, digits: int = 9) -> DataFrame:
+    """E3 alone."""
+    return ranking_metrics(df, keys, y, score, positive, digits).select(*keys, "pr_auc")
 
 
 def binary_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred", score: str = "score") -> DataFrame:
@@ -113,4 +116,4 @@ def binary_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pr
     if not keys:
         df, keys = df.withColumn("run", F.lit("all")), ["run"]
     base = classification_metrics(df, keys, y, pred)
-    return base.join(roc_auc(df, keys, y, score), keys, "left").join(average_precision(df, keys, y, score), keys, "left")
+    return base.join(ranking_metrics(df, keys, y, score), keys, "left")

@@ -13,6 +13,3 @@ def spark():
     s = build_session("local[4]", app="flowlens-tests", shuffle_partitions=4)
     yield s
     s.stop()
-
-
-SF = "/root/testdata/sf0.01"
