@@ -69,12 +69,18 @@ FROM ({normalized_features_sql(BIFLOW).replace('SELECT l_orderkey, is_attack, ',
 WINDOW_SOURCE_COLUMNS = ["window_id", *WINDOW_COLUMNS]
 
 
-def sources(spark: SparkSession, sf_dir: str) -> list[Source]:
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = flow_window_1h(spark, sf_dir)
     assert windows.columns == WINDOW_SOURCE_COLUMNS, windows.columns
-    return [Source("packets", "packet", True, packet_table(spark, sf_dir)),
-            Source("biflow", "flow", True, biflow_source(spark, sf_dir)),
-            Source("windows_1h", "flow_window", True, windows)]
+    return windows
+
+
+SOURCES = {"packets": ("packet", True, packet_table), "biflow": ("flow", True, biflow_source), "windows_1h": ("flow_window", True, _windows)}
+
+
+def sources(spark: SparkSession, sf_dir: str, *names: str) -> list[Source]:
+    """The named sources (all without a name); only these are built."""
+    return [Source(n, SOURCES[n][0], SOURCES[n][1], SOURCES[n][2](spark, sf_dir)) for n in names or SOURCES]
 
 
 SOURCE_COLUMNS = {"packets": ("packet", True, PACKET_COLUMNS), "biflow": ("flow", True, BIFLOW_COLUMNS),
@@ -152,10 +158,9 @@ def feature_views_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf_dir: str, dataset: str, role: str) -> DataFrame:
-    srcs = {s.dataset: s for s in sources(spark, sf_dir)}
-    catalog = source_catalog(spark, list(srcs.values()))
-    feats = view_features(view_membership(catalog), dataset, POLICY_MAIN, role)
-    return project_view(srcs[dataset].df, feats)
+    (source,) = sources(spark, sf_dir, dataset)
+    feats = view_features(view_membership(source_catalog(spark, [source])), dataset, POLICY_MAIN, role)
+    return project_view(source.df, feats)
 
 
 @query("audited_view_full", f"SELECT binary_label, multiclass_label, tcp_len, tcp_flags, mqtt_kalive FROM ({PACKET_SQL})")
@@ -189,7 +194,7 @@ def window_view_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("common_view", f"SELECT binary_label, multiclass_label, {', '.join(COMMON_CROSS_FEATURES)} FROM ({BIFLOW_SOURCE_SQL})")
 def common_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Biflow rows projected on the common features shared with the window strict view."""
-    srcs = {s.dataset: s for s in sources(spark, sf_dir)}
+    srcs = {s.dataset: s for s in sources(spark, sf_dir, "biflow", "windows_1h")}
     membership = view_membership(source_catalog(spark, list(srcs.values())))
     common = common_features(view_features(membership, "biflow", POLICY_MAIN, "strict"),
                              view_features(membership, "windows_1h", POLICY_MAIN, "strict"))
