@@ -2,176 +2,195 @@
 
 Terms hold no white space, so a text's terms are those of its white-space chunks, and a chunk's terms don't depend on the
 text.  Documents are factored in blocks: a block lists each of its chunks once and, for each document, which chunks
-it has and how often.  The chunks of all blocks are made distinct by one shuffle, each globally distinct chunk is
-cut into terms once, and the terms are joined back to the blocks' lists.  A block then knows the terms of its
-documents and returns, for each (lang, source, term), in how many of its documents the term is and how often; sums of
-these are the counts of the corpus.  What moves are the blocks' lists, where a chunk that every document has is one
-row a block, so no chunk, term or source is a hot key.
-
-All arithmetic is exact: 38-digit decimals where a product can pass 64 bits.
+it has and how often.  The chunks of all blocks are made distinct by one shuffle and each globally distinct chunk is
+cut into terms once.  The documents of its chunks, summed, are never fewer than those of a term, so terms below the
+bound by that sum are surely not kept and travel no further.  The other terms get a number each and are joined back to
+the blocks' lists; a block then knows the terms of its documents and returns, for each (lang, source, term), in how many of its
+documents the term is and how often.  Sums of these are the counts of the corpus.  What moves are the blocks' lists,
+where a chunk that every document has is one row a block, so no chunk, term or source is a hot key.
+
+Pairs of sources are compared on buckets of kept terms, each a matrix of shares (terms x sources of a lang); the sums of the
+buckets add up.  All arithmetic is exact integers: products that can pass 64 bits are 38-digit decimals.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, stored
+from flowlens.llm.common import llm_query, partitions, stored
 
 #: What separates terms, and the letters that are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: A block ends with the document that takes it to this many documents or bytes.
-BLOCK_DOCS, BLOCK_BYTES = 4000, 16 << 20
-BLOCK = "block string, chunks array<string>, langs array<string>, sources array<string>, doc binary, chunk binary, n binary, groups binary"
+BLOCK_DOCS, BLOCK_BYTES = 10_000, 32 << 20
+BLOCK = "block bigint, chunks array<string>, docs array<int>, langs array<string>, sources array<string>, length binary, chunk binary, n binary, groups binary"
+#: Cells of a matrix of shares that a bucket of terms has on average.
+BUCKET_CELLS = 200_000
 
 
 def factored(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs`` (lang, source, text): its distinct chunks, its distinct (lang, source) groups, the group of each
-    document, and (doc, chunk, n) entries as three columns of 32-bit integers."""
-    schema = pa.schema([("block", pa.string()), ("chunks", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), *[(c, pa.binary()) for c in ("doc", "chunk", "n", "groups")]])
-
-    def block(rows: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
-        chunks, groups, doc, chunk, n, of = {}, {}, [], [], [], []
-        for k, (lang, source, text) in enumerate(rows):
-            of.append(groups.setdefault((lang, source), len(groups)))
-            ids = np.fromiter((chunks.setdefault(w, len(chunks)) for w in text.split()), np.uint32)
-            own, times = np.unique(ids, return_counts=True)
-            doc.append(np.full(len(own), k, "<u4"))
-            chunk.append(own.astype("<u4"))
-            n.append(times.astype("<u4"))
-        packed = [np.concatenate([np.zeros(0, "<u4"), *x]).tobytes() for x in (doc, chunk, n)]
-        return pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "chunks": [[c.decode() for c in chunks]], "langs": [[g[0] for g in groups]], "sources": [[g[1] for g in groups]],
-                                           "doc": [packed[0]], "chunk": [packed[1]], "n": [packed[2]], "groups": [np.array(of, "<u4").tobytes()]}, schema=schema)
+    """Blocks of ``docs`` (lang, source, text): the distinct chunks and in how many documents each is, the distinct (lang, source)
+    groups, and as 32-bit integers each document's number of chunks and group, and the chunk and n of each (document, chunk)."""
+    packed = ("length", "chunk", "n", "groups")
+    schema = pa.schema([("block", pa.int64()), ("chunks", pa.list_(pa.string())), ("docs", pa.list_(pa.int32())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), *[(c, pa.binary()) for c in packed]])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        first, made = TaskContext.get().partitionId() << 32, 0
+        chunks, groups, length, chunk, n, of, size = {}, {}, [], [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            ids = np.concatenate([np.zeros(0, "<u4"), *chunk])
+            parts = {"length": np.array(length, "<u4"), "chunk": ids, "n": np.concatenate([np.zeros(0, "<u4"), *n]), "groups": np.array(of, "<u4")}
+            return pa.RecordBatch.from_pydict({"block": [first + made], "chunks": [[c.decode() for c in chunks]], "docs": [np.bincount(ids, minlength=len(chunks)).astype(np.int32)],
+                                               "langs": [[g[0] for g in groups]], "sources": [[g[1] for g in groups]], **{c: [parts[c].tobytes()] for c in packed}}, schema=schema)
+
         for batch in batches:
             for lang, source, text in zip(*batch.columns, strict=True):
-                raw = (text.as_py() or "").encode()
-                rows.append((lang.as_py() or "", source.as_py() or "", raw))
-                size += len(raw)
-                if len(rows) >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                    yield block(rows)
-                    rows, size = [], 0
-        if rows:
-            yield block(rows)
+                words = (text.as_py() or "").encode().split()
+                of.append(groups.setdefault((lang.as_py() or "", source.as_py() or ""), len(groups)))
+                own, times = np.unique(np.fromiter((chunks.setdefault(w, len(chunks)) for w in words), np.uint32, len(words)), return_counts=True)
+                length.append(len(own))
+                chunk.append(own.astype("<u4"))
+                n.append(times.astype("<u4"))
+                size += len(text.as_py() or "")
+                if len(of) >= BLOCK_DOCS or size >= BLOCK_BYTES:
+                    yield block()
+                    chunks, groups, length, chunk, n, of, size = {}, {}, [], [], [], [], 0
+                    made += 1
+        if of:
+            yield block()
 
     return docs.mapInArrow(blocks, BLOCK)
 
 
-def chunk_terms(blocks: DataFrame) -> DataFrame:
-    """(owner, place, terms): the terms of the chunk at each place of the list of block ``owner``, in order and with repeats.
-
-    Each globally distinct chunk is cut into terms once and joined back; chunks without terms are left out.
-    """
-    listed = blocks.select(F.col("block").alias("owner"), F.posexplode("chunks").alias("place", "chunk"))
+def chunk_terms(blocks: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(one, term_id, times): the terms of each globally distinct chunk that can be in ``least_docs`` documents, and how
+    often the chunk has them; and (term_id, term)."""
+    listed = blocks.select(F.explode(F.arrays_zip("chunks", "docs")).alias("c"))
     terms = F.transform(F.regexp_extract_all("one", F.lit(TERM), F.lit(0)), lambda t: F.translate(t, UPPER, LOWER))
-    distinct = stored(listed.select(F.col("chunk").alias("one")).distinct().withColumn("terms", terms).where(F.size("terms") > 0), "chunk-terms")
-    return listed.join(distinct, F.col("chunk") == F.col("one")).select("owner", "place", "terms")
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n_docs, n): documents with the term and occurrences; null lang, source and text count as ''."""
+    distinct = listed.groupBy(F.col("c.chunks").alias("one")).agg(F.sum("c.docs").alias("docs"))
+    distinct = stored(distinct.withColumn("terms", terms).where(F.size("terms") > 0), "chunk-terms")
+    cut = distinct.select("one", "docs", F.explode("terms").alias("term"))
+    names = cut.groupBy("term").agg(F.sum("docs").alias("most")).where(F.col("most") >= least_docs)
+    names = stored(names.select(F.monotonically_increasing_id().alias("term_id"), "term"), "term-names")
+    found = cut.join(names, "term").groupBy("one", "term_id").agg(F.count(F.lit(1)).alias("times"))
+    return stored(found, "chunk-term-ids"), names
+
+
+def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term_id, n_docs, n): documents with the term and occurrences, for all terms that can be in
+    ``least_docs`` documents; and (term_id, term).  Null lang, source and text count as ''."""
     blocks = stored(factored(docs.select("lang", "source", "text")), "chunk-blocks")
+    of_chunk, names = chunk_terms(blocks, least_docs)
+    listed = blocks.select(F.col("block").alias("owner"), F.posexplode("chunks").alias("place", "chunk"))
+    resolved = listed.join(of_chunk.hint("shuffle_hash"), F.col("chunk") == F.col("one")).select("owner", "place", "term_id", F.col("times").cast("int").alias("times"))
 
     def count(block: pa.Table, resolved: pa.Table) -> pa.Table:
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n_docs", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term_id", pa.int64()), ("n_docs", pa.int64()), ("n", pa.int64())])
         if not block.num_rows or not resolved.num_rows:
             return schema.empty_table()
-        doc, chunk, times, groups = (np.frombuffer(block.column(c)[0].as_py(), "<u4").astype(np.int64) for c in ("doc", "chunk", "n", "groups"))
-        lists = resolved.column("terms").combine_chunks()
-        names = lists.flatten().dictionary_encode()
-        term = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        length = np.diff(lists.offsets.to_numpy())
-        place = np.repeat(resolved.column("place").to_numpy(), length).astype(np.int64)
-        kinds = len(names.dictionary)
-        #: One (chunk, term) entry each, with its repeats, sorted by chunk.
-        pair, repeats = np.unique(place * kinds + term, return_counts=True)
-        place, term = pair // kinds, pair % kinds
+        length, chunk, n, groups = (np.frombuffer(block.column(c)[0].as_py(), "<u4").astype(np.int64) for c in ("length", "chunk", "n", "groups"))
+        ids, term = np.unique(resolved.column("term_id").to_numpy(), return_inverse=True)
+        place, kinds = resolved.column("place").to_numpy().astype(np.int64), len(ids)
+        order = np.argsort(place, kind="stable")
+        place, term, repeats = place[order], term[order], resolved.column("times").to_numpy().astype(np.int64)[order]
         begin, end = np.searchsorted(place, chunk, "left"), np.searchsorted(place, chunk, "right")
         many = end - begin
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-        owner, occurrences = np.repeat(doc, many), np.repeat(times, many) * repeats[at]
-        of_doc, where = np.unique(owner * kinds + term[at], return_inverse=True)
-        in_doc = np.zeros(len(of_doc), np.int64)
-        np.add.at(in_doc, where, occurrences)
-        key, where = np.unique(groups[of_doc // kinds] * kinds + of_doc % kinds, return_inverse=True)
-        n = np.zeros(len(key), np.int64)
-        np.add.at(n, where, in_doc)
+        owner = np.repeat(np.repeat(np.arange(len(length)), length), many)
+        pair, occurrences = owner * kinds + term[at], np.repeat(n, many) * repeats[at]
+        order = np.argsort(pair, kind="stable")
+        pair, occurrences = pair[order], occurrences[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        pair, in_doc = pair[first], np.add.reduceat(occurrences, first) if len(first) else occurrences
+        key, where = np.unique(groups[pair // kinds] * kinds + pair % kinds, return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, where, in_doc)
         langs, sources = (pa.array(block.column(c)[0].as_py(), pa.string()) for c in ("langs", "sources"))
         group = pa.array(key // kinds)
-        return pa.Table.from_arrays([langs.take(group), sources.take(group), names.dictionary.take(pa.array(key % kinds)), pa.array(np.bincount(where, minlength=len(key)).astype(np.int64)), pa.array(n)], schema=schema)
+        return pa.Table.from_arrays([langs.take(group), sources.take(group), pa.array(ids[key % kinds]), pa.array(np.bincount(where, minlength=len(key)).astype(np.int64)), pa.array(total)], schema=schema)
 
-    payload = blocks.drop("chunks").groupBy("block")
-    counted = payload.cogroup(chunk_terms(blocks).groupBy("owner")).applyInArrow(count, "lang string, source string, term string, n_docs bigint, n bigint")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    payload = blocks.drop("chunks", "docs").groupBy("block")
+    counted = payload.cogroup(resolved.groupBy("owner")).applyInArrow(count, "lang string, source string, term_id bigint, n_docs bigint, n bigint")
+    return counted.groupBy("lang", "source", "term_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")), names
 
 
-def _wide(column: Column) -> Column:
-    return column.cast("decimal(38,0)")
-
-
-def share(n: str, total: str, kinds: str) -> Column:
+def share(n: str, total: str, kinds: str):
     """1 + floor(SCALE * (n + 2) / (total + 2 * kinds)): a smoothed share in billionths."""
     return (F.expr(f"(cast({SCALE} as decimal(10,0)) * (cast({n} as decimal(20,0)) + 2)) div (cast({total} as decimal(20,0)) + 2 * cast({kinds} as decimal(17,0)))") + 1).cast("long")
 
 
-def divergence(p: str, q: str) -> Column:
+def divergence(p: str, q: str):
     """floor((p - q)^2 / (p + q)); shares are at most a billion and one, so 64 bits hold the square."""
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def kept_counts(counts: DataFrame, groups: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the kept terms: their counts by source with p (the source's share) and q (the lang's); (lang, source, total, kinds,
-    nowhere) with ``nowhere`` the share of a term that the source hasn't; and both totals by lang.
+def kept_shares(counts: DataFrame, groups: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term_id, n, p, q) of the kept terms that a source has, with p its share and q the lang's; and (lang, source,
+    kinds, nowhere) with the number of kept terms and the share of a term that the source hasn't.
 
     A lang keeps the terms in at least ``least_docs`` of its documents.
     """
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n_docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs)
-    of_lang = stored(of_lang.select("lang", "term", "n_lang"), "kept-terms")
-    kept = stored(counts.join(of_lang, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"), "kept-counts")
+    of_lang = counts.groupBy("lang", "term_id").agg(F.sum("n_docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs)
+    of_lang = stored(of_lang.select("lang", "term_id", "n_lang"), "kept-terms")
+    kept = stored(counts.join(of_lang, ["lang", "term_id"]).select("lang", "source", "term_id", "n", "n_lang"), "kept-counts")
     langs = of_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_lang").alias("lang_total"))
-    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own_kinds"))
+    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("long")
-    facts = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "own_kinds", "kinds", "lang_total"])
+    facts = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "kinds", "lang_total"])
     facts = facts.withColumn("none", zero).withColumn("nowhere", F.when(F.col("kinds") > 0, share("none", "total", "kinds")).otherwise(zero)).drop("none")
     facts = stored(facts, "source-facts")
     shares = kept.join(facts.select("lang", "source", "total", "kinds", "lang_total"), ["lang", "source"])
-    shares = shares.select("lang", "source", "term", "n", share("n", "total", "kinds").alias("p"), share("n_lang", "lang_total", "kinds").alias("q"))
-    return stored(shares, "shares"), facts, langs
+    shares = shares.select("lang", "source", "term_id", "n", share("n", "total", "kinds").alias("p"), share("n_lang", "lang_total", "kinds").alias("q"))
+    return stored(shares, "shares"), facts.select("lang", "source", "kinds", "nowhere")
 
 
 def source_pairs(shares: DataFrame, facts: DataFrame) -> DataFrame:
     """(lang, source, item, value): for each ordered pair of sources of a lang, the divergence summed over all kept terms.
 
-    A term that only one of them has diverges from the other's ``nowhere``, so these are summed over the distinct shares
-    of a source, and a term that neither has is a constant; only terms that both have are joined, once for s < t.
+    The terms of a lang are dealt to buckets; a bucket is a matrix of shares, filled with ``nowhere`` where a source
+    lacks a term, and returns the sums of its columns' divergences.
     """
-    zeros = facts.select("lang", F.col("source").alias("t"), F.col("nowhere").alias("t0"), F.col("own_kinds").alias("t_kinds"))
-    pairs = facts.select("lang", F.col("source").alias("s"), F.col("nowhere").alias("s0"), F.col("own_kinds").alias("s_kinds"), "kinds").join(zeros, "lang").where("s <> t")
-    distinct = shares.groupBy("lang", F.col("source").alias("s"), "p").agg(F.count(F.lit(1)).alias("terms"))
-    alone = distinct.join(zeros, "lang").where("s <> t").groupBy("lang", "s", "t").agg(F.sum(_wide(F.col("terms") * divergence("p", "t0"))).alias("alone"))
-    with_zero = shares.join(facts.select("lang", "source", "nowhere"), ["lang", "source"])
-    left, right = (with_zero.select("lang", "term", F.col("source").alias(x), F.col("p").alias(f"p{x}"), F.col("nowhere").alias(f"z{x}")) for x in "st")
-    both = left.join(right, ["lang", "term"]).where("s < t")
-    terms = divergence("ps", "pt") - divergence("ps", "zt") - divergence("zs", "pt")
-    half = stored(both.groupBy("lang", "s", "t").agg(F.sum(_wide(terms)).alias("joint"), F.count(F.lit(1)).alias("shared")), "shared-terms")
-    joint = half.unionByName(half.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), "joint", "shared"))
-    alone = stored(alone, "alone-terms")
-    other = alone.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), F.col("alone").alias("other"))
-    found = pairs.join(joint, ["lang", "s", "t"], "left").join(alone, ["lang", "s", "t"], "left").join(other, ["lang", "s", "t"], "left").na.fill(0, ["shared"])
-    neither = F.col("kinds") - F.col("s_kinds") - F.col("t_kinds") + F.col("shared")
-    nowhere = F.when(F.col("kinds") > 0, divergence("s0", "t0")).otherwise(F.lit(0))
-    none = F.lit(0).cast("decimal(38,0)")
-    value = F.coalesce("joint", none) + F.coalesce("alone", none) + F.coalesce("other", none) + _wide(neither * nowhere)
-    return found.select("lang", F.col("s").alias("source"), F.col("t").alias("item"), value.cast("long").alias("value"))
+    size = facts.agg(F.max(F.col("kinds")).alias("kinds")).first()["kinds"] or 0
+    wide = facts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    buckets = max(partitions(shares.sparkSession), -(-size * wide // BUCKET_CELLS))
+    dealt = shares.select("lang", "source", "term_id", "p", F.pmod(F.xxhash64("term_id"), F.lit(buckets)).alias("bucket"))
+    used = stored(dealt.select("lang", "bucket").distinct(), "term-buckets")
+    known = used.join(facts, "lang").select(F.col("lang").alias("of"), F.col("bucket").alias("at"), F.col("source").alias("s"), "nowhere")
+
+    def compare(rows: pa.Table, sources: pa.Table) -> pa.Table:
+        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
+        if not rows.num_rows or sources.num_rows < 2:
+            return schema.empty_table()
+        names = sources.column("s").combine_chunks()
+        terms, row = np.unique(rows.column("term_id").to_numpy(), return_inverse=True)
+        p = np.tile(sources.column("nowhere").to_numpy(), (len(terms), 1))
+        p[row, pc.index_in(rows.column("source").combine_chunks(), names).to_numpy()] = rows.column("p").to_numpy()
+        k, out = len(names), []
+        for s in range(k - 1):
+            apart, both = p[:, s + 1 :] - p[:, s : s + 1], p[:, s + 1 :] + p[:, s : s + 1]
+            out.append((apart * apart // both).sum(0))
+        value = np.concatenate(out)
+        a, b = np.triu_indices(k, 1)
+        left, right = names.take(pa.array(np.concatenate([a, b]))), names.take(pa.array(np.concatenate([b, a])))
+        lang = pa.array([rows.column("lang")[0].as_py()] * (2 * len(a)), pa.string())
+        return pa.Table.from_arrays([lang, left, right, pa.array(np.concatenate([value, value]))], schema=schema)
+
+    sums = dealt.groupBy("lang", "bucket").cogroup(known.groupBy("of", "at")).applyInArrow(compare, "lang string, source string, item string, value bigint")
+    found = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    #: A lang that keeps no term has pairs, too.
+    bare = facts.where("kinds = 0").select("lang", "source")
+    pairs = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
+    return found.unionByName(pairs)
 
 
 def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -184,10 +203,11 @@ def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = T
     """
     blank = F.lit("")
     groups = stored(docs.select(F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source")).distinct(), "source-groups")
-    shares, facts, _ = kept_counts(stored(term_counts(docs), "term-counts"), groups, least_docs)
+    counts, names = term_counts(docs, least_docs)
+    shares, facts = kept_shares(stored(counts, "term-counts"), groups, least_docs)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = source_pairs(shares, facts).withColumn("rank", F.row_number().over(order))
-    terms = shares.where("p > q").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
+    terms = shares.where("p > q").join(names, "term_id").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     columns = ["lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(terms.withColumn("part", F.lit("term")).select(columns))
