@@ -1,8 +1,9 @@
 """Token counting for byte-level BPE files: whole-token table first, merges for the rest.
 
 A text is cut at added tokens, then at single spaces, where no pre-token can cross; each chunk
-is normalised and cut into pre-tokens by the tokenizer's own pattern.  A pre-token that the
-*whole-token table* holds is one token; only the others go through the library's merges.
+is normalised and cut into pre-tokens by the tokenizer's own pattern (by the library itself where a chunk isn't
+ASCII, as libraries differ in which code points are letters).  A pre-token that the *whole-token table* holds is one
+token; only the others go through the library's merges.
 """
 
 from __future__ import annotations
@@ -61,8 +62,10 @@ class TokenCounter:
         self.cut_added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pattern = regex.compile(pattern)
         self.normalizer, self.merges = library.normalizer, library.model
+        self.edges = library.pre_tokenizer
         self.suffix, self.letters = spec["model"]["end_of_word_suffix"], byte_letters()
         self.whole = self._whole_tokens(spec["model"]["vocab"])
+        self.whole_letters = frozenset("".join([self.letters[b] for b in t.encode()]) for t in self.whole)
         self.counts = _Memo(self._count_chunk, memo)
 
     def _whole_tokens(self, vocab: dict[str, int]) -> frozenset[str]:
@@ -83,16 +86,15 @@ class TokenCounter:
         return frozenset(whole)
 
     def _count_chunk(self, chunk: str) -> int:
-        if chunk.isascii():
-            pieces = self.pattern.findall(chunk.lower())
-        else:
-            pieces = self.pattern.findall(self.normalizer.normalize_str(chunk))
+        if not chunk.isascii():
+            pieces = self.edges.pre_tokenize_str(self.normalizer.normalize_str(chunk))  # in byte letters
+            return sum(1 if p in self.whole_letters else len(self.merges.tokenize(p)) for p, _ in pieces)
         n = 0
-        for p in pieces:
+        for p in self.pattern.findall(chunk.lower()):
             if p in self.whole:
                 n += 1
             else:
-                n += len(self.merges.tokenize(p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode("utf-8")])))
+                n += len(self.merges.tokenize(p if p.isprintable() else "".join([self.letters[b] for b in p.encode("utf-8")])))
         return n
 
     def count(self, text: str | None) -> int:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.session import scratch_path
@@ -40,24 +43,94 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    for paths in getattr(_OPEN, "scopes", []):
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN = threading.local()
+
+
+def tidied(operator):
+    """An operator that deletes the tables it has ``stored``, but for those that its result (a DataFrame, or a tuple
+    with some) still reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **named):
+        scopes = _OPEN.__dict__.setdefault("scopes", [])
+        scopes.append([])
+        try:
+            result = operator(*args, **named)
+        finally:
+            paths = scopes.pop()
+        frames = [r for r in (result if isinstance(result, tuple) else (result,)) if isinstance(r, DataFrame)]
+        used = {f.rpartition("/")[0].rpartition("/")[2] for r in frames for f in r.inputFiles()}
+        for path in paths:
+            if path.rpartition("/")[2] not in used:
+                _delete(frames[0].sparkSession, path)
+        return result
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether a stored table has at most ``rows`` rows: the check before every broadcast."""
+    """Whether a stored table has at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
 
 
-def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A stored table of ids marked for broadcast if it has at most ``rows`` rows, so that texts beside it needn't move;
-    beyond that it is joined by shuffle."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def release() -> None:
+    """Give memory that a worker has freed back to the system, before it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(work):
+    """A function over Arrow batches, or over one group, that releases its memory when it is done."""
+
+    @functools.wraps(work)
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    @functools.wraps(work)
+    def over_group(table: pa.Table) -> pa.Table:
+        out = work(table)
+        release()
+        return out
+
+    return over_group if "pa.Table" in str(work.__annotations__.get("return")) else over_batches
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``out``: 0, 1, 2, ... within each key, without a task per key: hash buckets cut every key, and a
+    bucket's first number comes from the (key, bucket) counts.  Rows that ``order`` doesn't tell apart are equal."""
+    bucket, first, n = (f"_{out}_{x}" for x in ("bucket", "first", "n"))
+    cut = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets or 4 * partitions(df.sparkSession))))
+    counts = cut.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    same = [f"_{out}_{k}" for k in keys]
+    starts = counts.select(*[F.col(k).alias(s) for k, s in zip(keys, same, strict=True)], F.col(bucket).alias(f"{bucket}2"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    place = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)) - 1
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(s)) for k, s in zip(keys, same, strict=True)])
+    joined = cut.withColumn(n, place).join(starts, on & (F.col(bucket) == F.col(f"{bucket}2")))
+    return joined.withColumn(out, F.col(first) + F.col(n)).drop(bucket, f"{bucket}2", first, n, *same)
+
+
+def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, beside other columns: whatever ``docs``' columns are called, names of an
+    operator's own don't clash with them.  ``row.*`` gives them back."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in more.items()])
 
 
-def first_rows(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """(*keys, _row): of each group the row, as a struct of ``columns``, that comes first by a digest of these."""
-    row = F.struct(*columns)
-    return rows.groupBy(*keys).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row"))
+def first_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, row): of each group the ``row`` that comes first by a digest of it."""
+    return rows.groupBy(*keys).agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import collapse_spaces, first_rows, llm_query, small_side, stored
+from flowlens.llm.common import collapse_spaces, first_rows, llm_query, stored, tidied, whole_rows
 
 #: A chunk ends at a space between a vowel and one of a few letters, after at least 1,024 and at most 8,192 characters.
 CHUNK = r"(?s).{1024,8192}?(?:(?<=[aeiou]) (?=[a-f])|\z)|.{1,8192}"
@@ -35,6 +35,7 @@ def unverified_ids(texts: DataFrame, identify=chunk_id) -> DataFrame:
     return distinct.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
 
 
+@tidied
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", identify=chunk_id) -> DataFrame:
     """One row per row of ``docs``: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -66,25 +67,25 @@ def _verdicts(recipes: DataFrame, id_col: str) -> DataFrame:
     return recipes.join(groups, same).select(F.col("_doc").alias(id_col), "keep_id", "group_size", F.col("_doc").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+@tidied
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each text, the one with the smallest id; all columns stay.
+    """``docs`` with one row of each text, the one with the smallest id; all columns stay, whatever they are called.
 
     An id that occurs once is joined by itself.  Rows that share an id (or have none) are told apart by their text; of those
     that repeat an id and a text, the first by a digest of the whole row stays.
     """
-    found = exact_groups(docs, id_col, text).select(F.col(id_col).alias("_kept_id"), F.col("kept").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    found = exact_groups(docs, id_col, text).select(F.col(id_col).alias("kept_id"), "kept", F.col("text_sha256").alias("sha"))
     verdicts = stored(found, "verdicts")
-    ids = verdicts.groupBy("_kept_id").agg(F.count(F.lit(1)).alias("_rows"), F.max("_kept").alias("_any")).where("_any").drop("_any")
+    ids = verdicts.groupBy("kept_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any")).where("any").drop("any")
     ids = stored(ids, "kept-ids")
-    rows = docs.join(small_side(ids), docs[id_col].eqNullSafe(ids["_kept_id"]))
-    once = rows.where("_rows = 1").select(docs.columns)
-    if ids.where("_rows > 1").isEmpty():
+    rows = whole_rows(docs, id=F.col(id_col), sha=F.lit(None).cast("string")).join(ids, F.col("id").eqNullSafe(F.col("kept_id")))
+    once = rows.where("n = 1").select("row.*")
+    if ids.where("n > 1").isEmpty():
         return once
-    shared = rows.where("_rows > 1").withColumn("_text_sha", F.sha2(collapse_spaces(F.col(text)), 256))
-    shared = first_rows(shared, docs.columns, ["_kept_id", "_text_sha"])
-    pairs = stored(verdicts.where("_kept").select(F.col("_kept_id").alias("_id"), "_sha").distinct(), "kept-pairs")
-    kept = shared.join(pairs, F.col("_kept_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
-    return once.unionByName(kept.select("_row.*"))
+    shared = first_rows(rows.where("n > 1").withColumn("sha", F.sha2(collapse_spaces(F.col(f"row.{text}")), 256)), ["kept_id", "sha"])
+    pairs = stored(verdicts.where("kept").select(F.col("kept_id").alias("other"), F.col("sha").alias("other_sha")).distinct(), "kept-pairs")
+    kept = shared.join(pairs, F.col("kept_id").eqNullSafe(F.col("other")) & (F.col("sha") == F.col("other_sha")), "left_semi")
+    return once.unionByName(kept.select("row.*"))
 
 
 OP5_SQL = """WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS x FROM documents)

@@ -15,12 +15,18 @@ exceeds the large ones.
 *Level 2.*  Documents for which the bound proves nothing join among themselves, over all their shingles.
 
 *Document pivots.*  What is left are documents made of shingles that many others have: tight
-groups, where distances tell something.  Their regions are their n/5 + 1 rarest shingles.  Each region
-takes a document pivot, members that can be linked to it get their exact distance, and those within EPS
-are.  Regions that are not one component then recurse with another pivot; the pairs that remain in
-different components are compared if their sizes, the places of the shared shingle, the triangle
-inequality |d(x,p) - d(y,p)| <= EPS and the distance of 512 parities, which is never above that of the
-sets, allow a link.
+groups, where distances tell something.  Linked ones share one of their n/5 + 1 rarest shingles, and all documents
+that share such a shingle join the region of one of them, its pivot, so a pair meets in a region and most
+documents are in few.  A region that is too heavy for one task and not one component yet takes a
+new pivot by hash; its members get their exact distance, those within EPS are linked to it, and the region
+is cut at a distance r into an inner part, up to r + EPS, and an outer one, beyond r.  By the triangle inequality a pair
+meets in one of them.  Parts recurse with pivots of their own until they are one component, light, or no cut makes them
+lighter.
+
+*Leaves.*  A light region is searched by one task, a heavy one that can't be cut by pairs of blocks.  Sets of different
+components are compared if their sizes and 512 parities, whose distance is never above that of the sets,
+allow a link; a link joins two components at once, so what a leaf returns is a spanning forest, never all
+pairs.
 
 All pairs are verified on whole sets.  Sets hold 64-bit hashes of shingles.
 """
@@ -35,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import first_rows, llm_query, partitions, slices, small_enough, small_side, stored
+from flowlens.llm.common import first_rows, lean, llm_query, partitions, slices, stored, tidied, whole_rows
 from flowlens.llm.words import Words, grams
 
 WORDS = 5
@@ -45,7 +51,10 @@ PART, SHORT = 0.4, 100
 #: A document of up to this many shingles has partners of up to SHORT only.
 SURELY_SHORT = SHORT * 4 // 5
 ENTRIES_PER_BUCKET = 250_000
-BROADCAST_ROWS = 1_000_000
+#: Shingles that a leaf holds: the weight of a region that one task searches, and of a block of a heavier one.
+LEAF = 1_000_000
+#: Distances to a pivot are told apart by fiftieths; EPS is ten of them.
+BINS, REACH = 50, 10
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -82,6 +91,7 @@ def binary(values: np.ndarray, kind: str) -> bytes:
 
 def class_table(docs: DataFrame, seed: int, bits: int) -> DataFrame:
     """_doc, n_shingles, cls, chk, sure, sure2: one row per document; cls is null for empty sets."""
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             out = []
@@ -102,6 +112,7 @@ def map_regions(texts: DataFrame, seed: int, bits: int, buckets: int, whole: boo
     sure: few + 1 of its entries prove that to its bucket, and the other classes are told at once
     (full, times), so a shingle that a third of all documents have doesn't fill its bucket.
     """
+    @lean
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2500):
             sets = {}
@@ -154,6 +165,7 @@ def region_pairs(mapped: DataFrame, few: int) -> DataFrame:
     """(a, b, n): classes a < b that meet in n small regions; b is null for a class that is in n large ones."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
+    @lean
     def join(table: pa.Table) -> pa.Table:
         keys, cls, full, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("regions", "<u4"), ("classes", "<i8"), ("full", "<i8"), ("times", "<i4")))
         a, b, large, n = pairs_of_regions(keys, cls, few)
@@ -192,15 +204,15 @@ def alike(na: str, nb: str) -> Column:
 
 
 def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """_text of the representatives ``reps`` (cls, rep): rows of ``docs`` whose id is one.  The ids are broadcast if there
-    are few, else the texts are shuffled.  Rows that repeat an id come along; their classes are sorted out by the caller."""
+    """_text of the representatives ``reps`` (cls, rep): rows of ``docs`` whose id is one.  Rows that repeat an id come
+    along; their classes are sorted out by the caller."""
     ids = stored(reps.select(F.col("rep").alias("_rep")).distinct(), "rep-ids")
-    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids
     return docs.join(ids, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
     """(cls, shingles): whole sets of the classes in ``reps``, once each, as sorted unsigned 64-bit integers."""
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             sets = [s for s in (shingle_set(t.as_py()) for t in batch.column(0)) if len(s)]
@@ -217,6 +229,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         both = both.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}")), side)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same, total = [], []
@@ -298,6 +311,7 @@ def regions_of(sets: DataFrame) -> DataFrame:
 
     Linked sets share one of these.  Shingles of one set only count as places and give no region.
     """
+    @lean
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.frombuffer(s.as_py(), "<i8") for s in batch.column(1)]
@@ -312,11 +326,6 @@ def regions_of(sets: DataFrame) -> DataFrame:
     return stored(ranked.where("i <= floor(n / 5) AND df > 1").select("region", "x", "n", F.col("i").cast("long").alias("i")), "pivot-regions")
 
 
-def possible(n: str, i: str, m: str, j: str) -> Column:
-    """Whether sets of ``n`` and ``m`` shingles can be linked if the first one that they share has the places i and j."""
-    return alike(n, m) & (9 * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= 4 * (F.col(n) + F.col(m)))
-
-
 PARITY = 8
 
 
@@ -324,71 +333,124 @@ def parity(s: np.ndarray) -> np.ndarray:
     """Of each of 512 classes of shingles, whether a set has an odd number: 8 integers.  Two sets differ in at least as
     many shingles as these differ in bits."""
     odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
-def parities(sets: DataFrame) -> DataFrame:
-    """(x, p0, ..., p7): the parities of each set."""
-    names = [f"p{k}" for k in range(PARITY)]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.array([parity(np.frombuffer(s.as_py(), "<u8")) for s in batch.column(1)], np.int64).reshape(-1, PARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(bits[:, k]) for k in range(PARITY)]], ["x", *names])
 
-    return sets.mapInArrow(rows, "x bigint, " + ", ".join(f"{c} bigint" for c in names))
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.8."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * same >= 80 * (len(x) + len(y) - same)
 
 
-def pivot_components(sets: DataFrame, dense: DataFrame, comps: DataFrame, turns: int = 2) -> DataFrame:
-    """``comps`` after all links among the classes of ``dense`` (cls), found by document pivots.
+def spanning_links(sets: list[np.ndarray], comps: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that connect the components ``comps`` of ``sets`` as all links among them would, one less than what they
+    connect.
 
-    ``turns`` is how often regions that are not one component yet recurse with another pivot.  Whatever
-    it is, the rest is compared at the end, so it only changes the work, not the result.
+    Components are taken from the smallest on, and their sets compared with those of components that are still apart;
+    the largest one never searches.
     """
+    size = np.array([len(s) for s in sets], np.int64)
+    bits = np.array([parity(s) for s in sets], np.uint64).reshape(-1, PARITY)
+    _, comp, members = np.unique(comps, return_inverse=True, return_counts=True)
+    root, out = comp.copy(), []
+    for c in np.lexsort((np.arange(len(members)), members))[:-1]:
+        for i in np.flatnonzero(comp == c):
+            near = np.flatnonzero((root != root[i]) & (100 * np.minimum(size, size[i]) >= 80 * np.maximum(size, size[i])))
+            near = near[9 * np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64) <= size[near] + size[i]]
+            for j in near.tolist():
+                if root[j] != root[i] and linked(sets[i], sets[j]):
+                    out.append((int(i), j))
+                    root[root == root[j]] = root[i]
+    return out
+
+
+def pivot_regions(sets: DataFrame) -> DataFrame:
+    """(cell, x, n): the regions of the first document pivots.  All that share a shingle of their rarest join the region of the
+    one among them that comes first by hash."""
+    cells = regions_of(sets)
+    pivots = stored(cells.groupBy(F.col("region").alias("_r")).agg(F.min_by("x", F.xxhash64("x")).alias("cell")), "first-pivots")
+    return cells.join(pivots, F.col("region") == F.col("_r")).select("cell", "x", "n").distinct()
+
+
+def pivot_components(sets: DataFrame, dense: DataFrame, comps: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``comps`` after all links among the classes of ``dense`` (cls), found by document pivots; ``leaf`` bounds the shingles that one
+    task searches and changes the work, not the result."""
     sets = stored(sets.join(dense.select("cls"), "cls", "left_semi").select("cls", "shingles"), "pivot-sets")
     if sets.isEmpty():
         return comps
-    cells, tested = regions_of(sets), None
-    for turn in range(turns):
-        here = stored(with_comp(cells, comps, "x", "comp"), "pivot-cells")
-        pivots = here.groupBy("region").agg(F.min_by(F.struct("x", "comp", "n", "i"), F.xxhash64("x", F.lit(turn))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        pivots = pivots.select("region", F.col("p.x").alias("p"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
-        inside = stored(here.join(pivots, "region"), "pivot-members")
-        new = inside.where((F.col("x") != F.col("p")) & possible("n", "i", "pn", "pi")).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-        distances = stored(verified(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), sets), "pivot-distances")
-        tested = distances if tested is None else tested.unionByName(distances)
-        comps, more = connected(comps, distances.where(LINKED))
-        if not more:
+    cells, leaves, tested, turn = stored(pivot_regions(sets), "pivot-cells"), [], None, 0
+    while True:
+        here = stored(with_comp(cells, comps, "x", "comp"), "cell-members")
+        facts = here.groupBy(F.col("cell").alias("_cell")).agg(F.sum("n").alias("weight"), F.min_by("x", F.xxhash64("x", F.lit(turn))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        facts = stored(facts.where("lo <> hi").select("_cell", "weight", "p"), "cell-pivots")  # one component: done
+        apart = here.join(facts, F.col("cell") == F.col("_cell"))
+        leaves.append(apart.where(F.col("weight") <= leaf).select("cell", "x", "n"))
+        heavy = stored(apart.where(F.col("weight") > leaf).select("cell", "x", "n", "weight", "p"), "heavy-members")
+        if heavy.isEmpty():
             break
-    return connected(comps, _rest(inside, comps, tested, sets))[0]
-
-
-def _rest(inside: DataFrame, comps: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of a region in different components, compared where the places, the distances to the
-    region's pivot and the parities allow a link: linked sets of n and m shingles differ in at most (n + m) / 9."""
-    both = tested.select("a", "b", (1 - F.col("same") / F.col("total")).alias("d"))
-    either = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("x"), F.col("b").alias("p"), "d")
-    now = with_comp(with_comp(inside.select("region", "x", "n", "i", "p"), comps, "x", "comp"), comps, "p", "pcomp")
-    placed = now.join(either, ["x", "p"], "left").withColumn("d", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d")))
-    bits = [f"p{k}" for k in range(PARITY)]
-    placed = stored(placed.drop("p").join(parities(sets), "x").select("region", "x", "n", "i", "comp", "pcomp", "d", *bits), "placed")
-    strays = placed.where("comp <> pcomp").select("region", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cy"), F.col("d").alias("dy"),
-                                                   *[F.col(b).alias(f"q{b}") for b in bits])
-    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"q{b}"))) for b in bits), F.lit(0))
-    near = F.coalesce(F.abs(F.col("d") - F.col("dy")) <= 0.2 + 1e-9, F.lit(True)) & possible("n", "i", "m", "j") & (9 * apart <= F.col("n") + F.col("m")) & (F.col("comp") != F.col("cy"))
-    pairs = placed.join(strays, "region").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return verified(pairs.join(tested, ["a", "b"], "left_anti"), sets).where(LINKED)
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
+        pairs = heavy.where("x <> p").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+        found = stored(verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets), "pivot-distances")
+        tested = found if tested is None else stored(tested.unionByName(found), "pivot-distances")
+        comps, _ = connected(comps, found.where(LINKED))
+        cells, whole = cut_cells(heavy, tested)
+        leaves.append(whole)
+        turn += 1
+    entries = leaves[0]
+    for more in leaves[1:]:
+        entries = entries.unionByName(more)
+    return connected(comps, leaf_links(stored(entries, "leaf-members"), comps, sets, leaf))[0]
+
+
+def cut_cells(heavy: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parts of the cells that a distance to their pivot cuts, and the cells that none does: a cut must leave no part
+    above three quarters of the cell's weight."""
+    either = tested.select("a", "b", F.expr(f"({BINS} * (total - same)) div total").alias("bin"))
+    either = either.unionByName(either.select(F.col("b").alias("a"), F.col("a").alias("b"), "bin")).select(F.col("a").alias("_x"), F.col("b").alias("_p"), "bin")
+    far = heavy.join(either, (F.col("x") == F.col("_x")) & (F.col("p") == F.col("_p")), "left").select("cell", "x", "n", "weight", "p", F.coalesce("bin", F.lit(0)).alias("bin"))
+    far = stored(far, "cell-distances")
+    sums = far.groupBy("cell", "weight", "bin").agg(F.sum("n").alias("w"))  # at most BINS + 1 rows a cell
+    upto = Window.partitionBy("cell").orderBy("bin")
+    sums = sums.select("cell", "weight", "bin", F.sum("w").over(upto.rangeBetween(Window.unboundedPreceding, REACH)).alias("inner"), F.sum("w").over(upto.rangeBetween(1, Window.unboundedFollowing)).alias("outer"))
+    cuts = sums.where("outer IS NOT NULL").withColumn("most", F.greatest("inner", "outer")).groupBy(F.col("cell").alias("_cell")).agg(F.min_by("bin", F.struct("most", "bin")).alias("r"), F.min("most").alias("most"), F.max("weight").alias("_weight"))
+    cuts = stored(cuts.where("4 * most <= 3 * _weight").select("_cell", "r"), "cell-cuts")
+    marked = far.join(cuts, F.col("cell") == F.col("_cell"), "left")
+    sides = F.array_compact(F.array(F.when(F.col("bin") <= F.col("r") + REACH, F.lit(0)), F.when(F.col("bin") > F.col("r"), F.lit(1))))
+    parts = marked.where("r IS NOT NULL").select("cell", "p", "x", "n", F.explode(sides).alias("side"))
+    return stored(parts.select(F.xxhash64("cell", "p", "side").alias("cell"), "x", "n"), "pivot-cells"), stored(marked.where("r IS NULL").select("cell", "x", "n"), "whole-cells")
+
+
+def leaf_links(entries: DataFrame, comps: DataFrame, sets: DataFrame, leaf: int) -> DataFrame:
+    """(a, b): links that connect the components of each leaf (cell, x, n); heavy ones are dealt to pairs of blocks."""
+    here = with_comp(entries, comps, "x", "comp")
+    facts = stored(here.groupBy(F.col("cell").alias("_cell")).agg(F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"), "leaf-weights")
+    blocks = F.ceil(F.col("weight") / F.lit(leaf)).cast("int")
+    dealt = here.join(facts.select("_cell", blocks.alias("blocks")), F.col("cell") == F.col("_cell")).withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("cell", "x", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "x", "comp").distinct()
+
+    @lean
+    def search(group: pa.Table) -> pa.Table:
+        x = group.column("x").to_numpy()
+        found = spanning_links([np.frombuffer(s.as_py(), "<u8") for s in group.column("shingles")], group.column("comp").to_numpy())
+        return pa.table({"a": pa.array([x[i] for i, _ in found], pa.int64()), "b": pa.array([x[j] for _, j in found], pa.int64())})
+
+    with_sets = dealt.join(sets.select(F.col("cls").alias("x"), "shingles"), "x")
+    return with_sets.groupBy("cell", "i", "j").applyInArrow(search, "a bigint, b bigint").distinct()
+
+
+@tidied
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", few: int = FEW, leaf: int = LEAF) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id.
 
     component_id is the smallest id reachable by links, the document itself included.  Documents
     with equal sets are linked; null texts and texts without words have no shingles and no links.
     Rows that repeat an id belong together only if their sets do, and a null id counts as no id: its
-    row has the smallest other id of its component, or null.
+    row has the smallest other id of its component, or null.  Very long texts are read whole; an empty table gives no
+    rows; other columns are not read.
     """
-    members, final, _ = grouped(docs, id_col, text, few)
+    members, final, _ = grouped(docs, id_col, text, few, leaf)
     return _members_ids(members, final).select(F.col("_doc").alias(id_col), "n_shingles", "component_id")
 
 
@@ -398,7 +460,7 @@ def _members_ids(members: DataFrame, final: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("_doc")).otherwise(F.col("component_id")))
 
 
-def grouped(docs: DataFrame, id_col: str, text: str, few: int = FEW) -> tuple[DataFrame, DataFrame, int]:
+def grouped(docs: DataFrame, id_col: str, text: str, few: int = FEW, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
     """The rows (_doc, n_shingles, cls), the components of classes (cls, comp, component_id), and the seed of the classes."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text"))
@@ -419,7 +481,7 @@ def grouped(docs: DataFrame, id_col: str, text: str, few: int = FEW) -> tuple[Da
     pairs = stored(pairs.unionByName(more).groupBy("a", "b").agg(F.max("met").alias("met")), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(dense.select("cls")).distinct()
     sets = stored(sets_of(source, reps.join(wanted, "cls", "left_semi"), seed), "sets")
-    comps = pivot_components(sets, dense, linked_components(pairs, sets))
+    comps = pivot_components(sets, dense, linked_components(pairs, sets), leaf)
     named = with_comp(reps, comps, "cls", "comp")
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = stored(named.join(smallest, "comp").select("cls", "comp", "component_id"), "class-ids")
@@ -437,26 +499,26 @@ def class_of(text: Column, seed: int) -> Column:
     return classes(text)
 
 
+@tidied
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, with one row of each group of linked ones: the one with the smallest id.  Rows without
-    shingles have no links and stay.
+    """``docs``, all columns (whatever they are called), with one row of each group of linked ones: the one with the smallest
+    id.  Rows without shingles have no links and stay.
 
     An id that occurs once is joined by itself.  Rows that share an id (or have none) are told apart by their class; if
     several of a group have its smallest id, the first by a digest of the whole row stays.
     """
     members, final, seed = grouped(docs, id_col, text)
-    named = _members_ids(members, final).select(F.col("_doc").alias("_stay"), F.col("_doc").eqNullSafe(F.col("component_id")).alias("_first"))
-    ids = named.groupBy("_stay").agg(F.count(F.lit(1)).alias("_rows"), F.max("_first").alias("_any")).where("_any").drop("_any")
+    named = _members_ids(members, final).select(F.col("_doc").alias("stay"), F.col("_doc").eqNullSafe(F.col("component_id")).alias("first"))
+    ids = named.groupBy("stay").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("any")).where("any").drop("any")
     ids = stored(ids, "stay")
-    rows = docs.join(small_side(ids), docs[id_col].eqNullSafe(ids["_stay"]))
-    once = rows.where("_rows = 1").select(docs.columns)
-    if ids.where("_rows > 1").isEmpty():
+    rows = whole_rows(docs, id=F.col(id_col)).join(ids, F.col("id").eqNullSafe(F.col("stay")))
+    once = rows.where("n = 1").select("row.*")
+    if ids.where("n > 1").isEmpty():
         return once
-    shared = stored(rows.where("_rows > 1").withColumn("_cls", class_of(F.col(text), seed)), "shared-ids")
+    shared = stored(rows.where("n > 1").select("row", "stay", class_of(F.col(f"row.{text}"), seed).alias("cls")), "shared-ids")
     comps = final.select(F.col("cls").alias("_cls"), F.col("comp").alias("_comp"), F.col("component_id").alias("_smallest"))
-    linked = shared.where("_cls IS NOT NULL").join(comps, "_cls").where(F.col("_stay").eqNullSafe(F.col("_smallest")))
-    apart = shared.where("_cls IS NULL").select(docs.columns)
-    return once.unionByName(apart).unionByName(first_rows(linked, docs.columns, ["_comp"]).select("_row.*"))
+    linked_rows = shared.where("cls IS NOT NULL").join(comps, F.col("cls") == F.col("_cls")).where(F.col("stay").eqNullSafe(F.col("_smallest")))
+    return once.unionByName(shared.where("cls IS NULL").select("row.*")).unionByName(first_rows(linked_rows, ["_comp"]).select("row.*"))
 
 
 @llm_query("op8_jaccard_join")

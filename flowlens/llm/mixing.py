@@ -3,7 +3,7 @@
 Each source's documents stand on a word axis in a random (hash) order; its target is a prefix of
 two passes over that axis, cut into blocks.  A tree splits the exact block quotas of all sources
 among the output shards; each shard then draws its own disjoint blocks in a permuted order and
-shuffles its documents locally.
+shuffles its documents locally: the mix is written shard by shard, each in the order of its places.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, partitions, small_side, stored, word_count
+from flowlens.llm.common import llm_query, numbered, partitions, stored, tidied, whole_rows, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -114,6 +114,7 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.inline("counts"))
 
 
+@tidied
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = WEIGHTS,
              share: Fraction = SHARE, seed: int = 17, words_per_shard: int = 1_000_000, blocks_per_shard: int = 16, max_shards: int = 1 << 16) -> DataFrame:
     """One row per row of ``docs``: id_col, source, size, source_size, target, taken and the two draws first and second.
@@ -168,30 +169,45 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
     return placed.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", (F.col("_words1") + F.col("_words2")).alias("taken"), draw(1).alias("first"), draw(2).alias("second"))
 
 
+@tidied
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: ``docs``' rows, all columns, once for each draw.
+    """The mix itself: ``docs``' rows, all columns (whatever they are called), once for each draw, dealt to the output
+    shards of the draws and in the order of their places there: a shard is one partition's run of rows.
 
     Documents stay whole here: a draw counts if it takes at least half of its document, so a source's
     words differ from its target by at most half a document.  Documents without words are not in a mix.
-    Rows that repeat an id are told apart by their size only.
+    Rows that repeat an id and a size share their draws: of k such rows the i-th takes draws i and i + k.
     """
-    plan = mix_plan(docs, id_col, **options)
-    times = F.array_size(F.filter(F.array("first", "second"), lambda d: d["words"] * 2 >= F.col("size")))
-    copies = plan.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.sum(times).alias("_times"), F.count(F.lit(1)).alias("_rows")).where("_times > 0")
-    copies = stored(copies, "copies")
+    drawn = mixed_rows(docs, id_col, **options)
+    return drawn.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "place").select("row.*")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(row, shard, place): a row of ``docs`` for each draw that counts."""
+    plan = stored(mix_plan(docs, id_col, **options), "mix-plan").select(F.col(id_col).alias("of"), F.col("size").alias("of_size"), "first", "second")
+    counts = F.filter(F.array("first", "second"), lambda d: d["words"] * 2 >= F.col("of_size"))
+    draws = plan.select("of", "of_size", counts.alias("draws"))
+    rows_of = stored(draws.groupBy("of", "of_size").agg(F.count(F.lit(1)).alias("k")), "mix-rows")
     text = options.get("text", "text")
-    rows = docs.withColumn("_words", word_count(F.col(text)))
-    drawn = rows.join(small_side(copies), rows[id_col].eqNullSafe(copies["_id"]) & (F.col("_words") == F.col("_size")))
-    # of k equal rows that are drawn t times together, each stands for t / k draws, the remainder for the first ones
-    each = F.floor(F.col("_times") / F.col("_rows")).cast("int")
-    if not copies.where("_rows > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
-        each = each + F.when(nth <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
-    drawn = drawn.withColumn("_each", each).where("_each > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(docs.columns)
+    rows = whole_rows(docs, id=F.col(id_col), size=word_count(F.col(text)))
+
+    def same(a: str, b: str) -> Column:
+        return F.col("id").eqNullSafe(F.col(a)) & (F.col("size") == F.col(b))
+
+    once = draws.join(rows_of.where("k = 1").select(F.col("of").alias("o"), F.col("of_size").alias("s")), F.col("of").eqNullSafe(F.col("o")) & (F.col("of_size") == F.col("s")), "left_semi")
+    out = rows.join(once.where(F.size("draws") > 0), same("of", "of_size")).select("row", F.explode("draws").alias("d"))
+    shared = rows_of.where("k > 1")
+    if not shared.isEmpty():
+        known = shared.withColumnsRenamed({"of": "o", "of_size": "s"})
+        each = draws.join(known, F.col("of").eqNullSafe(F.col("o")) & (F.col("of_size") == F.col("s"))).select("of", "of_size", "k", F.explode("draws").alias("d"))
+        each = numbered(each, ["of", "of_size"], [F.col("d.shard"), F.col("d.place"), F.col("d.words")], "j").withColumn("j", F.col("j") % F.col("k"))
+        some = rows.join(known.select("o", "s"), same("o", "s"), "left_semi")
+        some = numbered(some, ["id", "size"], [F.sha2(F.to_json("row"), 256)], "i")
+        out = out.unionByName(some.join(each, same("of", "of_size") & (F.col("i") == F.col("j"))).select("row", "d"))
+    return out.select("row", "d.shard", "d.place")
 
 
 @llm_query("op3_source_mixing")
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.col("first.shard").alias("first_shard"), F.col("second.shard").alias("second_shard"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("first", "second") for c in ("shard", "place")])

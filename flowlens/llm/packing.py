@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,32 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+#: A run of white space that is encoded beside the pattern, where the pattern fails.
+_RUN = regex.compile(r"\p{White_Space}{1024,}")
+
+
+def token_ids(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a whole text.
+
+    The pattern looks back over a run of white space and gives up on very long ones.  Such a text is cut at its special
+    tokens and long runs: a run is a pre-token without its last character, or all of it before a special token or the end.
+    """
+    try:
+        return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+    except ValueError:
+        ids: list[int] = []
+        for number, part in enumerate(regex.split("|".join(map(regex.escape, SPECIAL)), text)):
+            ids += [*SPECIAL.values()] if number else []
+            done = 0
+            for run in _RUN.finditer(part):
+                end = run.end() if run.end() == len(part) else run.end() - 1
+                ids += encoding.encode_ordinary(part[done : run.start()])
+                ids += encoding._encode_single_piece(part[run.start() : end])
+                done = end
+            ids += encoding.encode_ordinary(part[done:])
+        return np.array(ids, "<u4")
+
+
 def tokenised_pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: the other columns of ``docs``, then piece, start, length, ids_crc32 (and ids, little-endian
     unsigned 32-bit, on request).
@@ -50,7 +77,7 @@ def tokenised_pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACI
     def cut(texts: pa.Array) -> pa.Array:
         encoding, offsets, rows = _encoding(path), [0], []
         for t in texts:
-            ids = np.append(encoding.encode_to_numpy(t.as_py() or "", allowed_special="all").astype("<u4"), np.uint32(END_ID)).astype("<u4")
+            ids = np.append(token_ids(encoding, t.as_py() or ""), np.uint32(END_ID)).astype("<u4")
             first = (len(ids) - 1) % capacity + 1
             edges = [0, *range(first, len(ids) + 1, capacity)]
             for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

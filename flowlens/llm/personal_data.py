@@ -28,18 +28,20 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "phone": "+"}
 
+#: Gazetteers and context words of the labelers; a given name before a capitalised word also proposes a person.
+GIVEN_NAMES = ("Anna", "Carlos", "David", "Elena", "Hans", "James", "John", "Juan", "Julia", "Laura", "Marie", "Mary", "Michael", "Paul", "Peter", "Robert", "Sarah", "Thomas")
+MAIL_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk")
+FOR_CONTEXT = r"(?i)\b(?:call|phone|tel|telephone|mobile|contact|fax|whatsapp|ssn|social security|mail|e-mail|email|write to|dear|name|regards|signed|born|patient|customer)\b"
+AGAINST_CONTEXT = r"(?i)\b(?:order|invoice|isbn|issn|version|part|serial|sku|total|amount|ticket|figure|table|page|example|sample|test)\b"
+
 WEAK_KINDS = ("local_phone", "id_number", "spelled_email", "person")
+_SURNAME = r"\x20\p{Lu}[\p{L}\p{M}]++(?:['\u2019-]\p{Lu}[\p{L}\p{M}]++)*+"
 WEAK_PATTERNS = {
     "local_phone": r"(?=[(0-9])(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "id_number": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{2,64}+\x20?[(\[]dot[)\]]\x20?[A-Za-z]{2,10}",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{2,}+\x20?[(\[]dot[)\]]\x20?[A-Za-z]{2,}+",
+    "person": rf"(?<![\p{{L}}\p{{M}}])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?{_SURNAME}(?:{_SURNAME})?|(?:{'|'.join(GIVEN_NAMES)}){_SURNAME})",
 }
-#: Gazetteers and context words of the labelers.
-GIVEN_NAMES = ("Anna", "Carlos", "David", "Elena", "Hans", "James", "John", "Juan", "Julia", "Laura", "Marie", "Mary", "Michael", "Paul", "Peter", "Robert", "Sarah", "Thomas")
-MAIL_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk")
-FOR_CONTEXT = r"(?i)\b(?:call|phone|tel|telephone|mobile|contact|fax|whatsapp|ssn|social security|mail|e-mail|email|write to|dear|name|regards|signed|born|patient|customer)\b"
-AGAINST_CONTEXT = r"(?i)\b(?:order|invoice|isbn|issn|version|part|serial|sku|total|amount|ticket|figure|table|page|example|sample|test)\b"
 LABELERS = ("form", "gazetteer", "context", "digits", "near")
 REACH = 60
 THRESHOLD = 0.9

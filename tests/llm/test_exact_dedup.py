@@ -55,3 +55,11 @@ def test_shared_and_null_ids_lose_no_text_and_keep_no_copy(spark):
     kept = sorted((r["doc_id"] or -1, " ".join(r["text"].split())) for r in keep_first_copies(docs.repartition(3)).collect())
     assert kept == [(-1, "one"), (-1, "three x"), (-1, "two"), (6, "p"), (7, "q"), (9, "five"), (9, "four")]
     assert sorted(map(str, keep_first_copies(docs).collect())) == sorted(map(str, keep_first_copies(docs.repartition(5)).collect()))
+
+
+def test_columns_named_like_the_operators_own(spark):
+    names = ["row", "id", "sha", "kept", "kept_id", "n", "_rows", "_kept_id", "_sha", "_doc", "_text"]
+    docs = spark.createDataFrame([(k, f"text {k // 2}", *[f"{c}{k}" for c in names]) for k in range(4)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = keep_first_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(k, f"text {k // 2}", *[f"{c}{k}" for c in names]) for k in (0, 2)]

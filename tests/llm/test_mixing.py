@@ -3,7 +3,8 @@
 import re
 from collections import defaultdict
 
-from flowlens.llm.mixing import mix_documents, mix_plan, shard_quotas
+from flowlens.llm.mixing import mix_documents, mix_plan, mixed_rows, shard_quotas
+from pyspark.sql import functions as F
 
 
 def targets(sizes):
@@ -83,3 +84,39 @@ def test_repeated_rows(spark):
     plan = mix_plan(docs).collect()
     assert len(plan) == 9 and sum(r["taken"] for r in plan) == 39
     mix_documents(docs).collect()
+
+
+def test_the_mix_is_the_trees_output(spark):
+    """Every draw that counts is a row with the shard and place of the plan, and shards come whole and in order."""
+    docs = spark.createDataFrame(sample(), "doc_id long, text string, source string")
+    plan = mix_plan(docs, words_per_shard=2000).collect()
+    want = sorted((r["doc_id"], d["shard"], d["place"]) for r in plan for d in (r["first"], r["second"]) if d and 2 * d["words"] >= r["size"])
+    rows = mixed_rows(docs, words_per_shard=2000).select("row.doc_id", "shard", "place").collect()
+    assert sorted(map(tuple, rows)) == want and len({r["shard"] for r in rows}) > 4
+    place = {}
+    for i, shard, at in want:
+        place.setdefault(i, []).append((shard, at))
+    mix = mix_documents(docs, words_per_shard=2000).withColumn("part", F.spark_partition_id()).collect()
+    seen, parts = {}, {}
+    for r in mix:
+        parts.setdefault(r["part"], []).append(r["doc_id"])
+        seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + 1
+    assert seen == {i: len(v) for i, v in place.items()}
+    by_shard = {}
+    for i, shard, at in want:
+        by_shard.setdefault(shard, []).append((at, i))
+    runs = {s: [i for _, i in sorted(v)] for s, v in by_shard.items()}
+    for ids in parts.values():
+        while ids:
+            run = next(r for r in runs.values() if ids[: len(r)] == r)
+            ids = ids[len(run) :]
+
+
+def test_shared_ids_and_columns_named_like_the_operators_own(spark):
+    names = ["row", "id", "size", "shard", "place", "d", "j", "i", "k", "_words", "_rows", "_times", "of"]
+    rows = [(k % 3 if k % 4 else None, "a b c d e " * 3, "s", *[f"{c}{k}" for c in names]) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    mix = mix_documents(docs)
+    assert mix.columns == docs.columns
+    got = [tuple(r) for r in mix.collect()]
+    assert set(got) <= set(rows) and len(got) == 36 and max(got.count(r) for r in set(got)) <= 2

@@ -84,3 +84,19 @@ def test_repeated_rows_and_nulls_are_pieces_of_their_own(spark):
     pieces = tokenised_pieces(docs)
     rows = pack(pieces).collect()
     assert len(rows) == 4 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 4
+
+
+def test_very_long_white_space_and_odd_code_points():
+    import public_tokenizers
+    import random
+    from flowlens.llm.packing import _encoding, token_ids
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = _encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    spaces = " " * 1_000_500
+    texts = [" " * 2_000_000, "\t" * 1_200_000 + "x", "a" + " \n" * 600_000 + " b", spaces + "<|endoftext|>" + spaces + "z", "q  " * 3 + "\u00a0" + spaces + "\u00e9"]
+    rng = random.Random(2)
+    texts += ["".join(chr(k) for k in (rng.randrange(0x110000) for _ in range(6)) if not 0xD800 <= k < 0xE000) for _ in range(4000)]
+    for t in texts:
+        assert token_ids(own, t).tolist() == library.encode(t, add_special_tokens=False).ids

@@ -3,7 +3,7 @@
 import random
 import re
 
-from flowlens.llm.personal_data import BASE_KINDS, LABELERS, WEAK_KINDS, find_personal_data, reliabilities
+from flowlens.llm.personal_data import BASE_KINDS, LABELERS, WEAK_KINDS, candidates, find_personal_data, reliabilities
 from flowlens.llm.spans import span_digest
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -59,3 +59,20 @@ def test_expectation_maximisation_finds_the_bad_labeler():
     share, right, _ = reliabilities(patterns)
     assert abs(share - 0.4) < 0.05
     assert all(abs(r - p) < 0.05 for r, p in zip(right, (0.95, 0.9, 0.9, 0.85, 0.55), strict=True))
+
+
+def test_weak_candidates_are_whole(spark):
+    """Names and spelled addresses of any length and alphabet, with or without a title."""
+    long = "x" * 300
+    texts = ["Mr. José García-Núñez wrote", "ask Anna Schmidt today", "Dr Müller", "Prof. " + "A" + "b" * 90 + " said", f"{long} [at] {long} (dot) education", "Johnny Walker", "Annapolis Road"]
+    want = ["Mr. José García-Núñez", "Anna Schmidt", "Dr Müller", "Prof. " + "A" + "b" * 90, f"{long} [at] {long} (dot) education", None, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][v["start"] : v["end"]] for v in r["_voted"]] for r in candidates(docs).collect()}
+    assert got == {k: [w] if w else [] for k, w in enumerate(want)}
+
+
+def test_repeated_rows_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (1, "mail a@b.com"), (None, None)], "doc_id long, text string")
+    found, _ = find_personal_data(docs)
+    assert sorted(len(r["personal"]) for r in found.collect()) == [0, 1, 1]
+    assert find_personal_data(docs.limit(0))[0].count() == 0

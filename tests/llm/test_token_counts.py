@@ -40,3 +40,20 @@ def test_query_on_the_table(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
     assert {r["doc_id"]: r["n_tokens"] for r in op1_token_counts(spark, sf).collect()} == want
+
+
+def test_all_planes_count_as_the_library_does():
+    import random
+
+    import public_tokenizers
+    from flowlens.llm.bpe import counter
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), counter(path), random.Random(4)
+    texts = ["\u00c5\U0003f8cd", "/-\U0003f13a", "\U0001f600\U0003fa03"]
+    for _ in range(20_000):
+        points = [rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x3000), rng.randrange(0x110000)]) for _ in range(rng.randint(1, 7))]
+        texts.append("".join(chr(k) for k in points if not 0xD800 <= k < 0xE000))
+    for t in texts:
+        assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids), [hex(ord(c)) for c in t]
