@@ -91,20 +91,25 @@ def release() -> None:
 
 
 def lean(work):
-    """A function over Arrow batches, or over one group, that releases its memory when it is done."""
+    """A function over Arrow batches, over one group, or over two groups of one key, that releases its memory when it is done."""
 
-    @functools.wraps(work)
     def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
         release()
 
-    @functools.wraps(work)
     def over_group(table: pa.Table) -> pa.Table:
         out = work(table)
         release()
         return out
 
-    return over_group if "pa.Table" in str(work.__annotations__.get("return")) else over_batches
+    def over_groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        release()
+        return out
+
+    if "pa.Table" not in str(work.__annotations__.get("return")):
+        return over_batches
+    return over_group if work.__code__.co_argcount == 1 else over_groups
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, buckets: int | None = None) -> DataFrame:

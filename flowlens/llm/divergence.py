@@ -1,20 +1,26 @@
 """Audit of how sources diverge from each other and from their language, by chunk factorization (operator 12).
 
 Terms hold no white space, so a text's terms are those of its white-space chunks, and a chunk's terms don't depend on the
-text.  Documents are factored in blocks: a block lists each of its chunks once and, for each document, which chunks
-it has and how often.  The chunks of all blocks are made distinct by one shuffle and each globally distinct chunk is
-cut into terms once.  The documents of its chunks, summed, are never fewer than those of a term, so terms below the
-bound by that sum are surely not kept and travel no further.  The other terms get a number each and are joined back to
-the blocks' lists; a block then knows the terms of its documents and returns, for each (lang, source, term), in how many of its
-documents the term is and how often.  Sums of these are the counts of the corpus.  What moves are the blocks' lists,
-where a chunk that every document has is one row a block, so no chunk, term or source is a hot key.
-
-Pairs of sources are compared on buckets of kept terms, each a matrix of shares (terms x sources of a lang); the sums of the
-buckets add up.  All arithmetic is exact integers: products that can pass 64 bits are 38-digit decimals.
+text.
+
+1. *Blocks.*  Documents are factored in blocks: a block lists each of its chunks once and, for each document, which
+   chunks it has and how often.
+2. *Chunks.*  The lists are dealt to buckets of chunks by hash; a bucket cuts each globally distinct chunk into terms
+   once and sends the terms back to the blocks that list it.
+3. *Counts.*  A block now knows the terms of its documents: it counts, for each (lang, source, term), in how many of its
+   documents the term is and how often, and deals the counts to buckets of terms by hash.
+4. *Terms.*  A bucket sums the blocks' counts and keeps the terms that are in enough documents of their lang.
+5. *Divergence.*  With the totals of the kept terms known, a bucket is a matrix of shares (terms x sources of a lang) and
+   returns its part of the sums over pairs of sources, and each source's top terms within the bucket.
+
+A chunk or term that every document has is one entry a block, so none is hot, and what moves are lists of a block for a
+bucket, as one row each.  Buckets and blocks are bounded.  All arithmetic is exact: integers beyond 64 bits are Python's.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,44 +30,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import llm_query, partitions, stored
+from flowlens.llm.common import lean, llm_query, partitions, stored, tidied
 
-#: What separates terms, and the letters that are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What terms are made of.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: A block ends with the document that takes it to this many documents or bytes.
-BLOCK_DOCS, BLOCK_BYTES = 10_000, 32 << 20
-BLOCK = "block bigint, chunks array<string>, docs array<int>, langs array<string>, sources array<string>, length binary, chunk binary, n binary, groups binary"
-#: Cells of a matrix of shares that a bucket of terms has on average.
-BUCKET_CELLS = 200_000
+BLOCK_DOCS, BLOCK_BYTES = 4000, 12 << 20
+#: Entries of a bucket of chunks or terms, on average.
+BUCKET_ENTRIES = 200_000
+
+LISTED = "bucket bigint, block bigint, place binary, chunks binary"
+COUNTED = "lang string, bucket bigint, sources array<string>, terms binary, term binary, source binary, n_docs binary, n binary"
+SUMMED = "lang string, bucket bigint, sources array<string>, terms binary, term binary, source binary, n binary"
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Non-negative integers below 2^32 as compressed bytes; most are small, so equal bytes of all are put together."""
+    return pa.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True) + len(a).to_bytes(4, "little")
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[-4:], "little")
+    return np.frombuffer(pa.decompress(raw[:-4], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))])
+
+
+BLOCK = "block bigint, entries bigint, chunks binary, langs array<string>, sources array<string>, length binary, chunk binary, n binary, groups binary"
 
 
 def factored(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs`` (lang, source, text): the distinct chunks and in how many documents each is, the distinct (lang, source)
-    groups, and as 32-bit integers each document's number of chunks and group, and the chunk and n of each (document, chunk)."""
-    packed = ("length", "chunk", "n", "groups")
-    schema = pa.schema([("block", pa.int64()), ("chunks", pa.list_(pa.string())), ("docs", pa.list_(pa.int32())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), *[(c, pa.binary()) for c in packed]])
+    """Blocks of ``docs`` (lang, source, text): the distinct chunks (white space between them), the distinct (lang, source)
+    groups, each document's number of chunks and its group, and the chunk and n of each (document, chunk)."""
+    schema = arrow_schema(BLOCK)
 
+    @lean
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
         chunks, groups, length, chunk, n, of, size = {}, {}, [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            ids = np.concatenate([np.zeros(0, "<u4"), *chunk])
-            parts = {"length": np.array(length, "<u4"), "chunk": ids, "n": np.concatenate([np.zeros(0, "<u4"), *n]), "groups": np.array(of, "<u4")}
-            return pa.RecordBatch.from_pydict({"block": [first + made], "chunks": [[c.decode() for c in chunks]], "docs": [np.bincount(ids, minlength=len(chunks)).astype(np.int32)],
-                                               "langs": [[g[0] for g in groups]], "sources": [[g[1] for g in groups]], **{c: [parts[c].tobytes()] for c in packed}}, schema=schema)
-
-        for batch in batches:
-            for lang, source, text in zip(*batch.columns, strict=True):
-                words = (text.as_py() or "").encode().split()
+            own = [packed(np.concatenate([np.zeros(0, np.int64), *c])) for c in (chunk, n)]
+            return batch(schema, [(first + made, len(chunks), b" ".join(chunks), [g[0] for g in groups], [g[1] for g in groups], packed(np.array(length, np.int64)), *own, packed(np.array(of, np.int64)))])
+
+        for rows in batches:
+            for lang, source, text in zip(*rows.columns, strict=True):
+                raw = (text.as_py() or "").encode()
+                words = raw.split()
                 of.append(groups.setdefault((lang.as_py() or "", source.as_py() or ""), len(groups)))
-                own, times = np.unique(np.fromiter((chunks.setdefault(w, len(chunks)) for w in words), np.uint32, len(words)), return_counts=True)
+                own, times = np.unique(np.fromiter((chunks.setdefault(w, len(chunks)) for w in words), np.int64, len(words)), return_counts=True)
                 length.append(len(own))
-                chunk.append(own.astype("<u4"))
-                n.append(times.astype("<u4"))
-                size += len(text.as_py() or "")
+                chunk.append(own)
+                n.append(times)
+                size += len(raw)
                 if len(of) >= BLOCK_DOCS or size >= BLOCK_BYTES:
                     yield block()
                     chunks, groups, length, chunk, n, of, size = {}, {}, [], [], [], [], 0
@@ -72,127 +101,218 @@ def factored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(blocks, BLOCK)
 
 
-def chunk_terms(blocks: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(one, term_id, times): the terms of each globally distinct chunk that can be in ``least_docs`` documents, and how
-    often the chunk has them; and (term_id, term)."""
-    listed = blocks.select(F.explode(F.arrays_zip("chunks", "docs")).alias("c"))
-    terms = F.transform(F.regexp_extract_all("one", F.lit(TERM), F.lit(0)), lambda t: F.translate(t, UPPER, LOWER))
-    distinct = listed.groupBy(F.col("c.chunks").alias("one")).agg(F.sum("c.docs").alias("docs"))
-    distinct = stored(distinct.withColumn("terms", terms).where(F.size("terms") > 0), "chunk-terms")
-    cut = distinct.select("one", "docs", F.explode("terms").alias("term"))
-    names = cut.groupBy("term").agg(F.sum("docs").alias("most")).where(F.col("most") >= least_docs)
-    names = stored(names.select(F.monotonically_increasing_id().alias("term_id"), "term"), "term-names")
-    found = cut.join(names, "term").groupBy("one", "term_id").agg(F.count(F.lit(1)).alias("times"))
-    return stored(found, "chunk-term-ids"), names
-
+def by_bucket(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places of its words) by a hash of the words."""
+    home = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+    return [(int(home[order[a]]), order[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def listed_chunks(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Each block's list of chunks, dealt to buckets of chunks."""
+    schema = arrow_schema(LISTED)
+
+    @lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for block, raw in zip(*rows.columns, strict=True):
+                words = raw.as_py().split()
+                out = [(b, block.as_py(), packed(at), b" ".join([words[k] for k in at.tolist()])) for b, at in by_bucket(words, buckets)]
+                if out:
+                    yield batch(schema, out)
+
+    return blocks.select("block", "chunks").mapInArrow(deal, LISTED)
+
+
+def chunk_terms(listed: DataFrame) -> DataFrame:
+    """(owner, place, terms): for each block's list of a bucket the terms of its chunks, those of a chunk with \\x01 between them
+    (\\x02: none); each distinct chunk of a bucket is cut once."""
+    schema = arrow_schema("owner bigint, place binary, terms binary")
+
+    @lean
+    def cut(bucket: pa.Table) -> pa.Table:
+        known: dict[bytes, bytes] = {}
+        out = []
+        for block, place, raw in zip(*(bucket.column(c).to_pylist() for c in ("block", "place", "chunks")), strict=True):
+            terms = []
+            for w in raw.split():
+                t = known.get(w)
+                if t is None:
+                    t = known[w] = b"\x01".join(TERM.findall(w)).lower() or b"\x02"
+                terms.append(t)
+            out.append((block, place, b" ".join(terms)))
+        return pa.Table.from_batches([batch(schema, out)])
+
+    return listed.groupBy("bucket").applyInArrow(cut, "owner bigint, place binary, terms binary")
+
+
+def block_counts(block: pa.Table, resolved: pa.Table, buckets: int) -> list[tuple]:
+    """Rows of COUNTED: the counts of a block by lang and bucket of terms."""
+    #: Entries (place, term) of the block's chunks, terms numbered as they come.
+    known: dict[bytes, int] = {}
+    places, terms = [], []
+    for place, raw in zip(resolved.column("place").to_pylist(), resolved.column("terms").to_pylist(), strict=True):
+        for at, joined in zip(unpacked(place).tolist(), raw.split(b" "), strict=True):
+            if joined != b"\x02":
+                for t in joined.split(b"\x01"):
+                    places.append(at)
+                    terms.append(known.setdefault(t, len(known)))
+    kinds = max(1, len(known))
+    entry, repeats = np.unique(np.array(places, np.int64) * kinds + np.array(terms, np.int64), return_counts=True)
+    place, term = entry // kinds, entry % kinds
+    length, chunk, n, groups = (unpacked(block.column(c)[0].as_py()) for c in ("length", "chunk", "n", "groups"))
+    begin = np.searchsorted(place, chunk, "left")
+    many = np.searchsorted(place, chunk, "right") - begin
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+    pair = np.repeat(np.repeat(np.arange(len(length)), length), many) * kinds + term[at]
+    occurrences = np.repeat(n, many) * repeats[at]
+    #: By document and term, then by group and term.
+    order = np.argsort(pair, kind="stable")
+    pair, occurrences = pair[order], occurrences[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    if not len(first):
+        return []
+    pair, occurrences = pair[first], np.add.reduceat(occurrences, first)
+    key = groups[pair // kinds] * kinds + pair % kinds
+    order = np.argsort(key, kind="stable")
+    key, occurrences = key[order], occurrences[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n_docs, n = np.diff(np.append(first, len(key))), np.add.reduceat(occurrences, first)
+    group, term = key[first] // kinds, key[first] % kinds
+    langs, sources = (np.array(block.column(c)[0].as_py(), object) for c in ("langs", "sources"))
+    words, out = list(known), []
+    home = np.zeros(kinds, np.int64)
+    for b, own in by_bucket(words, buckets):
+        home[own] = b
+    lang_of = {x: k for k, x in enumerate(dict.fromkeys(langs.tolist()))}
+    lang = np.array([lang_of[x] for x in langs.tolist()], np.int64)[group]
+    order = np.lexsort((term, home[term], lang))
+    edges = np.flatnonzero(np.diff(lang[order] * buckets + home[term[order]], prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        own = order[a:b]
+        used, local = np.unique(term[own], return_inverse=True)
+        out.append((langs[group[own[0]]], int(home[term[own[0]]]), sources.tolist(), b" ".join([words[t] for t in used.tolist()]), packed(local), packed(group[own]), packed(n_docs[own]), wide(n[own])))
+    return out
+
+
+def wide(a: np.ndarray) -> bytes:
+    """64-bit integers."""
+    return pa.compress(a.astype("<i8").tobytes(), codec="zstd", asbytes=True) + len(a).to_bytes(4, "little")
+
+
+def unwide(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[-4:], "little")
+    return np.frombuffer(pa.decompress(raw[:-4], 8 * n, codec="zstd", asbytes=True), "<i8")
+
+
+def counted_blocks(blocks: DataFrame, resolved: DataFrame, buckets: int) -> DataFrame:
+    schema = arrow_schema(COUNTED)
+
+    @lean
+    def count(block: pa.Table, terms: pa.Table) -> pa.Table:
+        rows = block_counts(block, terms, buckets) if block.num_rows and terms.num_rows else []
+        return pa.Table.from_batches([batch(schema, rows)])
+
+    return blocks.drop("chunks", "entries").groupBy("block").cogroup(resolved.groupBy("owner")).applyInArrow(count, COUNTED)
+
+
+def kept_terms(counted: DataFrame, least_docs: int) -> DataFrame:
+    """A row for each lang and bucket with its kept terms: the sources that have some, and (term, source, n) entries.
 
-def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term_id, n_docs, n): documents with the term and occurrences, for all terms that can be in
-    ``least_docs`` documents; and (term_id, term).  Null lang, source and text count as ''."""
-    blocks = stored(factored(docs.select("lang", "source", "text")), "chunk-blocks")
-    of_chunk, names = chunk_terms(blocks, least_docs)
-    listed = blocks.select(F.col("block").alias("owner"), F.posexplode("chunks").alias("place", "chunk"))
-    resolved = listed.join(of_chunk.hint("shuffle_hash"), F.col("chunk") == F.col("one")).select("owner", "place", "term_id", F.col("times").cast("int").alias("times"))
-
-    def count(block: pa.Table, resolved: pa.Table) -> pa.Table:
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term_id", pa.int64()), ("n_docs", pa.int64()), ("n", pa.int64())])
-        if not block.num_rows or not resolved.num_rows:
+    A lang keeps the terms in at least ``least_docs`` of its documents.
+    """
+    schema = arrow_schema(SUMMED)
+
+    @lean
+    def add(bucket: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        names: dict[str, int] = {}
+        parts = []
+        for sources, words, term, source, n_docs, n in zip(*(bucket.column(c).to_pylist() for c in ("sources", "terms", "term", "source", "n_docs", "n")), strict=True):
+            number = np.fromiter((known.setdefault(w, len(known)) for w in words.split(b" ")), np.int64)
+            of = np.array([names.setdefault(s, len(names)) for s in sources], np.int64)
+            parts.append((number[unpacked(term)], of[unpacked(source)], unpacked(n_docs), unwide(n)))
+        term, source, n_docs, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        docs = np.zeros(len(known), np.int64)
+        np.add.at(docs, term, n_docs)
+        kept = docs[term] >= least_docs
+        key, where = np.unique(term[kept] * len(names) + source[kept], return_inverse=True)
+        if not len(key):
             return schema.empty_table()
-        length, chunk, n, groups = (np.frombuffer(block.column(c)[0].as_py(), "<u4").astype(np.int64) for c in ("length", "chunk", "n", "groups"))
-        ids, term = np.unique(resolved.column("term_id").to_numpy(), return_inverse=True)
-        place, kinds = resolved.column("place").to_numpy().astype(np.int64), len(ids)
-        order = np.argsort(place, kind="stable")
-        place, term, repeats = place[order], term[order], resolved.column("times").to_numpy().astype(np.int64)[order]
-        begin, end = np.searchsorted(place, chunk, "left"), np.searchsorted(place, chunk, "right")
-        many = end - begin
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-        owner = np.repeat(np.repeat(np.arange(len(length)), length), many)
-        pair, occurrences = owner * kinds + term[at], np.repeat(n, many) * repeats[at]
-        order = np.argsort(pair, kind="stable")
-        pair, occurrences = pair[order], occurrences[order]
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        pair, in_doc = pair[first], np.add.reduceat(occurrences, first) if len(first) else occurrences
-        key, where = np.unique(groups[pair // kinds] * kinds + pair % kinds, return_inverse=True)
         total = np.zeros(len(key), np.int64)
-        np.add.at(total, where, in_doc)
-        langs, sources = (pa.array(block.column(c)[0].as_py(), pa.string()) for c in ("langs", "sources"))
-        group = pa.array(key // kinds)
-        return pa.Table.from_arrays([langs.take(group), sources.take(group), pa.array(ids[key % kinds]), pa.array(np.bincount(where, minlength=len(key)).astype(np.int64)), pa.array(total)], schema=schema)
+        np.add.at(total, where, n[kept])
+        used, local = np.unique(key // len(names), return_inverse=True)
+        met, of = np.unique(key % len(names), return_inverse=True)  # a block also names the sources of its other langs
+        words, sources = list(known), list(names)
+        row = (bucket.column("lang")[0].as_py(), bucket.column("bucket")[0].as_py(), [sources[s] for s in met.tolist()], b" ".join([words[t] for t in used.tolist()]), packed(local), packed(of), wide(total))
+        return pa.Table.from_batches([batch(schema, [row])])
 
-    payload = blocks.drop("chunks", "docs").groupBy("block")
-    counted = payload.cogroup(resolved.groupBy("owner")).applyInArrow(count, "lang string, source string, term_id bigint, n_docs bigint, n bigint")
-    return counted.groupBy("lang", "source", "term_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")), names
+    return counted.groupBy("lang", "bucket").applyInArrow(add, SUMMED)
 
 
-def share(n: str, total: str, kinds: str):
-    """1 + floor(SCALE * (n + 2) / (total + 2 * kinds)): a smoothed share in billionths."""
-    return (F.expr(f"(cast({SCALE} as decimal(10,0)) * (cast({n} as decimal(20,0)) + 2)) div (cast({total} as decimal(20,0)) + 2 * cast({kinds} as decimal(17,0)))") + 1).cast("long")
+def entries_of(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, and term, source and n of the entries of a row of SUMMED."""
+    return row["terms"].split(b" "), unpacked(row["term"]), unpacked(row["source"]), unwide(row["n"])
 
 
-def divergence(p: str, q: str):
-    """floor((p - q)^2 / (p + q)); shares are at most a billion and one, so 64 bits hold the square."""
-    return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
+def totals(kept: DataFrame) -> DataFrame:
+    """(lang, source, kinds, n): occurrences of kept terms by source, and a row with a null source for each lang and bucket that
+    tells its number of kept terms."""
+    schema = arrow_schema("lang string, source string, kinds bigint, n bigint")
 
+    @lean
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in rows.to_pylist():
+                words, _, source, n = entries_of(row)
+                sums = np.zeros(len(row["sources"]), np.int64)
+                np.add.at(sums, source, n)
+                yield batch(schema, [(row["lang"], None, len(words), int(n.sum())), *[(row["lang"], s, 0, int(v)) for s, v in zip(row["sources"], sums, strict=True)]])
 
-def kept_shares(counts: DataFrame, groups: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term_id, n, p, q) of the kept terms that a source has, with p its share and q the lang's; and (lang, source,
-    kinds, nowhere) with the number of kept terms and the share of a term that the source hasn't.
+    return kept.mapInArrow(add, "lang string, source string, kinds bigint, n bigint")
 
-    A lang keeps the terms in at least ``least_docs`` of its documents.
-    """
-    of_lang = counts.groupBy("lang", "term_id").agg(F.sum("n_docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs)
-    of_lang = stored(of_lang.select("lang", "term_id", "n_lang"), "kept-terms")
-    kept = stored(counts.join(of_lang, ["lang", "term_id"]).select("lang", "source", "term_id", "n", "n_lang"), "kept-counts")
-    langs = of_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_lang").alias("lang_total"))
-    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    zero = F.lit(0).cast("long")
-    facts = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "kinds", "lang_total"])
-    facts = facts.withColumn("none", zero).withColumn("nowhere", F.when(F.col("kinds") > 0, share("none", "total", "kinds")).otherwise(zero)).drop("none")
-    facts = stored(facts, "source-facts")
-    shares = kept.join(facts.select("lang", "source", "total", "kinds", "lang_total"), ["lang", "source"])
-    shares = shares.select("lang", "source", "term_id", "n", share("n", "total", "kinds").alias("p"), share("n_lang", "lang_total", "kinds").alias("q"))
-    return stored(shares, "shares"), facts.select("lang", "source", "kinds", "nowhere")
 
-
-def source_pairs(shares: DataFrame, facts: DataFrame) -> DataFrame:
-    """(lang, source, item, value): for each ordered pair of sources of a lang, the divergence summed over all kept terms.
-
-    The terms of a lang are dealt to buckets; a bucket is a matrix of shares, filled with ``nowhere`` where a source
-    lacks a term, and returns the sums of its columns' divergences.
-    """
-    size = facts.agg(F.max(F.col("kinds")).alias("kinds")).first()["kinds"] or 0
-    wide = facts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    buckets = max(partitions(shares.sparkSession), -(-size * wide // BUCKET_CELLS))
-    dealt = shares.select("lang", "source", "term_id", "p", F.pmod(F.xxhash64("term_id"), F.lit(buckets)).alias("bucket"))
-    used = stored(dealt.select("lang", "bucket").distinct(), "term-buckets")
-    known = used.join(facts, "lang").select(F.col("lang").alias("of"), F.col("bucket").alias("at"), F.col("source").alias("s"), "nowhere")
-
-    def compare(rows: pa.Table, sources: pa.Table) -> pa.Table:
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
-        if not rows.num_rows or sources.num_rows < 2:
-            return schema.empty_table()
-        names = sources.column("s").combine_chunks()
-        terms, row = np.unique(rows.column("term_id").to_numpy(), return_inverse=True)
-        p = np.tile(sources.column("nowhere").to_numpy(), (len(terms), 1))
-        p[row, pc.index_in(rows.column("source").combine_chunks(), names).to_numpy()] = rows.column("p").to_numpy()
-        k, out = len(names), []
-        for s in range(k - 1):
-            apart, both = p[:, s + 1 :] - p[:, s : s + 1], p[:, s + 1 :] + p[:, s : s + 1]
-            out.append((apart * apart // both).sum(0))
-        value = np.concatenate(out)
-        a, b = np.triu_indices(k, 1)
-        left, right = names.take(pa.array(np.concatenate([a, b]))), names.take(pa.array(np.concatenate([b, a])))
-        lang = pa.array([rows.column("lang")[0].as_py()] * (2 * len(a)), pa.string())
-        return pa.Table.from_arrays([lang, left, right, pa.array(np.concatenate([value, value]))], schema=schema)
-
-    sums = dealt.groupBy("lang", "bucket").cogroup(known.groupBy("of", "at")).applyInArrow(compare, "lang string, source string, item string, value bigint")
-    found = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    #: A lang that keeps no term has pairs, too.
-    bare = facts.where("kinds = 0").select("lang", "source")
-    pairs = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
-    return found.unionByName(pairs)
+def shares(n: np.ndarray, total: int | np.ndarray, kinds: int) -> np.ndarray:
+    """1 + floor(SCALE * (n + 2) / (total + 2 * kinds)): smoothed shares in billionths."""
+    if len(n) and int(n.max()) + 2 > (2**63 - 1) // SCALE:
+        n, total = n.astype(object), np.asarray(total).astype(object)
+    return np.asarray(1 + SCALE * (n + 2) // (total + 2 * kinds), np.int64)
 
 
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """floor((p - q)^2 / (p + q)); shares are at most a billion and one, so 64 bits hold the square."""
+    return (p - q) * (p - q) // (p + q)
+
+
+def bucket_audit(row: dict, sources: list[str], total: np.ndarray, kinds: int, lang_total: int, top: int) -> list[tuple]:
+    """(source, part, item, value) of a bucket: its part of the sums over pairs of ``sources``, and the top terms of each."""
+    words, term, source, n = entries_of(row)
+    place = {s: k for k, s in enumerate(sources)}
+    source = np.array([place[s] for s in row["sources"]], np.int64)[source]
+    p = np.tile(shares(np.zeros(len(sources), np.int64), total, kinds), (len(words), 1))
+    p[term, source] = shares(n, total[source], kinds)
+    out = []
+    for s in range(len(sources) - 1):
+        value = divergence(p[:, s + 1 :], p[:, s : s + 1]).sum(0).tolist()
+        out += [pair for t, v in zip(sources[s + 1 :], value, strict=True) for pair in ((sources[s], "pair", t, v), (t, "pair", sources[s], v))]
+    of_lang = np.zeros(len(words), np.int64)
+    np.add.at(of_lang, term, n)
+    own, q = p[term, source], shares(of_lang, lang_total, kinds)[term]
+    more = np.flatnonzero(own > q)
+    value = divergence(own[more], q[more])
+    by_name = np.empty(len(words), np.int64)
+    by_name[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)] = np.arange(len(words))
+    order = np.lexsort((by_name[term[more]], -value, source[more]))
+    at = more[order]
+    first = np.flatnonzero(np.diff(source[at], prepend=-1))
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    for k in np.flatnonzero(rank < top).tolist():
+        out.append((sources[source[at[k]]], "term", words[term[at[k]]].decode(), int(value[order[k]])))
+    return out
+
+
+@tidied
 def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank for the columns lang, source and text of ``docs``.
 
@@ -201,16 +321,36 @@ def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = T
     ones too; texts are read whole; a group without terms still is in part ``pair``; other columns are not read; an
     empty table gives no rows.
     """
-    blank = F.lit("")
+    blank, least = F.lit(""), partitions(docs.sparkSession)
     groups = stored(docs.select(F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source")).distinct(), "source-groups")
-    counts, names = term_counts(docs, least_docs)
-    shares, facts = kept_shares(stored(counts, "term-counts"), groups, least_docs)
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = source_pairs(shares, facts).withColumn("rank", F.row_number().over(order))
-    terms = shares.where("p > q").join(names, "term_id").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
-    terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    columns = ["lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank"]
-    return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(terms.withColumn("part", F.lit("term")).select(columns))
+    blocks = stored(factored(docs.select("lang", "source", "text")), "chunk-blocks")
+    buckets = max(least, (blocks.agg(F.sum("entries")).first()[0] or 0) // BUCKET_ENTRIES)
+    counted = counted_blocks(blocks, chunk_terms(listed_chunks(blocks, buckets)), buckets)
+    kept = stored(kept_terms(counted, least_docs), "kept-terms")
+    sums = stored(totals(kept), "kept-totals")
+    langs = sums.where("source IS NULL").groupBy("lang").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("lang_total"))
+    own = sums.where("source IS NOT NULL").groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    facts = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "kinds", "lang_total"])
+    facts = stored(facts, "source-facts")
+    of_bucket = kept.select("lang", "bucket").join(facts, "lang").select(F.col("lang").alias("of"), F.col("bucket").alias("at"), F.col("source").alias("s"), "total", "kinds", "lang_total")
+    schema = arrow_schema("lang string, source string, part string, item string, value bigint")
+
+    @lean
+    def audit(rows: pa.Table, known: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        known = known.take(pc.sort_indices(known, [("s", "ascending")]))
+        found = bucket_audit(row, known.column("s").to_pylist(), known.column("total").to_numpy(), known.column("kinds")[0].as_py(), known.column("lang_total")[0].as_py(), top)
+        return pa.Table.from_batches([batch(schema, [(row["lang"], *f) for f in found])])
+
+    found = kept.groupBy("lang", "bucket").cogroup(of_bucket.groupBy("of", "at")).applyInArrow(audit, "lang string, source string, part string, item string, value bigint")
+    found = stored(found, "bucket-audits")
+    #: A lang that keeps no term has pairs, too.
+    bare = facts.where("kinds = 0").select("lang", "source")
+    none = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))
+    pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    ranked = pairs.unionByName(none).withColumn("rank", rank).unionByName(found.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= top))
+    return ranked.select("lang", "source", "part", "item", "value", "rank")
 
 
 OP12_SQL = r"""WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
