@@ -23,7 +23,11 @@ def confusion(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred")
 
 def per_class_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
     """Per (run, class): tp, support, predicted, precision, recall, f1."""
-    conf = confusion(df, keys, y, pred)
+    return class_scores(confusion(df, keys, y, pred), keys)
+
+
+def class_scores(conf: DataFrame, keys: list[str]) -> DataFrame:
+    """``per_class_metrics`` from confusion counts (keys, y, pred, n)."""
     as_true = conf.select(*keys, F.col("y").cast("string").alias("class"), F.col("n").alias("support"),
                           F.lit(0).cast("long").alias("predicted"),
                           F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"))
@@ -41,7 +45,12 @@ def per_class_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str =
 
 def classification_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred", digits: int = 9) -> DataFrame:
     """accuracy, macro P/R/F1, weighted F1 per run (rounded to ``digits``)."""
-    cls = per_class_metrics(df, keys, y, pred)
+    return confusion_metrics(confusion(df, keys, y, pred), keys, digits)
+
+
+def confusion_metrics(conf: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
+    """``classification_metrics`` from confusion counts (keys, y, pred, n)."""
+    cls = class_scores(conf, keys)
     agg = cls.groupBy(*keys).agg(
         F.sum("tp").alias("_tp"), F.sum("support").alias("n"),
         F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
