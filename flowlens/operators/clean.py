@@ -79,31 +79,21 @@ def forbidden_columns(columns: list[str], keep=KEEP_LABELS) -> list[str]:
     return sorted(out)
 
 
-def high_cardinality_strings(df: DataFrame, min_distinct: int = 1000, share: float = 0.2, keep=KEEP_LABELS,
-                             rsd: float = 0.05) -> DataFrame:
+def high_cardinality_strings(df: DataFrame, min_distinct: int = 1000, share: float = 0.2, keep=KEEP_LABELS) -> DataFrame:
     """String columns whose distinct count exceeds max(min_distinct, share * rows).
 
-    An approximate distinct count screens every column in one pass; only
-    columns whose estimate lies within the error band of the bound get an
-    exact distinct count.
+    Counts are exact and those of all columns come from one job: the (column, value) pairs are made distinct on the map side,
+    then by a shuffle on the pair, so neither a column nor a frequent value is one task.
     """
     spark = df.sparkSession
     strings = [c for c, t in df.dtypes if t == "string" and c not in keep]
     if not strings:
         return spark.createDataFrame([], "column string, distinct_count long, bound double, status string")
-    approx = df.agg(F.count(F.lit(1)).alias("__n"),
-                    *[F.approx_count_distinct(c, rsd).alias(f"a{i}") for i, c in enumerate(strings)]).first()
-    bound = max(float(min_distinct), approx["__n"] * share)
-    margin = 4 * rsd
-    exact_needed = [c for i, c in enumerate(strings) if abs(approx[f"a{i}"] - bound) <= margin * bound + 1]
-    exact = {}
-    if exact_needed:
-        row = df.agg(*[F.count_distinct(c).alias(f"e{i}") for i, c in enumerate(exact_needed)]).first()
-        exact = {c: row[f"e{i}"] for i, c in enumerate(exact_needed)}
-    rows = []
-    for i, c in enumerate(strings):
-        d = exact.get(c, approx[f"a{i}"])
-        rows.append((c, int(d), bound, "dropped_high_cardinality" if d > bound else "kept"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in strings]))
+    found = df.select(pairs.alias("p")).where("p.value IS NOT NULL").select("p.column", "p.value").distinct()
+    counts = {r["column"]: r["n"] for r in found.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bound = max(float(min_distinct), df.count() * share)
+    rows = [(c, counts.get(c, 0), bound, "dropped_high_cardinality" if counts.get(c, 0) > bound else "kept") for c in strings]
     return spark.createDataFrame(rows, "column string, distinct_count long, bound double, status string")
 
 

@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.operators.ranked import HASH_BUCKET_BITS, TIME_BUCKETS, assign_by_cuts, hash_bucket, hash_key, order_bucket, small_side
 from flowlens.vocab import GROUP_CANDIDATES, TIME_CANDIDATES
@@ -48,10 +49,39 @@ def stratified_cuts(df: DataFrame, label: str, test_size: float = 0.30, val_shar
     return stratified_cuts_from_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c")), label, test_size, val_share)
 
 
+#: Class tables of up to this many rows are allotted on the driver, in one job; larger ones by Spark, with the same result.
+DRIVER_CLASSES = 10_000
+
+
+def _shares(sizes: list[int], target: int) -> list[int]:
+    """Largest-remainder shares of ``target`` for sizes in label order; ties go to the earlier label."""
+    total = sum(sizes)
+    out = [target * n // total if total else 0 for n in sizes]
+    rest = sorted(range(len(sizes)), key=lambda k: (-(target * sizes[k] % total if total else 0), k))
+    for k in rest[: target - sum(out)]:
+        out[k] += 1
+    return out
+
+
+def _few_cuts(rows: list, label: str, test_size: float, val_share: float) -> list[tuple]:
+    """The rows of :func:`stratified_cuts` for a class table on the driver."""
+    rows = sorted(rows, key=lambda r: (r[label] is None, 0 if r[label] is None else r[label]))
+    n = [r["n_c"] for r in rows]
+    train = _shares(n, sum(n) - math.ceil(test_size * sum(n)))
+    held = [a - b for a, b in zip(n, train, strict=True)]
+    val = _shares(held, sum(held) - math.ceil(val_share * sum(held)))
+    return [(r[label], c, t, v, t, t + v) for r, c, t, v in zip(rows, n, train, val, strict=True)]
+
+
 def stratified_cuts_from_counts(counts: DataFrame, label: str, test_size: float = 0.30, val_share: float = 0.50,
                                 n_col: str = "n_c") -> DataFrame:
     """:func:`stratified_cuts` from a class-count table (one row per class)."""
     counts = counts.withColumnRenamed(n_col, "n_c") if n_col != "n_c" else counts
+    rows = counts.select(label, "n_c").limit(DRIVER_CLASSES + 1).collect()
+    if len(rows) <= DRIVER_CLASSES:
+        names = ("n_c", "train_c", "val_c", "cut_train", "cut_val")
+        schema = T.StructType([T.StructField(label, counts.schema[label].dataType), *[T.StructField(c, T.LongType()) for c in names]])
+        return counts.sparkSession.createDataFrame(_few_cuts(rows, label, test_size, val_share), schema)
     n = int(counts.agg(F.sum("n_c")).first()[0] or 0)
     cuts = _allocate(counts, label, "n_c", n - math.ceil(test_size * n), "train_c")
     cuts = cuts.withColumn("held_c", F.col("n_c") - F.col("train_c"))
@@ -144,13 +174,6 @@ def available_splits(df: DataFrame) -> list[tuple[str, str | None]]:
     return [("random_stratified", None), *([("group_split", group)] if group else []), *([("time_block_split", time)] if time else [])]
 
 
-def transfer_split(source: DataFrame, target: DataFrame, label: str, id_cols: list[str], seed: int = 42,
-                   out: str = "split") -> tuple[DataFrame, DataFrame]:
-    """Source gets a 70/15/15 stratified split (its test part unused); every target row is test."""
-    src = random_stratified_split(source, label, id_cols, seed, out=out)
-    return src.where(F.col(out) != "test"), target.withColumn(out, F.lit("test"))
-
-
 def split_sizes(df: DataFrame, dataset: str, split_type: str, group_field: str = "", split: str = "split") -> DataFrame:
     """One summary row: train/val/test sizes."""
     return df.agg(*[F.count_if(F.col(split) == s).alias(f"{s}_size") for s in SPLITS]).select(

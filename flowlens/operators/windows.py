@@ -4,11 +4,11 @@ Plan shape (per call, any number of window widths at once):
 
 1. ``prepare_packets``: coerce time to integer microseconds and length to
    integer milli-units, drop rows without time/length/label, map labels.
-2. Rows are cut into *time slices* of ``gcd(widths, 1 s)``.  One shuffle on
+2. Rows are cut into *time slices*, up to 16 of them in ``gcd(widths, 1 s)``.  One shuffle on
    ``(keys, slice)`` feeds a ``lag`` window (consecutive inter-arrival
    times inside the slice) and one aggregate per (slice, label) that reuses
-   the same partitioning.  A slice is at most one second of traffic, so a
-   long or busy window is spread over many tasks instead of landing in one.
+   the same partitioning.  A slice is at most a sixteenth of a second of traffic, so a
+   long window or a busy second is spread over many tasks instead of landing in one.
 3. The (slice, label) rows are exploded over the widths and shuffled once
    on the window keys; window functions over that partitioning give each
    slice's first time and the end of the previous non-empty slice (the gap
@@ -89,8 +89,14 @@ def _dec(c: Column) -> Column:
     return c.cast("decimal(20,0)")
 
 
-def slice_width_us(widths_us: list[int]) -> int:
-    return reduce(gcd, widths_us, US)
+#: Slices in the longest stretch that fits a second and all widths; fewer if it can't be cut evenly.
+SLICES = 16
+
+
+def slice_width_us(widths_us: list[int], slices: int = SLICES) -> int:
+    """Width of the time slices: it divides every window."""
+    whole = reduce(gcd, widths_us, US)
+    return whole // max(k for k in range(1, slices + 1) if whole % k == 0)
 
 
 def window_features(packets: DataFrame, widths=(1, 5, 10), keys: tuple[str, ...] = (), anchor: str | int = "min",
@@ -133,6 +139,13 @@ def window_features(packets: DataFrame, widths=(1, 5, 10), keys: tuple[str, ...]
         F.max("binary_label").alias("any_attack"),
     )
 
+    return windows_of_slices(per_label, widths, keys, slice_us, len_scale)
+
+
+def windows_of_slices(per_label: DataFrame, widths, keys: tuple[str, ...], slice_us: int, len_scale: int = LEN_SCALE) -> DataFrame:
+    """Window statistics from one row per (keys, slice_id, multiclass_label): counts, sums, ends and inner gaps; gaps
+    between neighbouring slices are stitched."""
+    widths_us = [int(round(float(w) * US)) for w in widths]
     width_col = F.explode(F.array(*[F.struct(F.lit(w).alias("ws"), F.lit(wu).alias("wu"))
                                     for w, wu in zip(widths, widths_us)])).alias("w")
     wkeys = (*keys, "window_seconds", "window_id")

@@ -12,7 +12,7 @@ from flowlens.operators.windows import prepare_packets
 from flowlens.plans.q_windows import EVENT_LABEL_MAP, flow_window_sql
 from flowlens.plans.registry import query, table
 from flowlens.session import scratch_path
-from flowlens.streaming.windows import latest_updates, stream_window_features
+from flowlens.streaming.windows import stream_slices, windows_of_updates
 
 STREAM_WIDTH = 3600
 STREAM_FILES = 8
@@ -21,7 +21,7 @@ STREAM_FILES = 8
 def run_event_stream(spark: SparkSession, sf_dir: str, width: int = STREAM_WIDTH, files: int = STREAM_FILES,
                      watermark: str = "2 hours") -> DataFrame:
     """Write events as ``files`` time ranges, each by many tasks, replay one range per run of the stream
-    (``trigger(availableNow=True)``, same checkpoint), append every batch's window updates and return the last one per window."""
+    (``trigger(availableNow=True)``, same checkpoint), append every batch's slice updates and return the windows that the last ones make."""
     root = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
     src_dir, out_dir, ckpt = (os.path.join(root, p) for p in ("in", "out", "checkpoint"))
     events = table(spark, sf_dir, "events")
@@ -34,7 +34,7 @@ def run_event_stream(spark: SparkSession, sf_dir: str, width: int = STREAM_WIDTH
     stream = spark.readStream.schema(events.schema).parquet(src_dir)
     packets = prepare_packets(stream, ts="ts", length="value", label="event_type", label_map=EVENT_LABEL_MAP,
                               default_binary=0)
-    updates = stream_window_features(packets, width, watermark=watermark)
+    updates = stream_slices(packets, width, watermark=watermark)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
@@ -49,7 +49,7 @@ def run_event_stream(spark: SparkSession, sf_dir: str, width: int = STREAM_WIDTH
         q = updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt) \
             .trigger(availableNow=True).start()
         q.awaitTermination()
-    return latest_updates(spark.read.parquet(out_dir))
+    return windows_of_updates(spark.read.parquet(out_dir), width)
 
 
 @query("stream_windows", flow_window_sql([STREAM_WIDTH], anchor="epoch"))

@@ -16,18 +16,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: a small report table as one CSV file with a header (arrays/maps as JSON text)."""
+    """K2: a report table as CSV with a header in each file (arrays/maps as JSON text); a small table is one file."""
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
     cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
             else F.col(f.name) for f in df.schema.fields]
-    df.select(*cols).coalesce(1).write.mode(mode).option("header", True).csv(path)
+    df.select(*cols).write.mode(mode).option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K3: metadata documents (one JSON object per row)."""
-    df.coalesce(1).write.mode(mode).json(path)
+    df.write.mode(mode).json(path)
 
 
 def write_view(df: DataFrame, features: list[str], path: str, mode: str = "overwrite") -> None:

@@ -1,186 +1,55 @@
 """Streaming tumbling-window flow features.
 
-``readStream`` -> the same row preparation as the batch operator ->
-``withWatermark`` on the event time -> ``applyInPandasWithState`` keyed by
-(window_seconds, window_id).  Windows are anchored at the epoch (a stream
-has no global minimum).  The state of a window holds its rows until the
-watermark passes the window's end (event-time timeout).  Rows are kept raw
-only while their time slice (``gcd(width, 1 s)``) is still open; once the
-watermark passes a slice it is folded into an exact summary (totals, first
-and last time, inner gaps, label counts), so the state is bounded by the
-rows inside the watermark delay plus one small summary per slice.
-Consecutive inter-arrival times stay exact when rows arrive out of order;
-rows for a slice that is already folded are later than the watermark and
-are dropped.  In ``update`` mode every
-micro-batch re-emits the statistics of the windows it touched; the last
-update of a window equals the batch result for that window.
-
-The statistics use the batch operator's exact integer totals and the same
-floating-point formulas, so a stream and a batch run give identical values.
+``readStream`` -> the same row preparation as the batch operator -> ``withWatermark`` on the event time -> built-in
+aggregates per (time slice, label).  Slices are short (``gcd(width, 1 s) / 16``), so a busy window is spread
+over many state groups, and rows are summed on the map side before the shuffle.  A group's state is its sums, ends and the
+*set* of its times, which has at most as many entries as the slice has microseconds, however many rows come; Spark
+drops it once the watermark has passed the slice.  Rows later than that are dropped, too.
+
+In ``update`` mode every micro-batch emits the slices it touched.  ``windows_of_updates`` takes the last update of each slice,
+gets the gaps inside it from its times and stitches slices to windows with the batch operator's second half, so a
+stream and a batch run give identical values.  Windows are anchored at the epoch (a stream has no global minimum).
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from flowlens.operators.windows import LEN_SCALE, US, floor_div, slice_width_us
-
-STATE_SCHEMA = "ts array<bigint>, len array<bigint>, bin array<int>, lbl array<string>, closed string"
-OUTPUT_SCHEMA = (
-    "window_seconds int, window_id bigint, binary_label int, multiclass_label string, packet_count bigint, "
-    "byte_sum double, byte_mean double, byte_std double, byte_min double, byte_max double, duration double, "
-    "packets_per_second double, bytes_per_second double, iat_mean double, iat_std double, iat_min double, "
-    "iat_max double, burstiness double, mixed_label_ratio double")
-
-
-def slice_summary(rows: list[tuple[int, int, int, str]]) -> dict:
-    """Exact summary of one slice's rows (ts_us, len_u, binary, label): totals, ends, inner gaps, labels."""
-    rows = sorted(rows, key=lambda r: r[0])
-    ts = [r[0] for r in rows]
-    lens = [r[1] for r in rows]
-    diffs = [ts[i] - ts[i - 1] for i in range(1, len(ts))]
-    labels: dict[str, list[int]] = {}
-    for t, _, _, lab in rows:
-        c = labels.setdefault(lab, [0, t])
-        c[0] += 1
-    return {"n": len(rows), "first": ts[0], "last": ts[-1], "b_sum": sum(lens), "b_sq": sum(x * x for x in lens),
-            "b_min": min(lens), "b_max": max(lens), "d_min": min(diffs) if diffs else None,
-            "d_max": max(diffs) if diffs else None, "d_sq": sum(d * d for d in diffs),
-            "bin": max(r[2] for r in rows), "labels": labels}
-
-
-def window_from_slices(ws: int, wid: int, slices: dict[int, dict], len_scale: int = LEN_SCALE) -> dict:
-    """Window statistics from its slice summaries (gaps between neighbouring slices stitched);
-    the same exact totals and floating-point formulas as the batch operator."""
-    order = sorted(slices)
-    n = b_sum = b_sq = d_sq = 0
-    b_min = b_max = d_min = d_max = None
-    labels: dict[str, list[int]] = {}
-    prev_last = None
-    for k in order:
-        sl = slices[k]
-        n += sl["n"]
-        b_sum += sl["b_sum"]
-        b_sq += sl["b_sq"]
-        d_sq += sl["d_sq"]
-        b_min = sl["b_min"] if b_min is None else min(b_min, sl["b_min"])
-        b_max = sl["b_max"] if b_max is None else max(b_max, sl["b_max"])
-        gaps = [d for d in (sl["d_min"], sl["d_max"]) if d is not None]
-        if prev_last is not None:
-            gap = sl["first"] - prev_last
-            gaps.append(gap)
-            d_sq += gap * gap
-        if gaps:
-            d_min = min(gaps) if d_min is None else min(d_min, *gaps)
-            d_max = max(gaps) if d_max is None else max(d_max, *gaps)
-        prev_last = sl["last"]
-        for lab, (cnt, first) in sl["labels"].items():
-            c = labels.setdefault(lab, [0, first])
-            c[0] += cnt
-            c[1] = min(c[1], first)
-    first, last = slices[order[0]]["first"], slices[order[-1]]["last"]
-    nd, scale, w = float(n), float(len_scale), float(ws)
-    bs, bq = float(b_sum), float(b_sq)
-    byte_sum = bs / scale
-    byte_mean = byte_sum / nd
-    byte_std = math.sqrt(max((bq - bs * bs / nd) / nd, 0.0)) / scale
-    span = float(last - first)
-    duration = span / float(US)
-    label, (maj_n, _) = min(labels.items(), key=lambda kv: (-kv[1][0], kv[1][1], kv[0]))
-    if n > 1:
-        m = float(n - 1)
-        mu = span / m
-        iat = (mu / float(US), math.sqrt(max(float(d_sq) / m - mu * mu, 0.0)) / float(US),
-               float(d_min) / float(US), float(d_max) / float(US))
-    else:
-        iat = (0.0, 0.0, 0.0, 0.0)
-    return {
-        "window_seconds": ws, "window_id": wid, "binary_label": int(max(slices[k]["bin"] for k in order)),
-        "multiclass_label": label, "packet_count": n, "byte_sum": byte_sum, "byte_mean": byte_mean,
-        "byte_std": byte_std, "byte_min": float(b_min) / scale, "byte_max": float(b_max) / scale,
-        "duration": duration, "packets_per_second": nd / duration if span > 0 else nd / w,
-        "bytes_per_second": byte_sum / duration if span > 0 else byte_sum / w,
-        "iat_mean": iat[0], "iat_std": iat[1], "iat_min": iat[2], "iat_max": iat[3],
-        "burstiness": byte_std / byte_mean if byte_mean > 0 else 0.0,
-        "mixed_label_ratio": 1.0 - float(maj_n) / nd,
-    }
 
+from flowlens.operators.windows import US, floor_div, slice_width_us, windows_of_slices
 
-def window_stats(ws: int, wid: int, ts: list[int], lens: list[int], bins: list[int], lbls: list[str],
-                 len_scale: int = LEN_SCALE) -> dict:
-    """Statistics of one window from its raw rows (a single slice spanning the window)."""
-    return window_from_slices(ws, wid, {0: slice_summary(list(zip(ts, lens, bins, lbls)))}, len_scale)
 
+def _exact(c: Column) -> Column:
+    return c.cast("decimal(20,0)")
 
-def _make_update(slice_us: int):
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ws, wid = int(key[0]), int(key[1])
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            ts, lens, bins, lbls, closed_json = state.get
-            rows = list(zip(ts, lens, bins, lbls))
-            closed = {int(k): v for k, v in json.loads(closed_json).items()}
-        else:
-            rows, closed = [], {}
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        new = 0
-        for pdf in pdfs:
-            for r in zip(pdf["ts_us"].astype("int64").tolist(), pdf["len_u"].astype("int64").tolist(),
-                         pdf["binary_label"].astype("int64").tolist(), pdf["multiclass_label"].astype(str).tolist()):
-                if (r[0] // slice_us) in closed:  # its slice was folded: later than the watermark, dropped
-                    continue
-                rows.append(r)
-                new += 1
-        if new == 0 and not rows and not closed:
-            return
-        # fold every slice the watermark has passed into a summary; keep only rows of open slices
-        by_slice: dict[int, list] = {}
-        for r in rows:
-            by_slice.setdefault(r[0] // slice_us, []).append(r)
-        open_rows = []
-        for sid, srows in by_slice.items():
-            if (sid + 1) * slice_us <= watermark_us:
-                closed[sid] = slice_summary(srows)
-            else:
-                open_rows += srows
-        slices = dict(closed)
-        for sid, srows in by_slice.items():
-            if sid not in closed:
-                slices[sid] = slice_summary(srows)
-        state.update(([r[0] for r in open_rows], [r[1] for r in open_rows], [r[2] for r in open_rows],
-                      [r[3] for r in open_rows], json.dumps({str(k): v for k, v in closed.items()})))
-        # drop the state once the watermark passes the end of the window (never earlier than the
-        # current watermark: a window that is already closed times out in the next batch)
-        end_ms = (wid + 1) * ws * 1000
-        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        if new:
-            yield pd.DataFrame([window_from_slices(ws, wid, slices)])
 
-    return update
+def stream_slices(packets: DataFrame, width: int, watermark: str = "10 minutes") -> DataFrame:
+    """Slice statistics of a prepared packet stream (ts_us, len_u, binary_label, multiclass_label), for ``update`` mode."""
+    slice_us = slice_width_us([int(width) * US])
+    timed = packets.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", watermark)
+    slices = timed.groupBy(F.window("event_time", f"{slice_us} microseconds").alias("slice"), "multiclass_label").agg(
+        F.count(F.lit(1)).alias("n_l"), F.sum(_exact(F.col("len_u"))).alias("b_sum"), F.sum(_exact(F.col("len_u")) * _exact(F.col("len_u"))).alias("b_sq"),
+        F.min("len_u").alias("b_min"), F.max("len_u").alias("b_max"), F.min("ts_us").alias("first_l"), F.max("ts_us").alias("last_l"),
+        F.max("binary_label").alias("any_attack"), F.collect_set("ts_us").alias("times"))
+    return slices.withColumn("slice_id", floor_div(F.unix_micros("slice.start"), slice_us)).drop("slice")
 
 
-def stream_window_features(packets: DataFrame, width: int, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming window features of a prepared packet stream (ts_us, len_u, binary_label, multiclass_label)."""
-    w_us = int(width) * US
-    keyed = (packets.withColumn("event_time", F.timestamp_micros("ts_us"))
-             .withWatermark("event_time", watermark)
-             .withColumn("window_seconds", F.lit(int(width)))
-             .withColumn("window_id", floor_div(F.col("ts_us"), w_us)))
-    slice_us = slice_width_us([w_us])
-    return keyed.groupBy("window_seconds", "window_id").applyInPandasWithState(
-        _make_update(slice_us), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
+def inner_gaps(times: Column, rows: Column) -> list[Column]:
+    """d_min, d_max and d_sq of consecutive times, from the distinct times of a slice and its number of rows; rows beyond the
+    distinct times have gaps of 0."""
+    order = F.array_sort(times)
+    gaps = F.zip_with(F.slice(order, 2, F.size(order)), F.slice(order, 1, F.greatest(F.size(order) - 1, F.lit(0))), lambda b, a: b - a)
+    more = F.when(rows > F.size(order), F.lit(0).cast("long"))
+    total = F.aggregate(gaps, F.lit(0).cast("decimal(38,0)"), lambda acc, d: (acc + _exact(d) * _exact(d)).cast("decimal(38,0)"))
+    return [F.least(F.array_min(gaps), more).alias("d_min"), F.greatest(F.array_max(gaps), more).alias("d_max"), total.alias("d_sq")]
 
 
-def latest_updates(updates: DataFrame) -> DataFrame:
-    """Last update per window from an append-only table of (batch_id, window rows)."""
-    w = Window.partitionBy("window_seconds", "window_id").orderBy(F.desc("batch_id"))
-    return updates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "batch_id")
+def windows_of_updates(updates: DataFrame, width: int) -> DataFrame:
+    """Window features from an append-only table of (batch_id, slice updates); the last update of a slice counts."""
+    fields = [c for c in updates.columns if c not in ("batch_id", "slice_id", "multiclass_label")]
+    last = updates.groupBy("slice_id", "multiclass_label").agg(F.max_by(F.struct(*fields), "batch_id").alias("v")).select("slice_id", "multiclass_label", "v.*")
+    #: A slice has few rows, one for each label; its gaps go to the first of them.
+    whole = last.groupBy("slice_id").agg(F.array_distinct(F.flatten(F.collect_list("times"))).alias("all_times"), F.sum("n_l").alias("rows"), F.min("multiclass_label").alias("lead"))
+    gaps = whole.select(F.col("slice_id").alias("of"), "lead", *inner_gaps(F.col("all_times"), F.col("rows")))
+    per_label = last.drop("times").join(gaps, (F.col("slice_id") == F.col("of")) & (F.col("multiclass_label") == F.col("lead")), "left").drop("of", "lead")
+    return windows_of_slices(per_label, (int(width),), (), slice_width_us([int(width) * US]))

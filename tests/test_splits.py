@@ -58,3 +58,12 @@ def test_class_cap_and_budget(spark):
     assert max(r["count"] for r in capped.groupBy("c").count().collect()) <= 100
     firsts = first_n_budget(df, "c", ["id"], cap=5, budget=12).collect()
     assert [r["id"] for r in firsts] == list(range(12))
+
+
+def test_class_table_on_the_driver_gives_the_same_cuts(spark, monkeypatch):
+    from flowlens.operators import splits
+
+    counts = spark.createDataFrame([("b", 11), ("a", 11), (None, 7), ("c", 1), ("é", 300)], "label string, n_c long")
+    few = sorted(map(str, splits.stratified_cuts_from_counts(counts, "label").collect()))
+    monkeypatch.setattr(splits, "DRIVER_CLASSES", 2)
+    assert sorted(map(str, splits.stratified_cuts_from_counts(counts, "label").collect())) == few
