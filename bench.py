@@ -21,7 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from flowlens.operators.audit import single_feature_scores  # noqa: E402
 from flowlens.operators.clean import column_drop_plan  # noqa: E402
-from flowlens.operators.models import fit_predict  # noqa: E402
+from flowlens.operators.experiments import Cell, evaluate  # noqa: E402
 from flowlens.operators.metrics import binary_metrics, per_class_metrics  # noqa: E402
 from flowlens.operators.profile import table_profile  # noqa: E402
 from flowlens.operators.splits import class_cap_sample, random_stratified_split, time_block_split  # noqa: E402
@@ -107,10 +107,9 @@ def _jobs(spark, sf_dir: str) -> dict:
                                      "line": F.col("l_linenumber").cast("double"), "supplier": F.col("l_suppkey").cast("double")})
                 sample = class_cap_sample(li, "label", LI_ID, max_per_class=222_567, sample_size=222_567)
                 frames["split"] = random_stratified_split(sample, "label", LI_ID).checkpoint(eager=True)
-            split = frames["split"]
-            train, val, test = (split.where(F.col("split") == s) for s in ("train", "val", "test"))
             features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "ship_day", "unit_price", "net", "line", "supplier"]
-            return fit_predict(train, test, features, model, n_classes=2, validation=val, id_cols=LI_ID)[1]
+            (row,) = evaluate(spark, [Cell(frames["split"], features, {"task": "binary"}, [model], 42, 2, LI_ID)])
+            return row["training_time_seconds"]
         return job
 
     fits = {f"fit_{name}": fit(model) for name, model in (("lr", "Logistic Regression"), ("rf", "Random Forest"), ("extra_trees", "Extra Trees"),

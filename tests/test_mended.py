@@ -3,13 +3,12 @@
 import math
 
 import pytest
-from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from flowlens.operators.clean import encode_labels, label_codes, rare_class_filter
 from flowlens.operators.experiments import family_features, finite, with_row_id
 from flowlens.operators.flow import add_flow_metadata
-from flowlens.operators.models import _prepared, preprocessing
+from flowlens.operators.models import prepared
 from flowlens.operators.profile import detect_label_column, few_valued
 from flowlens.operators.results import argmax_row
 
@@ -22,12 +21,20 @@ def test_a_null_metric_never_wins(spark):
 
 
 def test_an_unseen_category_is_the_zero_vector(spark):
-    train = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "c string")
-    stages, fill, out = preprocessing(train, ["c"], scale=False)
-    model = Pipeline(stages=stages).fit(_prepared(train, ["c"], fill))
-    test = spark.createDataFrame([("a",), ("b",), ("new",), (None,)], "c string")
-    rows = [r[out].toArray().tolist() for r in model.transform(_prepared(test, ["c"], fill)).collect()]
-    assert rows == [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0], [1.0, 0.0]]
+    rows = [("train", k, c, k % 2) for k, c in enumerate(["a", "b", "a", None])] + [("test", 10 + k, c, 0) for k, c in enumerate(["a", "b", "new", None])]
+    frame = spark.createDataFrame(rows, "split string, id long, c string, label int")
+    prep = prepared(frame, ["c"], {0: 2, 1: 2}, ["id"])
+    assert prep.columns == ["c_a", "c_b"] and prep.sources == ["c", "c"]
+    got = sorted(r["x"].toArray().tolist() for r in prep.frame.where("split = 'test'").collect())
+    assert got == [[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 0.0]]
+
+
+def test_a_column_without_train_values_is_zero(spark):
+    rows = [("train", k, None, float(k), k % 2) for k in range(6)] + [("test", 9, 7.0, None, 1)]
+    frame = spark.createDataFrame(rows, "split string, id long, gone double, n double, label int")
+    prep = prepared(frame, ["gone", "n"], {0: 3, 1: 3}, ["id"])
+    (x,) = [r["x"].toArray().tolist() for r in prep.frame.where("split = 'test'").collect()]
+    assert x[0] == 0.0 and 2.0 <= x[1] <= 3.0 and prep.columns == ["gone", "n"]
 
 
 @pytest.mark.parametrize("value,want", [(0.5, 0.5), (None, None), (math.nan, None), (math.inf, None), (-math.inf, None)])
