@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds (operator 2).
 
-The base rules are fixed.  Further rules compare a share with a cutoff that labelled rows select,
-for each stratum: exact binomial tests certify the cutoffs whose rate of rejected good documents
-is below the allowed risk, corrected for testing many strata and rules.
+The base rules are fixed.  Further rules compare a share with a cutoff that labelled rows select, for each
+stratum (language) and rule on its own: exact binomial tests certify the cutoffs whose rate of rejected good documents
+is below the rule's part of the allowed risk, corrected for testing many strata and rules.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ from flowlens.llm.words import Words, byte_set, grams
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_top_word")
-#: rule -> (counted, out of, cutoffs from the laxest to the strictest level).  A document fails a level if any share is
-#: above its cutoff there.  The levels are fixed beforehand, so that the tests are valid.
+#: rule -> (counted, out of, cutoffs from the laxest to the strictest level).  A document fails a rule if its share is
+#: above the cutoff.  The levels are fixed beforehand, so that the tests are valid.
 RULES = {
     "symbols": ("n_symbols", "word_chars", (0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)),
     "upper_words": ("n_upper_words", "n_words", (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45)),
     "dup_lines": ("n_dup_lines", "n_lines", (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45)),
     "top_word": ("n_top_word", "n_words", (0.95, 0.9, 0.8, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35)),
 }
-LEVELS = len(RULES["symbols"][2])
-STRATA = ("en", "de", "fr", "es")
 RISK, CONFIDENCE = 0.02, 0.95
 
 _SYMBOL, _UPPER, _LOWER, _FOLLOW = byte_set(SYMBOLS), byte_set(range(65, 91)), byte_set(range(97, 123)), byte_set(range(0x80, 0xC0))
@@ -114,64 +112,69 @@ def certified(good: int, rejected: Sequence[int], risk: float, error: float) ->
     return done
 
 
-def stratum_of(lang: Column, strata: Sequence[str] = STRATA) -> Column:
-    """The declared stratum of a row, or 'other' (null included): a fixed, small number of strata."""
-    return F.when(lang.isin(*strata), lang).otherwise(F.lit("other"))
+def stratum_of(lang: Column) -> Column:
+    """The stratum of a row: its language, null being one."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
 
-def fails(rule: str, level: int) -> Column:
-    top, bottom, cutoffs = RULES[rule]
-    return (F.col(bottom) > 0) & (F.col(top) > F.lit(cutoffs[level]) * F.col(bottom))
+def fails(rule: str, cutoff: Column) -> Column:
+    """Whether the rule's share is above ``cutoff``; never where that is null."""
+    top, bottom, _ = RULES[rule]
+    return F.coalesce((F.col(bottom) > 0) & (F.col(top) > cutoff * F.col(bottom)), F.lit(False))
 
 
-def select_levels(labelled: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, strata: Sequence[str] = STRATA) -> dict[str, int]:
-    """stratum -> level, for the strata that have one.
+def least_good(risk: float, error: float) -> int:
+    """Good rows that a stratum needs: with fewer, not even a level that rejects none of them is certified."""
+    return math.ceil(math.log(error) / math.log1p(-risk))
 
-    ``labelled`` has ``COUNTS``, _stratum and quality (1 good).  With the given confidence, every chosen
-    level fails at most ``risk`` of its stratum's good documents: the allowed error 1 - ``confidence``
-    is split among the strata (Bonferroni).  Of the certified levels the one that fails the most bad
-    documents less good ones is taken, the laxest of equals; a stratum where none fails more bad
-    than good documents gets none.  One aggregate; the driver sees a row per stratum and label.
+
+def select_levels(labelled: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str, dict[str, int]]:
+    """stratum -> rule -> level, for the rules that have one.
+
+    ``labelled`` has ``COUNTS``, _stratum and quality (1 good).  With the given confidence, the chosen levels of a stratum
+    together fail at most ``risk`` of its good documents, in all strata at once: each rule gets an equal part of the risk, and
+    the allowed error 1 - ``confidence`` is split among strata and rules (Bonferroni).  Strata with too few good rows for
+    any certificate have none and take no part of the error.  Of a rule's certified levels the one that fails the
+    most bad documents less good ones is taken, the laxest of equals; a rule that fails no more bad than good documents gets
+    none.  One aggregate; the driver sees two rows for each stratum that is large enough.
     """
-    failing = [F.count_if(_any([fails(r, k) for r in RULES])).alias(f"level_{k}") for k in range(LEVELS)]
-    rows = labelled.groupBy("_stratum", "quality").agg(F.count(F.lit(1)).alias("n"), *failing).collect()
+    failing = [F.count_if(fails(r, F.lit(c))).alias(f"{r}_{k}") for r, (_, _, cutoffs) in RULES.items() for k, c in enumerate(cutoffs)]
+    share, error = risk / len(RULES), (1 - confidence) / len(RULES)
+    counts = labelled.groupBy("_stratum", "quality").agg(F.count(F.lit(1)).alias("n"), *failing)
+    rows = counts.where((F.col("quality") != 1) | (F.col("n") >= least_good(share, error))).collect()
     seen = {(row["_stratum"], row["quality"]): row for row in rows}
-    levels = {}
-    for s in (*strata, "other"):
-        good, bad = seen.get((s, 1)), seen.get((s, 0))
-        if good is None or bad is None:
-            continue
-        k = certified(good["n"], [good[f"level_{i}"] for i in range(LEVELS)], risk, (1 - confidence) / (len(strata) + 1))
-        gains = [bad[f"level_{i}"] - good[f"level_{i}"] for i in range(k)]
-        if gains and max(gains) > 0:
-            levels[s] = gains.index(max(gains))
+    large = sorted(s for s, q in seen if q == 1)
+    levels: dict[str, dict[str, int]] = {}
+    for s in large:
+        good, bad = seen[s, 1], seen.get((s, 0))
+        for rule, (_, _, cutoffs) in RULES.items():
+            k = certified(good["n"], [good[f"{rule}_{i}"] for i in range(len(cutoffs))], share, error / len(large))
+            gains = [bad[f"{rule}_{i}"] - good[f"{rule}_{i}"] for i in range(k)] if bad else []
+            if gains and max(gains) > 0:
+                levels.setdefault(s, {})[rule] = gains.index(max(gains))
     return levels
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
-
-
-def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", strata: Sequence[str] = STRATA, **options) -> tuple[DataFrame, dict[str, int]]:
+def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", **options) -> tuple[DataFrame, dict[str, dict[str, int]]]:
     """id_col, ``COUNTS``, base_failed, failed_rules and kept for every row, and the chosen levels.
 
     A row is kept unless the base rules or a rule at its stratum's level fail it.  Labelled rows that
     pass the base rules choose the levels; an id that is labelled twice counts once, as bad if any
     label says so, and null labels count nowhere.  With too few labels there are no levels, and the
-    base rules decide alone.
+    base rules decide alone.  Null and empty texts have no words; texts are read whole; repeated rows each have a row; an empty
+    table gives none.
     """
-    counted = docs.select(id_col, text, stratum_of(F.col(lang), strata).alias("_stratum"))
+    counted = docs.select(id_col, text, stratum_of(F.col(lang)).alias("_stratum"))
     counted = stored(with_counts(counted, text).drop(text), "rule-counts")
     one = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.min("quality").alias("quality"))
     labelled = counted.where(~F.col("base_failed")).join(one, F.col(id_col) == F.col("_label_id"))
-    levels = select_levels(labelled, strata=strata, **options)
-    failed = [F.when((F.col("_stratum") == s) & fails(r, k), F.lit(r)) for s, k in levels.items() for r in RULES]
-    rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    out = counted.withColumn("failed_rules", rules).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return out.drop("_stratum"), levels
+    levels = select_levels(labelled, **options)
+    cutoffs = [(s, *[float(RULES[r][2][of[r]]) if r in of else None for r in RULES]) for s, of in levels.items()]
+    known = docs.sparkSession.createDataFrame(cutoffs, "_of string, " + ", ".join(f"_max_{r} double" for r in RULES))
+    judged = counted.join(known, F.col("_stratum") == F.col("_of"), "left")
+    rules = F.array_compact(F.array(*[F.when(fails(r, F.col(f"_max_{r}")), F.lit(r)) for r in RULES]))
+    out = judged.withColumn("failed_rules", rules).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return out.drop("_stratum", "_of", *[f"_max_{r}" for r in RULES]), levels
 
 
 @llm_query("op2_quality_rules")
