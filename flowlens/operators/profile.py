@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +94,33 @@ def table_profile(df: DataFrame, dataset: str, label_column: str | None = None)
     )
 
 
+FILE_PROFILE = ("dataset string, file_path string, size_bytes long, rows long, columns int, fields string, label_column string, label_distribution string, "
+                "missing_value_ratio double, suspicious_leakage_fields string, suspicious_sensitive_fields string, read_status string")
+
+
+def file_profiles(spark: SparkSession, dataset: str, files: list[tuple[str, int]], read: Callable[[SparkSession, str], DataFrame], at_once: int = 8) -> DataFrame:
+    """A row for each of ``files`` (path, size); a file that can't be read becomes a status row, the others go on.
+
+    ``read`` opens a path.  Files are profiled side by side, a few at a time; each is two aggregates over its rows.  Lists and the
+    label counts (largest first) are JSON text.
+    """
+    def one(file: tuple[str, int]) -> tuple:
+        path, size = file
+        try:
+            df = read(spark, path)
+            label = "multiclass_label" if "multiclass_label" in df.columns else detect_label_column(df)
+            row = table_profile(df, dataset, label).first()
+            counts = label_distribution(df, dataset, label).orderBy(F.desc("count"), "label_value") if label else None
+            told = {r["label_value"]: r["count"] for r in counts.select("label_value", "count").collect()} if counts is not None else {}
+        except Exception as error:  # noqa: BLE001 - whatever a reader raises is the file's status
+            return (dataset, path, size, None, None, "[]", None, "{}", None, "[]", "[]", f"failed: {type(error).__name__}: {str(error)[:300]}")
+        lists = [json.dumps(suspicious_fields(df.columns, t), ensure_ascii=False) for t in (LEAKAGE_TOKENS, SENSITIVE_TOKENS)]
+        return (dataset, path, size, row["rows"], len(df.columns), json.dumps(df.columns, ensure_ascii=False), label, json.dumps(told, ensure_ascii=False), row["missing_value_ratio"], *lists, "ok")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return spark.createDataFrame(list(pool.map(one, files)), FILE_PROFILE)
+
+
 def label_distribution(df: DataFrame, dataset: str, label_column: str) -> DataFrame:
     """count and share per label value (null as '<NA>'), largest first."""
     value = F.coalesce(F.col(label_column).cast("string"), F.lit("<NA>"))

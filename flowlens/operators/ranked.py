@@ -80,7 +80,7 @@ def order_bucket(df: DataFrame, order_cols: list[str], buckets: int = TIME_BUCKE
     """
     time_col, id_col = order_cols[0], order_cols[1]
     if not isinstance(df.schema[time_col].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return df.withColumn(out, F.lit(0).cast("long"))  # an order that starts with a text isn't cut
+        return sampled_bucket(df, order_cols, buckets, out)
     src = df.withColumn("_t", as_number(df, time_col)).withColumn("_i", as_number(df, id_col))
     probs = [k / buckets for k in range(1, buckets)]
     id_probs = [k / ties for k in range(1, ties)]
@@ -99,6 +99,25 @@ def order_bucket(df: DataFrame, order_cols: list[str], buckets: int = TIME_BUCKE
     return number.withColumn(out, base * (ties + 2) + sub).drop("_t", "_i", "_tb", "_ib")
 
 
+def sampled_bucket(df: DataFrame, order_cols: list[str], buckets: int, out: str, per_bucket: int = 32) -> DataFrame:
+    """Bucket that preserves any order of ``order_cols``, nulls last: cut at quantiles of a sample of whole order keys.
+
+    The sample is the buckets x ``per_bucket`` rows with the smallest hashes, a bounded top-k; it decides how even the buckets
+    are, never the result.
+    """
+    key = F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")) for c in order_cols])
+    sample = df.select(key.alias("key"), F.xxhash64(*order_cols).alias("h")).orderBy("h").limit(buckets * per_bucket)
+    keys = [r["key"] for r in sample.orderBy("key").collect()]
+    cuts = list(dict.fromkeys(keys[k * len(keys) // buckets] for k in range(1, buckets))) if keys else []
+    if not cuts:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    kinds = [df.schema[c].dataType for c in order_cols]
+    known = F.array(*[F.struct(*[F.struct(F.lit(v["none"]).alias("none"), F.lit(v["value"]).cast(k).alias("value")) for v, k in zip(cut, kinds, strict=True)]) for cut in cuts])
+    kind = "array<struct<" + ",".join(f"col{i + 1}:struct<none:boolean,value:{k.simpleString()}>" for i, k in enumerate(kinds)) + ">>"
+    named = F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(f"col{i + 1}") for i, c in enumerate(order_cols)])
+    return df.withColumn(out, F.size(F.filter(known.cast(kind), lambda cut: cut <= named)).cast("long"))
+
+
 def _next_up(x: float) -> float:
     import math
 

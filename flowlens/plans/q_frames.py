@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.experiments import prepare_task_frame, transfer_split
 from flowlens.operators.models import prepared
+from flowlens.operators.profile import file_profiles
 from flowlens.operators.splits import available_splits, random_stratified_split
 from flowlens.plans.q_audit import SHIPMENT_COLUMNS, SHIPMENT_IDS, SHIPMENT_SQL, shipment_table
 from flowlens.plans.q_profile import raw_packets
@@ -19,7 +20,7 @@ from flowlens.plans.q_views import BIFLOW_SOURCE_SQL, biflow_source
 from flowlens.plans.q_windows import flow_window_1h, flow_window_sql
 from flowlens.plans.registry import query, table
 from flowlens.session import scratch_path
-from flowlens.sources.files import discover_files, read_any, select_variant
+from flowlens.sources.files import discover_files, read_any, read_delimited, select_variant
 from flowlens.sources.sinks import write_report, write_table
 
 
@@ -119,3 +120,42 @@ def variant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, note = select_variant([r["path"] for r in discover_files(spark, root).collect()])
     read = reduce(DataFrame.unionByName, [read_any(spark, p) for p in paths])
     return read.select(F.col("order_key").cast("long").alias("order_key"), "status", "price", F.lit(note).alias("note"))
+
+
+# --- P1, P3: one row a file, unreadable ones too -------------------------------------------
+def _profile_sql(name: str, src: str, fields: list[str], label: str, leakage: list[str], sensitive: list[str]) -> str:
+    def listed(names: list[str]) -> str:
+        return "[" + ", ".join(f'"{c}"' for c in names) + "]"
+
+    missing = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in fields)
+    return f"""SELECT 'files' AS dataset, '{name}' AS file_path, TRUE AS has_size, count(*) AS rows, {len(fields)} AS columns, '{listed(fields)}' AS fields, '{label}' AS label_column,
+  (SELECT '{{' || string_agg('"' || v || '": ' || n, ', ' ORDER BY n DESC, v) || '}}' FROM (SELECT {label} AS v, count(*) AS n FROM ({src}) GROUP BY 1)) AS label_distribution,
+  ({missing}) / (count(*) * CAST({len(fields)} AS DOUBLE)) AS missing_value_ratio, '{listed(leakage)}' AS suspicious_leakage_fields, '{listed(sensitive)}' AS suspicious_sensitive_fields, 'ok' AS read_status FROM ({src})"""
+
+
+_ORDERS = "SELECT o_orderkey AS order_key, o_orderstatus AS attack_type, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS price FROM orders"
+_EVENTS = "SELECT event_id, event_type AS category, user_id AS client_id, props AS payload FROM events"
+_BROKEN = """SELECT 'files', '{}', TRUE, NULL, NULL, '[]', NULL, '{{}}', NULL, '[]', '[]', 'failed'"""
+
+
+@query("file_profile", " UNION ALL ".join([
+    _profile_sql("orders.csv", _ORDERS, ["order_key", "attack_type", "price", "source_file"], "attack_type", ["attack_type"], []).replace("count(*) FILTER (WHERE source_file IS NULL)", "0"),
+    _profile_sql("events.parquet", _EVENTS, ["event_id", "category", "client_id", "payload"], "category", ["category"], ["client_id", "payload"]),
+    _BROKEN.format("broken.parquet"), _BROKEN.format("gone.parquet")]))
+def file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV and a Parquet file, one whose content isn't what its name says, and one that isn't there."""
+    root = scratch_path(spark, f"profiles/{uuid.uuid4().hex}")
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(key.alias("order_key"), F.col("o_orderstatus").alias("attack_type"), F.when(key % 3 > 0, F.col("o_totalprice")).alias("price"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("category"), F.col("user_id").alias("client_id"), F.col("props").alias("payload"))
+    write_report(orders, f"{root}/orders.csv")
+    write_table(events, f"{root}/events.parquet")
+    events.select("payload").write.text(f"{root}/broken.parquet")
+
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        return read_any(spark, path) if path.endswith(".parquet") else read_delimited(spark, [r["path"] for r in discover_files(spark, path).collect()])
+
+    found = file_profiles(spark, "files", [(f"{root}/{name}", 1) for name in ("orders.csv", "events.parquet", "broken.parquet", "gone.parquet")], read)
+    return found.select("dataset", F.regexp_extract("file_path", "([^/]+)$", 1).alias("file_path"), (F.col("size_bytes") > 0).alias("has_size"), "rows", "columns", "fields", "label_column",
+                        "label_distribution", "missing_value_ratio", "suspicious_leakage_fields", "suspicious_sensitive_fields",
+                        F.when(F.col("read_status") == "ok", "ok").otherwise("failed").alias("read_status"))

@@ -165,6 +165,19 @@ def first_n_budget_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_n_budget(ev, "event_type", ["ts", "event_id"], cap=1000, budget=4000).drop("ts")
 
 
+@query("first_n_by_file", """
+SELECT event_id, log FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY log NULLS LAST, event_id) AS r FROM (
+    SELECT *, CASE WHEN user_id % 17 <> 0 THEN 'log' || CAST(user_id % 17 AS VARCHAR) END AS log FROM events))
+WHERE r <= 700
+""")
+def first_n_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: first 700 events per type in (file name, event) order, an order that starts with a text."""
+    user = F.col("user_id") % 17
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(user != 0, F.concat(F.lit("log"), user.cast("string"))).alias("log"))
+    return first_n_budget(ev, "event_type", ["log", "event_id"], cap=700, budget=None).drop("event_type")
+
+
 # -- the same operators with many rank buckets, null labels, null times and whole days of equal times --------------
 NULLED_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber <> 3 THEN l_returnflag END AS mode,
   CASE WHEN l_linenumber <> 5 THEN CAST(l_shipdate AS DATE) END AS day FROM lineitem"""
