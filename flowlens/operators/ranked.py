@@ -84,8 +84,9 @@ def order_bucket(df: DataFrame, order_cols: list[str], buckets: int = TIME_BUCKE
     src = df.withColumn("_t", as_number(df, time_col)).withColumn("_i", as_number(df, id_col))
     probs = [k / buckets for k in range(1, buckets)]
     id_probs = [k / ties for k in range(1, ties)]
-    t_cuts, i_cuts = src.approxQuantile(["_t", "_i"], sorted({*probs, *id_probs}) or [0.5], 1e-3)
     order = sorted({*probs, *id_probs}) or [0.5]
+    whole = [F.percentile_approx(F.when(~F.isnan(c), F.col(c)), order, 1000).alias(c) for c in ("_t", "_i")]
+    t_cuts, i_cuts = src.agg(*whole).first()
     t_cuts = [c for p, c in zip(order, t_cuts) if p in set(probs)] if t_cuts else []
     i_cuts = sorted({c for p, c in zip(order, i_cuts) if p in set(id_probs)}) if i_cuts else []
     hot = sorted({a for a, b in zip(t_cuts, t_cuts[1:]) if a == b})
