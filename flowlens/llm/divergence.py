@@ -39,6 +39,8 @@ LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 BLOCK_DOCS, BLOCK_BYTES = 4000, 12 << 20
 #: Entries of a bucket of chunks or terms, on average.
 BUCKET_ENTRIES = 200_000
+#: Cells (kept terms x sources) that a task of the last step compares, on average.
+AUDIT_CELLS = 500_000
 
 LISTED = "bucket bigint, block bigint, place binary, chunks binary"
 COUNTED = "lang string, bucket bigint, sources array<string>, terms binary, term binary, source binary, n_docs binary, n binary"
@@ -285,30 +287,37 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def bucket_audit(row: dict, sources: list[str], total: np.ndarray, kinds: int, lang_total: int, top: int) -> list[tuple]:
-    """(source, part, item, value) of a bucket: its part of the sums over pairs of ``sources``, and the top terms of each."""
-    words, term, source, n = entries_of(row)
+def bucket_audit(rows: list[dict], sources: list[str], total: np.ndarray, kinds: int, lang_total: int, top: int) -> list[tuple]:
+    """(source, part, item, value) of some buckets of a lang: their part of the sums over pairs of ``sources``, and the top terms of
+    each source among theirs.  The buckets are matrices of shares, one after the other."""
     place = {s: k for k, s in enumerate(sources)}
-    source = np.array([place[s] for s in row["sources"]], np.int64)[source]
-    p = np.tile(shares(np.zeros(len(sources), np.int64), total, kinds), (len(words), 1))
-    p[term, source] = shares(n, total[source], kinds)
-    out = []
-    for s in range(len(sources) - 1):
-        value = divergence(p[:, s + 1 :], p[:, s : s + 1]).sum(0).tolist()
-        out += [pair for t, v in zip(sources[s + 1 :], value, strict=True) for pair in ((sources[s], "pair", t, v), (t, "pair", sources[s], v))]
-    of_lang = np.zeros(len(words), np.int64)
-    np.add.at(of_lang, term, n)
-    own, q = p[term, source], shares(of_lang, lang_total, kinds)[term]
-    more = np.flatnonzero(own > q)
-    value = divergence(own[more], q[more])
-    by_name = np.empty(len(words), np.int64)
-    by_name[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)] = np.arange(len(words))
-    order = np.lexsort((by_name[term[more]], -value, source[more]))
-    at = more[order]
-    first = np.flatnonzero(np.diff(source[at], prepend=-1))
-    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    for k in np.flatnonzero(rank < top).tolist():
-        out.append((sources[source[at[k]]], "term", words[term[at[k]]].decode(), int(value[order[k]])))
+    nowhere = shares(np.zeros(len(sources), np.int64), total, kinds)
+    sums = np.zeros((len(sources), len(sources)), np.int64)
+    best: list[list[tuple[int, bytes]]] = [[] for _ in sources]
+    for row in rows:
+        words, term, source, n = entries_of(row)
+        source = np.array([place[s] for s in row["sources"]], np.int64)[source]
+        p = np.tile(nowhere, (len(words), 1))
+        p[term, source] = shares(n, total[source], kinds)
+        for s in range(len(sources) - 1):
+            sums[s, s + 1 :] += divergence(p[:, s + 1 :], p[:, s : s + 1]).sum(0)
+        of_lang = np.zeros(len(words), np.int64)
+        np.add.at(of_lang, term, n)
+        own, q = p[term, source], shares(of_lang, lang_total, kinds)[term]
+        more = np.flatnonzero(own > q)
+        value = divergence(own[more], q[more])
+        by_name = np.empty(len(words), np.int64)
+        by_name[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)] = np.arange(len(words))
+        order = np.lexsort((by_name[term[more]], -value, source[more]))
+        at = more[order]
+        first = np.flatnonzero(np.diff(source[at], prepend=-1))
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        for k in np.flatnonzero(rank < top).tolist():
+            best[source[at[k]]].append((-int(value[order[k]]), words[term[at[k]]]))
+    out = [(s, "term", word.decode(), -value) for s, found in zip(sources, best, strict=True) for value, word in sorted(found)[:top]]
+    for a in range(len(sources)):
+        for b in range(a + 1, len(sources)):
+            out += [(sources[a], "pair", sources[b], int(sums[a, b])), (sources[b], "pair", sources[a], int(sums[a, b]))]
     return out
 
 
@@ -332,17 +341,19 @@ def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = T
     own = sums.where("source IS NOT NULL").groupBy("lang", "source").agg(F.sum("n").alias("total"))
     facts = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "kinds", "lang_total"])
     facts = stored(facts, "source-facts")
-    of_bucket = kept.select("lang", "bucket").join(facts, "lang").select(F.col("lang").alias("of"), F.col("bucket").alias("at"), F.col("source").alias("s"), "total", "kinds", "lang_total")
+    #: Buckets are put together until a task has enough cells (terms x sources); its results are as many whatever the buckets.
+    tasks = 1 + (facts.agg(F.sum("kinds")).first()[0] or 0) // AUDIT_CELLS
+    dealt = kept.withColumn("task", F.pmod("bucket", F.lit(tasks)))
+    known = dealt.select("lang", "task").distinct().join(facts, "lang").select(F.col("lang").alias("of"), F.col("task").alias("at"), F.col("source").alias("s"), "total", "kinds", "lang_total")
     schema = arrow_schema("lang string, source string, part string, item string, value bigint")
 
     @lean
     def audit(rows: pa.Table, known: pa.Table) -> pa.Table:
-        row = rows.to_pylist()[0]
         known = known.take(pc.sort_indices(known, [("s", "ascending")]))
-        found = bucket_audit(row, known.column("s").to_pylist(), known.column("total").to_numpy(), known.column("kinds")[0].as_py(), known.column("lang_total")[0].as_py(), top)
-        return pa.Table.from_batches([batch(schema, [(row["lang"], *f) for f in found])])
+        found = bucket_audit(rows.to_pylist(), known.column("s").to_pylist(), known.column("total").to_numpy(), known.column("kinds")[0].as_py(), known.column("lang_total")[0].as_py(), top)
+        return pa.Table.from_batches([batch(schema, [(rows.column("lang")[0].as_py(), *f) for f in found])])
 
-    found = kept.groupBy("lang", "bucket").cogroup(of_bucket.groupBy("of", "at")).applyInArrow(audit, "lang string, source string, part string, item string, value bigint")
+    found = dealt.groupBy("lang", "task").cogroup(known.groupBy("of", "at")).applyInArrow(audit, "lang string, source string, part string, item string, value bigint")
     found = stored(found, "bucket-audits")
     #: A lang that keeps no term has pairs, too.
     bare = facts.where("kinds = 0").select("lang", "source")
