@@ -65,3 +65,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name) if "://" not in base else f"{base.rstrip('/')}/tables/{name}"
+
+
+def tasks_for(spark: SparkSession, items: int) -> int:
+    """Tasks for work that is counted in items (files, archive members), each of unknown size: one an item, up to four for
+    each core of the cluster."""
+    return max(1, min(items, 4 * spark.sparkContext.defaultParallelism))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.names import unique_columns
 from flowlens.operators.ranked import small_side
+from flowlens.session import tasks_for
 from flowlens.sources.files import DATA_SUFFIXES, DELIMITERS, SKIP_NAME_PREFIX, SKIP_PATH_TOKEN, open_stream
 
 BATCH_ROWS, BATCH_CHARS = 5_000, 16 << 20
@@ -94,7 +95,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         yield pd.DataFrame(out, columns=columns)
 
 
-def read_members(members: DataFrame, columns: list[str] | None = None, tasks: int = 200) -> DataFrame:
+def read_members(members: DataFrame, columns: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """(archive, member, row_no, fields, extra): every record of every member in ``members``.
 
     ``fields`` maps header names to texts; quoted delimiters and line breaks are part of a field.  A
@@ -102,6 +103,7 @@ def read_members(members: DataFrame, columns: list[str] | None = None, tasks: in
     fields are absent and surplus ones are not in the map.  With ``columns`` these are projected
     out of the map under normalised names.
     """
+    tasks = tasks or tasks_for(members.sparkSession, members.count())
     rows = members.select("archive", "member").repartition(tasks, "archive", "member").mapInPandas(_records, RECORDS)
     if columns is None:
         return rows

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.session import tasks_for
+
 SIZE_TOLERANCE = 0.98
 BLOCK_BYTES = 8 << 20
 
@@ -39,11 +41,11 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": pdf["path"], "size_bytes": pdf["size_bytes"], "sha256": found})
 
 
-def file_digests(spark: SparkSession, path: str, glob: str = "*", name_pattern: str = r"([^/]+)$", tasks: int = 200) -> DataFrame:
+def file_digests(spark: SparkSession, path: str, glob: str = "*", name_pattern: str = r"([^/]+)$", tasks: int | None = None) -> DataFrame:
     """(name, path, size_bytes, sha256) of every file below ``path``; ``name_pattern`` takes the name from the path."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
              .load(path).select("path", F.col("length").alias("size_bytes")))
-    read = files.repartition(tasks, "path").mapInPandas(_digests, "path string, size_bytes long, sha256 string")
+    read = files.repartition(tasks or tasks_for(spark, files.count()), "path").mapInPandas(_digests, "path string, size_bytes long, sha256 string")
     return read.select(F.regexp_extract("path", name_pattern, 1).alias("name"), "path", "size_bytes", "sha256")
 
 
