@@ -6,8 +6,8 @@ import pytest
 from flowlens.llm.queries import LLM_ORACLES, LLM_QUERIES
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     assert set(LLM_ORACLES) <= set(LLM_QUERIES)
 
 
