@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators.experiments import prepare_task_frame, transfer_split
+from flowlens.operators.experiments import task_frame, transfer_split
 from flowlens.operators.models import prepared
 from flowlens.operators.profile import file_profiles
 from flowlens.operators.splits import available_splits, random_stratified_split
@@ -81,8 +81,8 @@ _WINDOW = f"SELECT window_id, binary_label AS label FROM ({flow_window_sql([3600
 UNION ALL SELECT 'biflow', 'test', binary_label, count(*) FROM ({BIFLOW_SOURCE_SQL}) WHERE binary_label IS NOT NULL GROUP BY ALL""")
 def transfer_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train and val rows of the windows, every biflow row as test, by label."""
-    src, _ = prepare_task_frame(flow_window_1h(spark, sf_dir).select("window_id", "binary_label", "duration"), ["duration"], "binary", keep=["window_id"])
-    tgt, _ = prepare_task_frame(biflow_source(spark, sf_dir).select("binary_label", "duration"), ["duration"], "binary")
+    src, _ = task_frame(flow_window_1h(spark, sf_dir).select("window_id", "binary_label", "duration"), ["duration"], "binary", keep=["window_id"])
+    tgt, _ = task_frame(biflow_source(spark, sf_dir).select("binary_label", "duration"), ["duration"], "binary")
     both = transfer_split(src, tgt, ["window_id"])
     origin = F.when(F.col("split") == "test", "biflow").otherwise("windows_1h")
     return both.groupBy(origin.alias("origin"), "split", "label").agg(F.count(F.lit(1)).alias("n"))
