@@ -8,16 +8,19 @@ library's own split and metric operators.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.metrics import average_precision, classification_metrics
+from flowlens.operators.ranked import hash_bucket, hash_key
 from flowlens.operators.results import argmax_row, best_by, delta_vs_baseline, pivot_hue, seed_stability, top_k
 from flowlens.operators.splits import random_stratified_split, time_block_split
 from flowlens.plans.registry import query, table
-from flowlens.session import checkpoint_dir
+from flowlens.session import checkpoint_dir, scratch_path
+from flowlens.sources.sinks import write_table
 from flowlens.vocab import SEEDS
 
 LI_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # unique row id of lineitem
@@ -36,17 +39,21 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint_dir(spark)
     base = _base(spark, sf_dir)
-    tests = [random_stratified_split(base, "y", LI_ID, seed=s).where(F.col("split") == "test")
+    # a row's id is hashed once per seed, for the rank buckets of all passes; the rows are stored with them
+    path = scratch_path(spark, f"runs/{uuid.uuid4().hex}")
+    write_table(base.withColumns({f"_b{s}": hash_bucket(hash_key(s, *LI_ID)) for s in SEEDS}), path)
+    base = spark.read.parquet(path)
+    tests = [random_stratified_split(base, "y", LI_ID, seed=s, only="test", bucket=f"_b{s}")
              .select("*", F.lit("random_stratified").alias("split_type"), F.lit(s).alias("seed")) for s in SEEDS]
-    tests.append(time_block_split(base, ["l_shipdate", *LI_ID]).where(F.col("split") == "test")
+    tests.append(time_block_split(base, ["l_shipdate", *LI_ID], only="test")
                  .select("*", F.lit("time_block_split").alias("split_type"), F.lit(42).alias("seed")))
-    # test rows of all runs, written once to the checkpoint folder: every metric below reads them again
-    test = reduce(DataFrame.unionByName, tests).select("split_type", "seed", "y", "l_discount", "l_quantity", "l_tax")
-    test = test.checkpoint(eager=True)
+    # equal test rows of a run are counted, so a row is read once for all models and metrics; the counts are stored
+    values = ["split_type", "seed", "y", *[c for _, c, _ in MODELS]]
+    test = reduce(DataFrame.unionByName, [t.groupBy(*values).agg(F.count(F.lit(1)).alias("times")) for t in tests]).checkpoint(eager=True)
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(c) >= t).cast("int").alias("pred"),
                                           F.col(c).cast("double").alias("score")) for m, c, t in MODELS]))
-    preds = test.select("split_type", "seed", "y", models.alias("m")).select("split_type", "seed", "y", "m.*")
-    metrics = classification_metrics(preds, RUN_KEYS).join(average_precision(preds, RUN_KEYS), RUN_KEYS, "left")
+    preds = test.select("split_type", "seed", "y", "times", models.alias("m")).select("split_type", "seed", "y", "times", "m.*")
+    metrics = classification_metrics(preds, RUN_KEYS, times="times").join(average_precision(preds, RUN_KEYS, times="times"), RUN_KEYS, "left")
     return metrics.select(
         F.lit("lineitem").alias("dataset"), F.lit("strict").alias("view_role"), F.lit("binary").alias("task"),
         "model", "split_type", "seed", F.lit("ok").alias("status"), F.col("n").alias("n_test"), "accuracy",
